@@ -188,6 +188,15 @@ def links(graph: Graph, exact: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids
     test = np.unique(np.linspace(0, n - 1, min(n, AUDIT)).astype(np.int64))
     truth = (q32[test] @ graph.x.T) >= least - SLACK
     beam = min(BEAM, size)
+    while truth.any() and beam * 8 < size:
+        found, sims = graph.search(q32[test], beam, own=None if inside is None else inside[test])
+        hit = np.zeros(truth.shape, bool)
+        r, c = np.nonzero(sims >= least - SLACK)
+        hit[r, found[r, c]] = True
+        # a query whose beam is full of links gets a wider one below in any case
+        if not ((truth & ~hit).any(1) & ~(sims >= least - SLACK).all(1)).any():
+            break
+        beam *= 2
 
     def verify(rows, ids_found):
         r, c = np.nonzero(ids_found >= 0)
@@ -207,13 +216,6 @@ def links(graph: Graph, exact: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids
             return
         found, sims = graph.search(q32[todo], beam, own=None if inside is None else inside[todo])
         near = sims >= least - SLACK
-        if len(todo) == n:
-            hit = np.zeros((len(test), size), bool)
-            r, c = np.nonzero(near[test])
-            hit[r, found[test][r, c]] = True
-            if (truth & ~hit).any():
-                beam *= 2
-                continue
         full = near.all(1)
         sure = ~full
         yield verify(todo[sure], np.where(near[sure], found[sure], -1))
