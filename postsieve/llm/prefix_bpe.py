@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Distinct pieces that one Python worker remembers; older ones are worked out again.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 
 
 class Merges:
@@ -34,7 +34,12 @@ class Merges:
         self.bytes_of = [b""] * self.size
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        self.longest = max(map(len, ranks))
+        #: for the last two bytes of a prefix: lengths of the tokens that end so, longest first
+        lengths: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) > 1:
+                lengths.setdefault(token[-2:], set()).add(len(token))
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
         self.halves: list[tuple[int, int] | None] = [None] * self.size
         self.joined: dict[tuple[int, int], int] = {}
         self.known: dict[tuple[int, int], bool] = {}
@@ -101,14 +106,24 @@ class Prefixes:
     def append(self, more: bytes) -> "Prefixes":
         m, last = self.merges, self.last
         self.data = data = self.data + more
-        get, bytes_of, adjoin = m.ranks.get, m.bytes_of, m.adjoin
+        get, known, adjoin, lengths = m.ranks.get, m.known.get, m.adjoin, m.lengths.get
         for end in range(len(last), len(data) + 1):
-            found = -1
-            for start in range(max(0, end - m.longest), end):
-                token = get(data[start:end])
-                if token is not None and (start == 0 or (last[start] >= 0 and adjoin(last[start], token))):
+            found = get(data[end - 1 : end])
+            for length in lengths(data[end - 2 : end], ()) if end > 1 else ():
+                if length > end:
+                    continue
+                token = get(data[end - length : end])
+                if token is None:
+                    continue
+                if length == end:
+                    found = token
+                    break
+                before = last[end - length]
+                fits = known((before, token))
+                if fits or (fits is None and adjoin(before, token)):
                     found = token
                     break
+            # every prefix has one valid last token: if no longer one fits, it is the byte's own
             last.append(found)
         return self
 
@@ -157,13 +172,10 @@ class Codec:
 
     def encode(self, text: str) -> str:
         """Decimal ids joined by spaces."""
-        young, out = self.young, []
-        for p in self.split(text):
-            found = young.get(p)
-            if found is None:
-                found = self.piece(p)
-                young = self.young
-            out.append(found)
+        pieces = self.split(text)
+        out = list(map(self.young.get, pieces))
+        if None in out:
+            out = [x or self.young.get(p) or self.piece(p) for x, p in zip(out, pieces, strict=True)]
         return " ".join(out)
 
     def decode(self, ids: str) -> bytes:
