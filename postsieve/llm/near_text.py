@@ -3,18 +3,17 @@
 A text's set of five-word shingles gets a one-permutation MinHash signature: the
 smallest hash in each of BINS ranges, an empty range borrowing from the next.  Each of
 TREES orders is the table of all distinct sets sorted by its own choice of DEPTH
-signature values.  Neighbours in an order share the longest prefixes, so in every
-order each set is compared with its nearest neighbours that share at least SHALLOW
-values; where many share those, the nearest have longer prefixes in common, and the
-depth adapts to the region.  Sharing values at the other depths must bear the pair
-out (AGREE of DEPTH), which costs nothing as the row has them.
-
-Neighbours reach NEAR places back.  Regions that go on beyond are not cut off: after the
-links found so far are verified and united, such regions are searched again with reach
-four times as long, only between sets that are not yet in one component, until
-no region goes on.  Candidate pairs are verified on the full sets: first each set's
-best candidate, then every pair whose ends are still in different components.  So what
-is skipped can't change a component, and no group emits all of its pairs.
+signature values.  Neighbours in an order share the longest prefixes: in every order
+each set is paired with the NEAR sets before and behind it that share at least SHALLOW
+values.  Where many share those, the nearest have longer prefixes in common, so the depth
+adapts to the region.  The row's other values must bear a pair out (AGREE of DEPTH).
+
+The candidate pairs unite into clusters, in Spark.  A cluster that has more sets than the
+reach of its neighbours is chained by it, so what two of its sets have in common need not
+be a pair: each cluster is verified whole, all its sets against all, on the full sets.  That
+happens in blocks of BLOCK_SETS, a task for every two blocks, which counts shared shingles
+through an inverted list and returns one edge per set to the root of its local union, never
+the pairs.  Blocks are ranges of set sizes, and two whose sizes exclude a link are skipped.
 
 Texts with equal sets are one node throughout; their smallest doc_id stands for them.
 
@@ -26,6 +25,7 @@ same text are equal sets; other columns are not touched.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,6 +33,8 @@ from .components import components
 from .shared import U64, Scratch, documents_words, mix, shingle_set
 
 BINS, TREES, DEPTH, SHALLOW, AGREE, NEAR = 128, 12, 8, 3, 5, 6
+#: Sets of a cluster that one task takes twice of at most.
+BLOCK_SETS = 512
 _ORDER = np.random.default_rng(5).permutation(BINS)[: TREES * DEPTH]
 _EDGES = np.arange(BINS, dtype=np.uint64) << U64(57)
 
@@ -78,86 +80,82 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "shingles"])
 
 
-_PAIR = "a long, b long, hits int, open boolean, edge int, spot int, tree int, key binary, id long, component long"
-
-
-def _neighbours(reach: int):
-    """Candidates among sorted rows (tree, key, id, component); kind: pair, or a row near an end of the partition."""
-
-    def pairs(tree, key, ids, comp, fresh):
-        """Pairs of row i >= fresh with one of the `reach` rows before it."""
-        n = len(ids)
-        head = np.ascontiguousarray(key[:, :SHALLOW])
-        a, b, go_on, live = [], [], np.zeros(n, bool), np.arange(fresh, n)
-        for back in range(1, reach + 1):
-            live = live[live >= back]
-            live = live[(tree[live] == tree[live - back]) & (head[live] == head[live - back]).all(1)]
-            if not len(live):
-                break
-            if back == reach:
-                go_on[live] = True
-            i = live[comp[live] != comp[live - back]]
-            i = i[(key[i] == key[i - back]).sum(1) >= AGREE]
-            a.append(ids[i - back])
-            b.append(ids[i])
-        empty = np.zeros(0, np.int64)
-        return np.concatenate(a or [empty]), np.concatenate(b or [empty]), go_on
-
-    def table(rows):
-        t = np.array(rows.column("tree"))
-        k = np.frombuffer(b"".join(rows.column("key").to_pylist()), ">u4").reshape(-1, DEPTH)
-        return t, k, np.array(rows.column("id")), np.array(rows.column("component"))
-
-    def out(a, b, opened):
-        n = len(a)
-        none = lambda kind: pa.nulls(n, kind)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.ones(n, np.int32)), pa.array(np.full(n, opened)), none(pa.int32()), none(pa.int32()), none(pa.int32()), none(pa.binary()), none(pa.int64()), none(pa.int64())],
-            ["a", "b", "hits", "open", "edge", "spot", "tree", "key", "id", "component"],
-        )
-
-    def ends(rows, edge):
-        n = rows.num_rows
-        none = lambda kind: pa.nulls(n, kind)
-        return pa.RecordBatch.from_arrays(
-            [none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.bool_()), pa.array(np.full(n, edge, np.int32)), pa.array(np.arange(n, dtype=np.int32)), *(rows.column(c).combine_chunks() if isinstance(rows.column(c), pa.ChunkedArray) else rows.column(c) for c in ("tree", "key", "id", "component"))],
-            ["a", "b", "hits", "open", "edge", "spot", "tree", "key", "id", "component"],
-        )
-
-    def run(batches):
-        kept, opened, head = None, False, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch])
-            fresh = 0 if kept is None else kept.num_rows
-            if kept is not None:
-                rows = pa.concat_tables([kept, rows])
-            if head is None or head.num_rows < reach:
-                head = rows.slice(0, reach).combine_chunks()
-            t, k, ids, comp = table(rows)
-            a, b, go_on = pairs(t, k, ids, comp, fresh)
-            opened |= bool((go_on[fresh:]).any())
-            if len(a):
-                yield out(a, b, False)
-            kept = rows.slice(max(0, rows.num_rows - reach)).combine_chunks()
-        if opened:
-            yield out(np.zeros(1, np.int64), np.zeros(1, np.int64), True)
-        if kept is not None:
-            yield ends(head, 0)
-            yield ends(kept, 1)
-
-    def at_borders(rows: list) -> list[tuple[int, int]]:
-        """Pairs across the borders of partitions; rows: the first and last `reach` of each, in any order."""
-        rows = sorted({(r["tree"], bytes(r["key"]), r["id"], r["component"]) for r in rows}, key=lambda r: r[:3])
-        if not rows:
-            return []
-        t, ids, comp = (np.array([r[k] for r in rows]) for k in (0, 2, 3))
-        k = np.frombuffer(b"".join(r[1] for r in rows), ">u4").reshape(-1, DEPTH)
-        a, b, _ = pairs(t, k, ids, comp, 0)
-        return [(int(min(x, y)), int(max(x, y))) for x, y in zip(a, b, strict=True)]
-
-    return run, at_borders
+_PAIR = "a long, b long, tree int, key binary, id long"
+
+
+def _pairs(tree: np.ndarray, key: np.ndarray, ids: np.ndarray, fresh: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of row i >= fresh with one of the NEAR rows before it."""
+    head = np.ascontiguousarray(key[:, :SHALLOW])
+    a, b, live = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(fresh, len(ids))
+    for back in range(1, NEAR + 1):
+        live = live[live >= back]
+        live = live[(tree[live] == tree[live - back]) & (head[live] == head[live - back]).all(1)]
+        i = live[ids[live] != ids[live - back]]
+        i = i[(key[i] == key[i - back]).sum(1) >= AGREE]
+        a.append(ids[i - back])
+        b.append(ids[i])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _columns(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.array(rows["tree"]), np.frombuffer(b"".join(rows["key"]), ">u4").reshape(-1, DEPTH), np.array(rows["id"], np.int64)
+
+
+def _neighbours(batches):
+    """Candidate pairs of sorted rows (tree, key, id); also the partition's first and last NEAR rows."""
+    head, tail = None, None
+
+    def ends(rows):
+        n = len(rows["id"])
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(rows["tree"], pa.int32()), pa.array(rows["key"], pa.binary()), pa.array(rows["id"], pa.int64())], ["a", "b", "tree", "key", "id"])
+
+    for batch in batches:
+        rows = batch.to_pydict()
+        if not rows["id"]:
+            continue
+        if head is None or len(head["id"]) < NEAR:
+            head = {k: ([] if head is None else head[k]) + v[:NEAR] for k, v in rows.items()}
+        fresh = 0
+        if tail is not None:
+            fresh = len(tail["id"])
+            rows = {k: tail[k] + v for k, v in rows.items()}
+        a, b = _pairs(*_columns(rows), fresh)
+        tail = {k: v[-NEAR:] for k, v in rows.items()}
+        if len(a):
+            n = len(a)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], ["a", "b", "tree", "key", "id"])
+    if head is not None:
+        yield ends(head)
+        yield ends(tail)
+
+
+def _find(parent: list[int], i: int) -> int:
+    while parent[i] != i:
+        parent[i] = parent[parent[i]]
+        i = parent[i]
+    return i
+
+
+def unite(sets: list[np.ndarray], percent: int) -> list[int]:
+    """For each set the smallest index that links reach, by exact counts of shared shingles."""
+    size = np.array([len(s) for s in sets], np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    letters, code = np.unique(flat, return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    holders, begin = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(letters)))])
+    first = np.concatenate([[0], np.cumsum(size)])
+    parent = list(range(len(sets)))
+    for i in range(len(sets)):
+        own = code[first[i] : first[i + 1]]
+        many = begin[own + 1] - begin[own]
+        place = np.repeat(begin[own] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))
+        shared = np.bincount(holders[place], minlength=len(sets))
+        for j in np.flatnonzero(100 * shared[:i] >= percent * (size[i] + size[:i] - shared[:i])).tolist():
+            x, y = _find(parent, i), _find(parent, j)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    return [_find(parent, i) for i in range(len(sets))]
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
@@ -166,93 +164,53 @@ def near_duplicates(docs: DataFrame, percent: int = 80, scratch: Scratch | None
     scratch = scratch or Scratch(spark, "near-text")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     all_docs = scratch.cut(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_describe, "doc_id long, n_shingles long, k1 long, k2 long, keys binary"))
-    reps = scratch.cut(all_docs.where("keys is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id")))
-    own = all_docs.where("keys is not null").select(F.col("doc_id").alias("id"), "k1", "k2", "n_shingles", "keys").join(reps, ["k1", "k2", "n_shingles", "id"])
+    full = all_docs.where("keys is not null and doc_id is not null")
+    reps = scratch.cut(full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id")))
+    own = full.select(F.col("doc_id").alias("id"), "k1", "k2", "n_shingles", "keys").join(reps, ["k1", "k2", "n_shingles", "id"])
     cut = [F.substring("keys", 1 + t * 4 * DEPTH, 4 * DEPTH) for t in range(TREES)]
-    rows = own.select("id", F.posexplode(F.array(*cut)).alias("tree", "key"))
-    orders = scratch.cut(rows.select(F.col("tree").cast("int").alias("tree"), "key", "id"))
-
-    links: DataFrame | None = None
-    united: DataFrame | None = None
-    reach = NEAR
-    tested: DataFrame | None = None
-
-    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs that are links, by their full sets."""
-
-        def run(batches):
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                    p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    small, large = (p, q) if len(p) <= len(q) else (q, p)
-                    if 100 * len(small) < percent * len(large):
-                        keep.append(False)
-                        continue
-                    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                    shared = int((large[at] == small).sum())
-                    keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
-
-        left = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-        both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-    def joined(more: DataFrame) -> DataFrame:
-        nonlocal links, united
-        links = more if links is None else scratch.cut(links.unionByName(more))
-        united = components(links, scratch)
-        return united
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """The pairs whose ends are in different components."""
-        if united is None:
-            return pairs
-        x = united.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        y = united.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        p = pairs.join(x, "a", "left").join(y, "b", "left")
-        return p.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    while True:
-        run, at_borders = _neighbours(reach)
-        if united is None:
-            table = orders.withColumn("component", F.col("id"))
-        else:
-            named = orders.join(united.select(F.col("node").alias("id"), "component"), "id", "left")
-            table = named.select("tree", "key", "id", F.coalesce("component", "id").alias("component"))
-        table = table.repartitionByRange(width, "tree", "key", "id").sortWithinPartitions("tree", "key", "id").select("tree", "key", "id", "component")
-        found = scratch.cut(table.mapInArrow(run, _PAIR))
-        # a few rows per partition, whatever the input
-        border = at_borders(found.where("edge is not null").select("tree", "key", "id", "component").collect())
-        more = not found.where("open").isEmpty()
-        hits = found.where("hits is not null and not open").select("a", "b")
-        if border:
-            hits = hits.unionByName(spark.createDataFrame(border, "a long, b long"))
-        pairs = hits.groupBy("a", "b").agg(F.count("*").alias("hits"))
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = scratch.cut(pairs)
-        if pairs.isEmpty():
-            break
-        need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = docs.selectExpr("cast(doc_id as long) id", "text").join(reps.select("id"), "id", "left_semi").join(need, "id", "left_semi")
-        nodes_sets = scratch.cut(texts.mapInArrow(_sets, "id long, shingles binary"))
-        best = pairs.groupBy("b").agg(F.max(F.struct("hits", (-F.col("a")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), "b")
-        first = scratch.cut(verified(best, nodes_sets))
-        joined(first)
-        rest = scratch.cut(apart(pairs.select("a", "b")).join(best, ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            joined(scratch.cut(verified(rest, nodes_sets)))
-        scratch.drop(found, nodes_sets, rest)
-        tested = pairs.select("a", "b") if tested is None else scratch.cut(tested.unionByName(pairs.select("a", "b")))
-        if not more:
-            break
-        reach *= 4
-
+    orders = scratch.cut(own.select("id", F.posexplode(F.array(*cut)).alias("tree", "key")))
+    table = orders.repartitionByRange(width, "tree", "key", "id").sortWithinPartitions("tree", "key", "id").select("tree", "key", "id")
+    found = scratch.cut(table.mapInArrow(_neighbours, _PAIR))
+    scratch.drop(orders)
+    pairs = found.where("a is not null").select("a", "b")
+    # at most 2 * NEAR rows of every partition, whatever the input
+    ends = sorted({(r["tree"], bytes(r["key"]), r["id"]) for r in found.where("id is not null").select("tree", "key", "id").collect()})
+    if ends:
+        a, b = _pairs(*_columns(dict(zip(("tree", "key", "id"), zip(*ends, strict=True), strict=True))), 0)
+        if len(a):
+            pairs = pairs.unionByName(spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a long, b long"))
+    clusters = components(pairs, scratch)
+    scratch.drop(found)
+    sizes = clusters.join(reps.select(F.col("id").alias("node"), "n_shingles"), "node").distinct()
+    members = sizes.groupBy("component").agg(F.count("*").alias("n"), F.min(F.log("n_shingles")).alias("lo"))
+    members = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK_SETS).cast("int"))
+    # sets of like size share a range; a range is dealt by hash into blocks of even number
+    step = float(-np.log(percent / 100))
+    dealt = sizes.join(members.select("component", "blocks", "lo"), "component")
+    dealt = dealt.withColumn("band", F.floor((F.log("n_shingles") - F.col("lo")) / step).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    dealt = scratch.cut(dealt.select("node", "component", "blocks", "band", "block"))
+    texts = docs.selectExpr("cast(doc_id as long) id", "text").join(dealt.withColumnRenamed("node", "id").select("id").distinct(), "id", "left_semi")
+    sets = scratch.cut(texts.mapInArrow(_sets, "id long, shingles binary"))
+    # small clusters are one task; in large ones each set goes to the tasks of its block with every block
+    small = dealt.where("blocks = 1").select("node", "component", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("span"))
+    both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.named_struct(F.lit("i"), F.least(k, "block"), F.lit("j"), F.greatest(k, "block")))
+    # links lie within a band or between neighbouring ones: span b joins bands b and b + 1
+    spans = F.array_distinct(F.array(F.greatest(F.col("band") - 1, F.lit(0)), F.col("band")))
+    large = dealt.where("blocks > 1").select("node", "component", F.explode(spans).alias("span"), both.alias("both"))
+    large = large.select("node", "component", "span", F.explode("both").alias("p")).select("node", "component", "p.i", "p.j", "span")
+    work = small.unionByName(large).join(sets.withColumnRenamed("id", "node"), "node")
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["node", "shingles"])
+        nodes = pdf["node"].to_numpy()
+        root = unite([np.frombuffer(x, np.uint64) for x in pdf["shingles"]], percent)
+        moved = [(int(nodes[r]), int(nodes[i])) for i, r in enumerate(root) if r != i]
+        return pd.DataFrame(moved, columns=["a", "b"], dtype=np.int64)
+
+    edges = scratch.cut(work.groupBy("component", "i", "j", "span").applyInPandas(verify, "a long, b long"))
+    united = components(edges, scratch)
     out = all_docs.select("doc_id", "n_shingles", "k1", "k2").join(reps, ["k1", "k2", "n_shingles"], "left")
-    if united is not None:
-        out = out.join(united.withColumnRenamed("node", "id"), "id", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
+    out = out.join(united.withColumnRenamed("node", "id"), "id", "left")
     whole = F.coalesce("component", "id", "doc_id")
     return out.select("doc_id", "n_shingles", whole.alias("component_id"), (whole == F.col("doc_id")).alias("kept"))
