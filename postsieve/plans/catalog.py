@@ -2,10 +2,348 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import features as X, text as T
+from ..operators import dedupe as D, evaluate as V, labels as L, tfidf as I
+from . import views as W
 
-def oracle_sql() -> dict:
-    return {}
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+FOLDER_SQL = "(['" + "','".join(W.FOLDERS) + f"'])[(doc_id % {len(W.FOLDERS) + 0} + 1)::INT]"
+BASE = f"""base AS (SELECT d.doc_id, d.text, {FOLDER_SQL.replace("doc_id", "d.doc_id")} AS folder, d.source, CASE l.toxic WHEN 1 THEN 'spam' WHEN 0 THEN 'ham' END AS label
+    FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id))"""
+NORM = f"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(concat(chr(10), text)), '{T.URL_SQL}', ' u ', 'g'), '{T.ADDRESS_SQL}', ' e ', 'g'), '{T.DIGITS_SQL}', '0', 'g'), '\\s+', ' ', 'g'))"""
+HASHES = f"sha256(concat(chr(10), text)) AS raw_sha256, CASE WHEN length({NORM}) < 20 THEN sha256(concat(chr(10), text)) ELSE sha256({NORM}) END AS norm_body_hash"
+VARIANTS = f"""{BASE}, lab AS (SELECT * FROM base WHERE label IS NOT NULL),
+raw AS (SELECT doc_id, text, folder, source, label, 0 AS v FROM lab
+    UNION ALL SELECT doc_id, text || ' ', folder, source, label, 1 FROM lab WHERE doc_id % 10 = 0
+    UNION ALL SELECT doc_id, text || '  ', folder, source, CASE label WHEN 'spam' THEN 'ham' ELSE 'spam' END, 2 FROM lab WHERE doc_id % 25 = 0),
+mail AS (SELECT *, v::BIGINT * 1000000000000 + doc_id AS seq, {HASHES} FROM raw),
+uniq AS (SELECT * FROM mail QUALIFY row_number() OVER (PARTITION BY raw_sha256 ORDER BY seq) = 1),
+grp AS (SELECT norm_body_hash, count(*) AS n, count(DISTINCT coalesce(label, '')) AS n_labels FROM uniq GROUP BY 1),
+kept AS (SELECT uniq.* FROM uniq JOIN grp USING (norm_body_hash) WHERE n_labels = 1)"""
+_PICK = "(['" + "','".join(W.DOMAINS) + "'])[(({0})::BIGINT % 3 + 1)::INT]"
+ENRICHED = f"""{BASE}, mail AS (SELECT b.doc_id, b.label, b.folder, 'Re: ' || b.doc_id AS subject,
+    concat(b.text, chr(10), 'See ', p.url, ' or http://10.0.0.', b.doc_id % 200, '/a or bit.ly, mail box', b.doc_id, '@alpha.example $', b.doc_id, ' now!') AS text, p.url,
+    concat('u', b.doc_id, '@', {_PICK.format("b.doc_id")}) AS from_addr, CASE WHEN b.doc_id % 4 = 0 THEN concat('r@', {_PICK.format("b.doc_id // 3")}) ELSE '' END AS reply_to,
+    CASE WHEN b.doc_id % 7 = 0 THEN ['exe'] WHEN b.doc_id % 5 = 0 THEN ['pdf'] ELSE []::VARCHAR[] END AS attachment_types
+    FROM base b JOIN pages p ON p.page_id = b.doc_id % (SELECT count(*) FROM pages))"""
+EVENTS = "ev AS (SELECT event_id, (event_type = 'error')::INT AS y, value AS score, user_id % 5 AS source, user_id % 2 = 0 AS mask FROM events)"
+DOMAIN_SQL = r"""regexp_replace(lower(regexp_extract({0}, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"""
+URLS_SQL = f"list_distinct(regexp_extract_all(text, '{T.URL_SQL}'))"
+TARGET = 0.005
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _Q[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def r9(c: str) -> str:
+    return f"round({c}, 9) AS {c}"
+
+
+# --- dedupe and splits
+
+
+@query("dedupe_report", f"WITH {VARIANTS} SELECT (SELECT count(*) FROM mail) - (SELECT count(*) FROM uniq) AS exact, (SELECT coalesce(sum(n), 0)::BIGINT FROM grp WHERE n > 1 AND n_labels = 1) AS near, count(*) FILTER (n_labels > 1) AS conflict_groups, coalesce(sum(n) FILTER (n_labels > 1), 0)::BIGINT AS conflict_emails, coalesce(sum(n) FILTER (n_labels = 1), 0)::BIGINT AS kept FROM grp")
+def _(s, d):
+    return D.report(W.mail_variants(s, d))
+
+
+@query("dedupe_kept", f"WITH {VARIANTS} SELECT seq, doc_id, label, norm_body_hash FROM kept")
+def _(s, d):
+    return D.dedupe(W.mail_variants(s, d)).select("seq", "doc_id", "label", "norm_body_hash")
+
+
+@query("exact_duplicates", f"WITH {VARIANTS} SELECT raw_sha256, count(*) AS copies, min(seq) AS first_seq FROM mail GROUP BY 1 HAVING count(*) > 1")
+def _(s, d):
+    return W.mail_variants(s, d).groupBy("raw_sha256").agg(F.count("*").alias("copies"), F.min("seq").alias("first_seq")).where("copies > 1")
+
+
+@query("near_dup_groups", f"WITH {VARIANTS} SELECT norm_body_hash, n FROM grp WHERE n > 1 AND n_labels = 1")
+def _(s, d):
+    return D.groups(D.first_copies(W.mail_variants(s, d))).where("n > 1 and n_labels = 1").select("norm_body_hash", "n")
+
+
+@query("conflict_groups", f"WITH {VARIANTS} SELECT norm_body_hash, n, n_labels FROM grp WHERE n_labels > 1")
+def _(s, d):
+    return D.groups(D.first_copies(W.mail_variants(s, d))).where("n_labels > 1").select("norm_body_hash", "n", "n_labels")
+
+
+@query("norm_hash", f"SELECT doc_id, {HASHES} FROM documents")
+def _(s, d):
+    return W.hashed(W.table(s, d, "documents").select("doc_id", "text")).select("doc_id", "raw_sha256", "norm_body_hash")
+
+
+def _folds_sql(source: str, k: int, seed: int) -> str:
+    return f"(SELECT norm_body_hash, (row_number() OVER (PARTITION BY label ORDER BY n DESC, sha256('{seed}:' || norm_body_hash)) - 1) % {k} AS fold FROM (SELECT norm_body_hash, label, count(*) AS n FROM {source} GROUP BY ALL))"
+
+
+_SPLIT = f"""{VARIANTS}, f1 AS {_folds_sql("kept", 5, 42)}, rest AS (SELECT * FROM kept WHERE norm_body_hash NOT IN (SELECT norm_body_hash FROM f1 WHERE fold = 0)), f2 AS {_folds_sql("rest", 7, 43)},
+parts AS (SELECT seq, label, norm_body_hash, CASE WHEN f1.fold = 0 THEN 'test' WHEN f2.fold = 0 THEN 'val' ELSE 'train' END AS part FROM kept JOIN f1 USING (norm_body_hash) LEFT JOIN f2 USING (norm_body_hash))"""
+
+
+@query("split_grouped", f"WITH {_SPLIT} SELECT seq, part FROM parts")
+def _(s, d):
+    return D.split_grouped(D.dedupe(W.mail_variants(s, d))).select("seq", "part")
+
+
+@query("split_sizes", f"WITH {_SPLIT} SELECT part, label, count(*) AS n FROM parts GROUP BY ALL")
+def _(s, d):
+    return D.split_grouped(D.dedupe(W.mail_variants(s, d))).groupBy("part", "label").agg(F.count("*").alias("n"))
+
+
+@query("split_time", "WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS rn, count(*) OVER () AS n FROM events), t AS (SELECT *, round_even(0.2::DOUBLE * n, 0) AS nt FROM r) SELECT event_id, CASE WHEN rn > n - nt THEN 'test' WHEN rn > n - nt - round_even(0.15::DOUBLE * (n - nt), 0) THEN 'val' ELSE 'train' END AS part FROM t")
+def _(s, d):
+    return D.split_time(W.dated_events(s, d), "ts", ["event_id"]).select("event_id", "part")
+
+
+# --- text functions
+
+
+@query("mask_tokens")
+def _(s, d):
+    return W.mail_enriched(s, d).select("doc_id", T.masked(F.col("text")).alias("tokens"))
+
+
+@query("url_extract", f"WITH {ENRICHED}, u AS (SELECT doc_id, {URLS_SQL} AS urls FROM mail) SELECT doc_id, unnest(urls) AS url FROM u")
+def _(s, d):
+    return W.mail_enriched(s, d).select("doc_id", F.explode("urls").alias("url"))
+
+
+@query("url_domain", f"SELECT page_id, {DOMAIN_SQL.format('url')} AS domain FROM pages")
+def _(s, d):
+    return W.table(s, d, "pages").select("page_id", T.url_domain(F.col("url")).alias("domain"))
+
+
+@query("email_domain", f"WITH {ENRICHED} SELECT doc_id, CASE WHEN contains(from_addr, '@') THEN regexp_extract(from_addr, '@([^@]*)$', 1) ELSE '' END AS domain FROM mail")
+def _(s, d):
+    return W.mail_enriched(s, d).select("doc_id", T.email_domain(F.col("from_addr")).alias("domain"))
+
+
+@query("enron_split", "WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Subject: No ' || doc_id || chr(13) || chr(10) || text ELSE text END AS raw FROM documents), u AS (SELECT doc_id, replace(raw, chr(13) || chr(10), chr(10)) AS x FROM t), v AS (SELECT doc_id, x, split_part(x, chr(10), 1) AS f FROM u) SELECT doc_id, CASE WHEN starts_with(lower(f), 'subject:') THEN trim(substr(f, 9)) ELSE '' END AS subject, CASE WHEN starts_with(lower(f), 'subject:') THEN substr(x, length(f) + 2) ELSE x END AS body FROM v")
+def _(s, d):
+    docs = W.table(s, d, "documents")
+    raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Subject: No "), F.col("doc_id").cast("string"), F.lit("\r\n"), "text")).otherwise(F.col("text"))
+    docs = docs.select("doc_id", raw.alias("raw"))
+    subject, body = T.split_enron(F.col("raw"))
+    return docs.select("doc_id", subject.alias("subject"), body.alias("body"))
+
+
+@query("verdict_case", f"WITH {EVENTS} SELECT event_id, CASE WHEN score >= 480 THEN 'spam' WHEN score >= 450 THEN 'suspicious' ELSE 'ham' END AS verdict FROM ev")
+def _(s, d):
+    return W.scored_events(s, d).select("event_id", T.verdict(F.col("score"), F.lit(450.0), F.lit(480.0)).alias("verdict"))
+
+
+_GMAIL = "concat(CASE WHEN doc_id % 3 = 0 THEN 'Inbox, \"Work, home\",' ELSE 'Important,' END, CASE WHEN doc_id % 5 = 0 THEN ' Spam' WHEN doc_id % 7 = 0 THEN 'Sent' ELSE '' END)"
+_GMAIL_LIST = "list_filter([trim(x, ' \"') for x in regexp_extract_all(v, '\\s*(\"[^\"]*\"|[^,]*)(?:,|$)', 1)], lambda x: x <> '')"
+
+
+@query("gmail_labels", f"WITH t AS (SELECT doc_id, {_GMAIL} AS v FROM documents), u AS (SELECT doc_id, {_GMAIL_LIST} AS l FROM t) SELECT doc_id, array_to_string(l, '|') AS labels FROM u")
+def _(s, d):
+    return W.table(s, d, "documents").select("doc_id", F.array_join(T.gmail_labels(F.expr(_GMAIL)), "|").alias("labels"))
+
+
+@query("takeout_folder", f"WITH t AS (SELECT doc_id, {_GMAIL} AS v FROM documents), u AS (SELECT doc_id, [lower(x) for x in {_GMAIL_LIST}] AS l FROM t) SELECT doc_id, CASE WHEN list_contains(l, 'spam') THEN 'Spam' WHEN list_contains(l, 'trash') THEN 'Trash' WHEN list_contains(l, 'drafts') THEN 'Drafts' WHEN list_contains(l, 'chat') THEN 'Chat' WHEN list_contains(l, 'sent') THEN 'Sent' WHEN list_contains(l, 'inbox') THEN 'Inbox' ELSE 'Archived' END AS folder FROM u")
+def _(s, d):
+    return W.table(s, d, "documents").select("doc_id", T.takeout_folder(T.gmail_labels(F.expr(_GMAIL))).alias("folder"))
+
+
+# --- labels
+
+_RULE = "CASE WHEN f IN ('junk', 'spam', 'bulk', 'bulk mail', 'junk e-mail', 'junk email') THEN 'spam' WHEN f IN ('trash', 'deleted', 'deleted items', 'deleted messages', 'drafts', 'sent', 'sent items', 'sent mail', 'sent messages', 'templates', 'outbox') THEN 'skip' ELSE 'ham' END"
+_NORMED = "lower(trim(regexp_replace(regexp_replace(list_extract(string_split(folder, '/'), -1), '(?i)\\.(mbox|sbd)$', ''), '\\s+', ' ', 'g'))) AS f"
+
+
+@query("resolve_label_rules", f"WITH {BASE}, n AS (SELECT doc_id, {_NORMED} FROM base) SELECT doc_id, CASE WHEN f = 'work' THEN 'skip' WHEN f = 'sent items' THEN 'ham' ELSE {_RULE} END AS resolved FROM n")
+def _(s, d):
+    own = L.Overrides(skip=["Work"], include_sent=True)
+    return W.mail_base(s, d).select("doc_id", L.resolve(F.col("folder"), "mbox", own).alias("resolved"))
+
+
+@query("label_report", f"WITH {BASE}, n AS (SELECT folder, {_NORMED} FROM base) SELECT folder, count(*) AS count, {_RULE} AS label FROM n GROUP BY folder, f")
+def _(s, d):
+    return L.label_report(W.mail_base(s, d), "mbox")
+
+
+@query("label_totals_rollup", f"WITH {BASE}, n AS (SELECT {_RULE} AS label FROM (SELECT {_NORMED} FROM base)) SELECT label, count(*) AS count FROM n GROUP BY label")
+def _(s, d):
+    return L.totals(L.label_report(W.mail_base(s, d), "mbox"))
+
+
+@query("folder_label_manifest", f"WITH {BASE}, n AS (SELECT coalesce(label, 'unlabeled') AS label, folder FROM base) SELECT label, folder, count(*) AS count, grouping(label, folder)::BIGINT AS level FROM n GROUP BY ROLLUP (label, folder)")
+def _(s, d):
+    return L.manifest_counts(W.mail_base(s, d))
+
+
+@query("class_balance", f"WITH {BASE} SELECT coalesce(label, 'unlabeled') AS label, count(*) AS n, round(count(*) / (SELECT count(*) FROM base)::DOUBLE, 9) AS share FROM base GROUP BY 1")
+def _(s, d):
+    g = W.mail_base(s, d).groupBy(F.coalesce("label", F.lit("unlabeled")).alias("label")).agg(F.count("*").alias("n"))
+    total = g.agg(F.sum("n").alias("total"))
+    return g.join(F.broadcast(total)).select("label", "n", F.round(F.col("n") / F.col("total"), 9).alias("share"))
+
+
+# --- features
+
+_DOMS = f"list_filter(list_distinct([{DOMAIN_SQL.format('u')} for u in {URLS_SQL}]), lambda x: x <> '')"
+_WHOLE = "concat(subject, chr(10), text)"
+
+
+@query(
+    "struct_features",
+    f"""WITH {ENRICHED}, f AS (SELECT *, {URLS_SQL} AS urls, {_DOMS} AS doms, {_WHOLE} AS w, substr({_WHOLE}, 1, 20000) AS s20, regexp_extract(from_addr, '@([^@]*)$', 1) AS fd, regexp_extract(reply_to, '@([^@]*)$', 1) AS rd FROM mail)
+SELECT doc_id, len(urls)::DOUBLE AS url_count, len(doms)::DOUBLE AS url_domains, 0.0::DOUBLE AS html_share, len(attachment_types)::DOUBLE AS n_attachments, list_contains(attachment_types, 'exe')::INT::DOUBLE AS risky_attachment,
+(fd <> '' AND rd <> '' AND fd <> rd)::INT::DOUBLE AS reply_to_mismatch, round(coalesce(length(regexp_replace(s20, '[^\\p{{Lu}}]', '', 'g')) / nullif(length(regexp_replace(s20, '[^\\p{{L}}]', '', 'g')), 0)::DOUBLE, 0), 9) AS caps_ratio,
+round(1000.0::DOUBLE * (length(w) - length(replace(w, '!', ''))) / greatest(length(w), 1), 9) AS exclaim_per_1k, round(1000.0::DOUBLE * (length(w) - length(replace(w, '$', ''))) / greatest(length(w), 1), 9) AS dollar_per_1k, round(ln(1 + length(w)), 9) AS log_length,
+(len(list_filter(urls, lambda u: regexp_matches(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?\\d{{1,3}}(?:\\.\\d{{1,3}}){{3}}(?:[:/]|$)'))) > 0)::INT::DOUBLE AS ip_url, list_contains(doms, 'bit.ly')::INT::DOUBLE AS shortener_url, 1.0::DOUBLE AS has_headers FROM f""",
+)
+def _(s, d):
+    m = W.mail_enriched(s, d)
+    m = m.select("doc_id", *X.structural(m))
+    return m.select("doc_id", *[F.round(c, 9).alias(c) if c in ("caps_ratio", "exclaim_per_1k", "dollar_per_1k", "log_length") else c for c in X.STRUCTURAL])
+
+
+@query("header_tokens", f"WITH {ENRICHED} SELECT doc_id, concat_ws(' ', 'fromdom=' || regexp_extract(from_addr, '@([^@]*)$', 1), 'replydom=' || nullif(regexp_extract(reply_to, '@([^@]*)$', 1), ''), CASE WHEN doc_id % 3 = 0 THEN 'mailer=mailer-x' END, CASE WHEN doc_id % 2 = 0 THEN 'ctype=text/html' END) AS hdr FROM mail")
+def _(s, d):
+    m = W.mail_enriched(s, d)
+    return m.select("doc_id", X.header_tokens(m["headers"], m["from_addr"], m["reply_to"]).alias("hdr"))
+
+
+@query("json_roundtrip", "SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events")
+def _(s, d):
+    e = W.table(s, d, "events").select("event_id", F.from_json("props", "k long").alias("p"))
+    return e.select("event_id", F.get_json_object(F.to_json("p"), "$.k").cast("long").alias("k"))
+
+
+# --- evaluation
+
+_CUT = f"""{EVENTS}, ham AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS rn FROM ev WHERE y = 0), cut AS (SELECT score AS c FROM ham WHERE rn = (SELECT floor({TARGET}::DOUBLE * count(*)) FROM ham) + 1)"""
+
+
+def _threshold(s, d, mask=None):
+    return V.threshold_for_fpr(W.scored_events(s, d), TARGET, mask)
+
+
+@query("threshold_for_fpr", f"WITH {_CUT} SELECT nextafter(c, 'infinity'::DOUBLE) AS cut FROM cut")
+def _(s, d):
+    return s.range(1).select(F.lit(_threshold(s, d)).alias("cut"))
+
+
+@query("threshold_masked", f"WITH {_CUT.replace('WHERE y = 0', 'WHERE y = 0 AND mask')} SELECT nextafter(c, 'infinity'::DOUBLE) AS cut FROM cut")
+def _(s, d):
+    return s.range(1).select(F.lit(_threshold(s, d, F.col("mask"))).alias("cut"))
+
+
+@query("recall_at_fpr", f"WITH {_CUT} SELECT round(avg((score > c)::INT), 9) AS recall FROM ev, cut WHERE y = 1")
+def _(s, d):
+    return V.recall_at_fpr(W.scored_events(s, d), TARGET).select(F.round("recall", 9).alias("recall"))
+
+
+@query("val_fpr", f"WITH {_CUT} SELECT round(avg((score > c)::INT), 9) AS fpr FROM ev, cut WHERE y = 0")
+def _(s, d):
+    cut = _threshold(s, d)
+    return W.scored_events(s, d).where("y = 0").agg(F.round(F.avg((F.col("score") >= cut).cast("double")), 9).alias("fpr"))
+
+
+_COUNTS = "count(*) FILTER (y = 1 AND h) AS tp, count(*) FILTER (y = 0 AND h) AS fp, count(*) FILTER (y = 0 AND NOT h) AS tn, count(*) FILTER (y = 1 AND NOT h) AS fn"
+_RATIOS = "tp, fp, tn, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p > 0 AND r > 0 THEN 2 * p * r / (p + r) END, 9) AS f1, round(fp / nullif(fp + tn, 0)::DOUBLE, 9) AS fpr, round((tp + tn) / nullif(tp + fp + tn + fn, 0)::DOUBLE, 9) AS accuracy"
+_PR = "tp / nullif(tp + fp, 0)::DOUBLE AS p, tp / nullif(tp + fn, 0)::DOUBLE AS r"
+
+
+def _rounded(df, *keys):
+    return df.select(*keys, "tp", "fp", "tn", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "fpr", "accuracy")])
+
+
+@query("metrics_at", f"WITH {EVENTS}, c AS (SELECT {_COUNTS} FROM (SELECT y, score >= 400 AS h FROM ev)), q AS (SELECT *, {_PR} FROM c) SELECT {_RATIOS} FROM q")
+def _(s, d):
+    return _rounded(V.metrics_at(W.scored_events(s, d), 400.0))
+
+
+@query("report_by_source", f"WITH {EVENTS}, c AS (SELECT CASE WHEN grouping(source) = 1 THEN 'all' ELSE source::VARCHAR END AS source, grouping(source)::BIGINT AS level, {_COUNTS} FROM (SELECT source, y, score >= 400 AS h FROM ev) GROUP BY ROLLUP (source)), q AS (SELECT *, {_PR} FROM c) SELECT source, level, {_RATIOS} FROM q")
+def _(s, d):
+    r = V.report_by_source(W.scored_events(s, d), 400.0)
+    return _rounded(r.withColumn("source", F.when(F.col("level") == 1, "all").otherwise(F.col("source").cast("string"))), "source", "level")
+
+
+_RANK = f"{EVENTS}, g AS (SELECT score, sum(y)::BIGINT AS p, sum(1 - y)::BIGINT AS n FROM ev GROUP BY 1), rk AS (SELECT *, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp, row_number() OVER (ORDER BY score DESC) AS place, sum(p) OVER () AS tot_p, sum(n) OVER () AS tot_n, count(*) OVER () AS m FROM g)"
+
+
+@query("roc_auc", f"WITH {_RANK} SELECT round(sum(n * (tp - p / 2.0::DOUBLE)) / (max(tot_p)::DOUBLE * max(tot_n)), 9) AS roc_auc FROM rk")
+def _(s, d):
+    return V.roc_auc(W.scored_events(s, d)).select(F.round("roc_auc", 9).alias("roc_auc"))
+
+
+@query("pr_auc", f"WITH {_RANK} SELECT round(sum(p * tp / (tp + fp)::DOUBLE) / max(tot_p), 9) AS pr_auc FROM rk")
+def _(s, d):
+    return V.roc_auc(W.scored_events(s, d)).select(F.round("pr_auc", 9).alias("pr_auc"))
+
+
+for _kind, _x, _y in (("roc", "fp / tot_n::DOUBLE", "tp / tot_p::DOUBLE"), ("pr", "tp / tot_p::DOUBLE", "tp / (tp + fp)::DOUBLE")):
+
+    @query(f"{_kind}_curve", f"WITH {_RANK} SELECT round({_x}, 9) AS x, round({_y}, 9) AS y, score FROM rk WHERE (place - 1) % greatest(1, m // 200) = 0")
+    def _(s, d, kind=_kind):
+        return V.curve(W.scored_events(s, d), kind).select(F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), "score")
+
+
+# --- terms
+
+_TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
+_TF = f"tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY ALL), df AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY 1 HAVING count(*) >= 2)"
+
+
+def _words(s, d):
+    return I.term_counts(W.table(s, d, "documents"), "doc_id", F.regexp_extract_all(F.lower("text"), F.lit(I.WORD), 0))
+
+
+@query("term_df", f"WITH {_TF} SELECT term, df, cf FROM df")
+def _(s, d):
+    return I.document_frequency(_words(s, d))
+
+
+@query("tfidf_top_terms", f"WITH {_TF}, w AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::DOUBLE) + 1) AS r FROM tf JOIN df USING (term)), n AS (SELECT doc_id, term, round(r / sqrt(sum(r * r) OVER (PARTITION BY doc_id)), 9) AS weight FROM w) SELECT doc_id, term, weight FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) <= 3")
+def _(s, d):
+    from pyspark.sql import Window
+
+    w = I.tfidf(W.table(s, d, "documents"), "doc_id", F.regexp_extract_all(F.lower("text"), F.lit(I.WORD), 0)).withColumn("weight", F.round("weight", 9))
+    top = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term"))
+    return w.withColumn("k", top).where("k <= 3").drop("k")
+
+
+@query("char_ngrams", "WITH w AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS x FROM benchmark), p AS (SELECT item_id, ' ' || x || ' ' AS x FROM w), g AS (SELECT item_id, unnest(list_concat(CASE WHEN length(x) >= 3 THEN [substr(x, i, 3) for i in range(1, length(x) - 1)] ELSE [x] END, [substr(x, i, 4) for i in range(1, length(x) - 2)], [substr(x, i, 5) for i in range(1, length(x) - 3)])) AS gram FROM p) SELECT item_id, gram, count(*) AS n FROM g GROUP BY ALL")
+def _(s, d):
+    return W.table(s, d, "benchmark").select("item_id", F.explode(I.char_grams(F.col("text"))).alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("n"))
+
+
+# --- archive study
+
+
+@query("summary_stats", "SELECT count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, min(value) AS lo, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS q2, round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS hi FROM events")
+def _(s, d):
+    q = lambda p: F.round(F.percentile("value", p), 6)
+    return W.table(s, d, "events").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev("value"), 6).alias("sd"), F.min("value").alias("lo"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), F.max("value").alias("hi"))
+
+
+@query("histogram_bins", "WITH b AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT least(29, floor((value - lo) / (hi - lo) * 30))::BIGINT AS bin, count(*) AS n FROM events, b GROUP BY 1")
+def _(s, d):
+    e = W.table(s, d, "events")
+    edge = e.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    at = F.least(F.lit(29), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 30)).cast("long")
+    return e.join(F.broadcast(edge)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
