@@ -32,12 +32,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from .shared import U64, Scratch, documents_words, gram_hashes, mix
 
-WINDOW, ANCHOR = 50, 8
+WINDOW, ANCHOR, PROBE = 50, 8, 3
+#: Windows of a region at most.
+REGION_WINDOWS = 64
 #: Distinct regions that a shard gets on average: a suffix array of some 400,000 words.
 SHARD_REGIONS = 6_000
 #: From here on an anchor's windows are dealt one by one.
 HOT_ROWS = 3_000
-_NO_DOC = np.int64(2**62)
+#: Steps that all regions of a shard take together before what remains is searched by window.
+SHARED_STEPS = 250
 
 
 class Wavelet:
@@ -127,37 +130,70 @@ class Fm:
         return out
 
     def earlier(self) -> list[tuple[int, int, int]]:
-        """(region, first word, end) of matches of WINDOW words or more that occur in an earlier document."""
+        """(region, first word, end) of matches of WINDOW words or more that occur in an earlier document.
+
+        All regions step together.  A region looks for a match that ends before `end`; it
+        holds words at .. end-1 and its interval of suffixes.  Where a step fails at word
+        f, no window that holds f .. end-1 is left, and windows behind f were inside what
+        matched.  What may remain holds f and ends sooner.  So a short probe from f
+        follows (PROBE words, then twice as many each time): if it fails too, all windows
+        that hold it are out, which is found in a few steps and not in WINDOW.
+        """
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         region = np.flatnonzero(self.sizes >= WINDOW)
-        end = self.sizes[region].copy()  # the match searched for ends before this word
-        at = end.copy()  # it now begins here
+        end = self.sizes[region].copy()
+        at = end.copy()
+        goal = np.full(len(region), -1)  # the word at which the search before failed, -1 at first
+        most = end.copy()  # ends of windows that may remain are at most this
         low, high = np.zeros(len(region), np.int64), np.full(len(region), len(self.text), np.int64)
-        while len(region):
-            symbol = self.text[self.first[region] + np.maximum(at - 1, 0)]
-            base = self.base[symbol]
-            lo = self.count[symbol] + self.wavelet.rank(symbol, low) - base
-            hi = self.count[symbol] + self.wavelet.rank(symbol, high) - base
-            ok = (at > 0) & (hi > lo)
-            sub = np.flatnonzero(ok)
-            ok[sub] = self.smallest(lo[sub], hi[sub]) < self.docs[region[sub]]
-            low, high, at = np.where(ok, lo, low), np.where(ok, hi, high), np.where(ok, at - 1, at)
+        for _ in range(SHARED_STEPS):
+            if not len(region):
+                break
+            ok, low, high = self.extend(region, at, low, high)
+            at = np.where(ok, at - 1, at)
             stop = ~ok
             hit = stop & (end - at >= WINDOW)
             if hit.any():
                 found.append((region[hit], at[hit], end[hit]))
-            # words at-1 .. end-1 do not match: the next match to try begins at or before at-1 and ends sooner
-            nxt = np.minimum(end - 1, at - 1 + WINDOW)
-            # without a match, windows that hold all of words at-1 .. end-1 are out: begin after at-1 or end before end
-            end = np.where(stop, nxt, end)
-            gone = stop & ((at == 0) | (end < WINDOW))
+            # a probe that got past its goal proves nothing about longer ends: probe further
+            longer = stop & (goal >= 0) & (at <= goal) & (end < most)
+            fail = stop & ~longer
+            length = np.where(longer, 2 * (end - goal), PROBE)
+            goal = np.where(fail, at - 1, goal)
+            # a window that holds word `goal` ends WINDOW - 1 words behind it at most
+            most = np.where(fail, np.minimum(end - 1, goal + WINDOW), most)
+            gone = fail & ((at == 0) | (most < WINDOW))
+            end = np.where(stop, np.minimum(goal + length, most), end)
             at = np.where(stop, end, at)
             low, high = np.where(stop, 0, low), np.where(stop, len(self.text), high)
             if gone.any():
                 keep = ~gone
-                region, end, at, low, high = region[keep], end[keep], at[keep], low[keep], high[keep]
+                region, end, at, low, high, goal, most = region[keep], end[keep], at[keep], low[keep], high[keep], goal[keep], most[keep]
+        # a few regions need very many probes: their remaining windows are searched side by side
+        many = most - WINDOW + 1
+        one = np.repeat(region, many)
+        end = WINDOW + np.arange(len(one)) - np.repeat(np.cumsum(many) - many, many)
+        at = end.copy()
+        low, high = np.zeros(len(one), np.int64), np.full(len(one), len(self.text), np.int64)
+        for _ in range(WINDOW):
+            ok, low, high = self.extend(one, at, low, high)
+            one, end, at, low, high = one[ok], end[ok], at[ok] - 1, low[ok], high[ok]
+        found.append((one, at, end))
         return [(int(r), int(a), int(b)) for x in found for r, a, b in zip(*x, strict=True)]
 
+    def extend(self, region: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One step of backward search: whether the word before `at` can be added, and the intervals."""
+        n = len(region)
+        symbol = self.text[self.first[region] + np.maximum(at - 1, 0)]
+        shift = self.count[symbol] - self.base[symbol]
+        rank = self.wavelet.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        lo, hi = rank[:n] + shift, rank[n:] + shift
+        ok = (at > 0) & (hi > lo)
+        sub = np.flatnonzero(ok)
+        if len(sub):
+            ok[sub] = self.smallest(lo[sub], hi[sub]) < self.docs[region[sub]]
+        return ok, np.where(ok, lo, low), np.where(ok, hi, high)
+
 
 def regions_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, end, anchor) of the maximal runs of windows that choose one anchor."""
@@ -175,7 +211,11 @@ def regions_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         best = np.minimum(best[: len(best) - (span - done)], best[span - done :])
     cut = np.flatnonzero(best[1:] != best[:-1]) + 1
     first = np.concatenate([[0], cut])
-    return first, np.append(cut, n) + WINDOW - 1, best[first]
+    # where words repeat with a short period, one anchor goes on: such runs are parted
+    long = -(-np.diff(np.append(first, n)) // REGION_WINDOWS)
+    part = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
+    first = np.repeat(first, long) + part * REGION_WINDOWS
+    return first, np.append(first[1:], n) + WINDOW - 1, best[first]
 
 
 def _regions(batches):
