@@ -115,7 +115,7 @@ class Graph:
         return ids, sims
 
     def _beam(self, q: np.ndarray, entry: np.ndarray, beam: int, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, row = len(q), np.arange(len(q))[:, None]
+        n = len(q)
         seen = np.zeros((n, len(self.x)), bool)
         entry = np.sort(entry, axis=1)
         twice = np.zeros(entry.shape, bool)
@@ -124,7 +124,8 @@ class Graph:
         sims = np.einsum("qd,qcd->qc", q, self.x[entry])
         sims[twice] = -2
         ids = np.where(twice, -1, entry)
-        seen[row, np.maximum(ids, 0)] |= ids >= 0
+        r, c = (ids >= 0).nonzero()
+        seen[r, ids[r, c]] = True
         pad = max(0, beam - ids.shape[1])
         ids, sims = np.pad(ids, ((0, 0), (0, pad)), constant_values=-1), np.pad(sims, ((0, 0), (0, pad)), constant_values=-2)
         fresh = ids >= 0
@@ -144,7 +145,8 @@ class Graph:
             more.sort(axis=1)
             more[:, 1:][more[:, 1:] == more[:, :-1]] = -1
             new = (more >= 0) & ~seen[live[:, None], more]
-            seen[live[:, None], np.maximum(more, 0)] |= new
+            r, c = new.nonzero()
+            seen[live[r], more[r, c]] = True
             s = np.where(new, np.einsum("qd,qcd->qc", q[live], self.x[more]), -2).astype(np.float32)
             all_ids, all_sims = np.hstack([ids[live], np.where(new, more, -1)]), np.hstack([sims[live], s])
             all_fresh = np.hstack([fresh[live], new])
