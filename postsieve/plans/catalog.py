@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import features as X, text as T
-from ..operators import dedupe as D, evaluate as V, labels as L, tfidf as I
+from ..operators import dedupe as D, evaluate as V, labels as L, models as M, tfidf as I
+from ..sources import mail
 from . import views as W
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -341,6 +343,45 @@ def _(s, d):
     return e.join(F.broadcast(edge)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 
+# --- parsing and models; no SQL twin
+
+
+@query("html_to_text")
+def _(s, d):
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def visible(page: pd.Series) -> pd.Series:
+        return page.map(lambda x: None if x is None else mail.html_text(x)[0])
+
+    return W.table(s, d, "pages").select("page_id", visible("html").alias("text"))
+
+
+@query("parse_messages")
+def _(s, d):
+    head = F.concat(F.lit("From: A <U"), F.col("doc_id").cast("string"), F.lit("@Alpha.example>\nSubject: =?utf-8?q?No_=C3=A9?=\nDate: Mon, 01 Jan 2024 10:00:00 +0200\nContent-Type: text/plain; charset=utf-8\n\n"), "text")
+    raw = W.table(s, d, "documents").select(F.col("doc_id").alias("seq"), F.lit("docs").alias("source"), F.col("lang").alias("folder"), head.cast("binary").alias("raw"))
+    return mail.parse(raw).drop("headers")
+
+
+def _labelled(s, d):
+    return M.with_terms(W.mail_base(s, d).where("label is not null")).select("doc_id", "terms", T.is_spam(F.col("label")).cast("double").alias("y"), F.lit(1.0).alias("w"))
+
+
+for _algo in ("logreg", "cnb", "svm"):
+
+    @query(f"model_{_algo}")
+    def _(s, d, algo=_algo):
+        rows = _labelled(s, d)
+        return M.scores(M.fit(rows.where("doc_id % 5 <> 0"), algo), rows.where("doc_id % 5 = 0"), "doc_id")
+
+
+@query("explain_topk")
+def _(s, d):
+    rows = _labelled(s, d)
+    return M.explain(M.fit(rows.where("doc_id % 5 <> 0"), "logreg"), rows.where("doc_id % 5 = 0"), "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 
