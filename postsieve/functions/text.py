@@ -22,18 +22,34 @@ DIGITS_SQL = r"\p{Nd}+"
 TEXT_LIMIT, URL_LIMIT, HEAD_CHARS, CAPS_SAMPLE, SHORT_NORM = 200_000, 200, 2000, 20_000, 20
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _replaced(value: Column, marks: tuple[str, ...], pattern: str, by: str) -> Column:
+    """regexp_replace, but only where one of the strings occurs that every match holds."""
+
+    def use(x: Column) -> Column:
+        some = F.contains(x, F.lit(marks[0]))
+        for m in marks[1:]:
+            some = some | F.contains(x, F.lit(m))
+        return F.when(some, F.regexp_replace(x, pattern, by)).otherwise(x)
+
+    return once(value, use)
+
+
 def normalized(subject: Column, text: Column) -> Column:
     """The text whose hash tells near-duplicates: lower case, then masks in this order."""
     s = F.lower(F.concat(subject, F.lit("\n"), text))
-    s = F.regexp_replace(s, URL, " u ")
-    s = F.regexp_replace(s, ADDRESS, " e ")
+    s = _replaced(s, ("://", "www."), URL, " u ")
+    s = _replaced(s, ("@",), ADDRESS, " e ")
     s = F.regexp_replace(s, DIGITS, "0")
     return F.trim(F.regexp_replace(s, SPACE, " "))
 
 
 def norm_hash(subject: Column, text: Column, raw_sha256: Column) -> Column:
-    n = normalized(subject, text)
-    return F.when(F.length(n) < SHORT_NORM, raw_sha256).otherwise(F.sha2(n, 256))
+    return once(normalized(subject, text), lambda n: F.when(F.length(n) < SHORT_NORM, raw_sha256).otherwise(F.sha2(n, 256)))
 
 
 def urls(text: Column) -> Column:
