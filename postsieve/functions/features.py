@@ -16,18 +16,18 @@ STRUCTURAL = ["url_count", "url_domains", "html_share", "n_attachments", "risky_
 def structural(m: DataFrame) -> list[Column]:
     """The 13 features as doubles, named as in STRUCTURAL."""
     c = m.__getitem__
-    whole = F.concat(c("subject"), F.lit("\n"), c("text"))
-    sample = F.substring(whole, 1, CAPS_SAMPLE)
+    text = F.coalesce(c("text"), F.lit(""))
+    sample = F.substring(text, 1, CAPS_SAMPLE)
     letters = F.regexp_count(sample, F.lit(r"\p{L}"))
     domains = F.array_except(F.array_distinct(F.transform(c("urls"), url_domain)), F.array(F.lit("")))
     own, reply = email_domain(c("from_addr")), email_domain(c("reply_to"))
-    per_1k = lambda mark: 1000.0 * (F.length(whole) - F.length(F.replace(whole, F.lit(mark), F.lit("")))) / F.greatest(F.length(whole), F.lit(1))
+    per_1k = lambda mark: 1000.0 * (F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / F.greatest(F.length(text), F.lit(1))
     values = [
         F.size(c("urls")), F.size(domains), c("html_share"), c("n_attachments"),
         F.arrays_overlap(F.transform(c("attachment_types"), lambda x: F.lower(x)), F.array(*map(F.lit, RISKY))),
         (own != "") & (reply != "") & (own != reply),
         F.when(letters > 0, F.regexp_count(sample, F.lit(r"\p{Lu}")) / letters).otherwise(0.0),
-        per_1k("!"), per_1k("$"), F.log1p(F.length(whole)),
+        per_1k("!"), per_1k("$"), F.log1p(F.length(text)),
         F.exists(c("urls"), lambda u: u.rlike(IP_URL)),
         F.arrays_overlap(domains, F.array(*map(F.lit, SHORTENERS))),
         c("from_addr") != "",
@@ -44,7 +44,7 @@ def header_tokens(headers: Column, from_addr: Column, reply_to: Column) -> Colum
     parts = [
         F.concat(F.lit("fromdom="), domain(from_addr)), F.concat(F.lit("replydom="), domain(reply_to)),
         F.when(mailer != "", F.concat(F.lit("mailer="), mailer)), F.when(kind != "", F.concat(F.lit("ctype="), kind)),
-        F.when(get("list-unsubscribe").isNotNull(), "has_list_unsub"),
+        F.when(F.map_contains_key(headers, F.lit("list-unsubscribe")), "has_list_unsub"),
     ]
     return F.coalesce(F.nullif(F.concat_ws(" ", *parts), F.lit("")), F.lit("no_headers"))
 

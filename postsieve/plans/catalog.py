@@ -198,12 +198,11 @@ def _(s, d):
 # --- features
 
 _DOMS = f"list_filter(list_distinct([{DOMAIN_SQL.format('u')} for u in {URLS_SQL}]), lambda x: x <> '')"
-_WHOLE = "concat(subject, chr(10), text)"
 
 
 @query(
     "struct_features",
-    f"""WITH {ENRICHED}, f AS (SELECT *, {URLS_SQL} AS urls, {_DOMS} AS doms, {_WHOLE} AS w, substr({_WHOLE}, 1, 20000) AS s20, regexp_extract(from_addr, '@([^@]*)$', 1) AS fd, regexp_extract(reply_to, '@([^@]*)$', 1) AS rd FROM mail)
+    f"""WITH {ENRICHED}, f AS (SELECT *, {URLS_SQL} AS urls, {_DOMS} AS doms, text AS w, substr(text, 1, 20000) AS s20, regexp_extract(from_addr, '@([^@]*)$', 1) AS fd, regexp_extract(reply_to, '@([^@]*)$', 1) AS rd FROM mail)
 SELECT doc_id, len(urls)::DOUBLE AS url_count, len(doms)::DOUBLE AS url_domains, 0.0::DOUBLE AS html_share, len(attachment_types)::DOUBLE AS n_attachments, list_contains(attachment_types, 'exe')::INT::DOUBLE AS risky_attachment,
 (fd <> '' AND rd <> '' AND fd <> rd)::INT::DOUBLE AS reply_to_mismatch, round(coalesce(length(regexp_replace(s20, '[^\\p{{Lu}}]', '', 'g')) / nullif(length(regexp_replace(s20, '[^\\p{{L}}]', '', 'g')), 0)::DOUBLE, 0), 9) AS caps_ratio,
 round(1000.0::DOUBLE * (length(w) - length(replace(w, '!', ''))) / greatest(length(w), 1), 9) AS exclaim_per_1k, round(1000.0::DOUBLE * (length(w) - length(replace(w, '$', ''))) / greatest(length(w), 1), 9) AS dollar_per_1k, round(ln(1 + length(w)), 9) AS log_length,

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import Row, functions as F
 
-from postsieve.functions import text as T
+from postsieve.functions import features as X, text as T
 from postsieve.operators import dedupe as D, evaluate as V, labels as L, tfidf as I
 
 
@@ -73,3 +73,9 @@ def test_rules(spark, folder, rules, own, want):
 def test_char_grams(spark):
     df = spark.createDataFrame([("a Bcd",)], "t string")
     assert sorted(df.select(F.explode(I.char_grams(F.col("t")))).toPandas()["col"]) == sorted([" a ", " bc", "bcd", "cd ", " bcd", "bcd ", " bcd "])
+
+
+def test_structural_features_see_the_body_alone(spark):
+    m = spark.createDataFrame([("WOW!!! $$$", "Ab!$", 0.25, 1, ["EXE"], ["http://10.0.0.1/x", "bit.ly"], "a@x.example", "")], "subject string, text string, html_share double, n_attachments int, attachment_types array<string>, urls array<string>, from_addr string, reply_to string")
+    got = m.select(*X.structural(m)).first().asDict()
+    assert got == {"url_count": 2, "url_domains": 2, "html_share": 0.25, "n_attachments": 1, "risky_attachment": 1, "reply_to_mismatch": 0, "caps_ratio": 0.5, "exclaim_per_1k": 250, "dollar_per_1k": 250, "log_length": math.log1p(4), "ip_url": 1, "shortener_url": 1, "has_headers": 1}
