@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,14 +29,18 @@ KINDS = {"full": tuple(BLOCKS), "words": WORDS}
 
 
 def frame(mail: DataFrame, *keep: str) -> DataFrame:
-    """keep, one array of tokens per block, and num, the 13 signals after log1p.  Null texts count as empty."""
+    """keep, one array of tokens per block, num, the 13 signals after log1p, and _at.  Null texts count as empty.
+
+    _at only keeps these columns in a projection of their own: merged into a Python call,
+    Spark leaves the call inside its expression and fails with "cannot evaluate".
+    """
     m = mail
     for c in ("subject", "text", "from_addr", "reply_to"):
         m = m.withColumn(c, F.coalesce(c, F.lit("")))
     head = F.concat(m["subject"], F.lit("\n"), F.substring(m["text"], 1, HEAD_CHARS))
     hdr = F.split(X.header_tokens(m["headers"], m["from_addr"], m["reply_to"]), r"(?U)\s+")
     num = F.array(*[F.log1p(c) for c in X.structural(m)])
-    return m.select(*keep, words_and_pairs(masked(m["subject"])).alias("subj"), words_and_pairs(masked(m["text"])).alias("body"), char_grams(head).alias("char"), hdr.alias("hdr"), num.alias("num"))
+    return m.select(*keep, words_and_pairs(masked(m["subject"])).alias("subj"), words_and_pairs(masked(m["text"])).alias("body"), char_grams(head).alias("char"), hdr.alias("hdr"), num.alias("num"), F.monotonically_increasing_id().alias("_at"))
 
 
 @dataclass
@@ -126,18 +129,18 @@ def vectors(rows: DataFrame, v: Vocabulary, *keep: str) -> DataFrame:
 
     def make(*blocks):
         known = shared.value
-        i, x = known.encode(dict(zip([*BLOCKS, "num"], blocks, strict=True)))
+        i, x = known.encode(dict(zip([*BLOCKS, "num", "_at"], blocks, strict=True)))
         cut = np.searchsorted(i, known.n_words)
         return SparseVector(known.size, i, x), SparseVector(max(known.n_words, 1), i[:cut], x[:cut])
 
     from pyspark.sql.types import StructField, StructType
 
     shape = StructType([StructField("features", VectorUDT()), StructField("words", VectorUDT())])
-    return rows.select(*keep, F.udf(make, shape)(*BLOCKS, "num").alias("v")).select(*keep, "v.features", "v.words")
+    return rows.select(*keep, F.udf(make, shape)(*BLOCKS, "num", "_at").alias("v")).select(*keep, "v.features", "v.words")
 
 
 def _blocks() -> Column:
-    return F.struct(*BLOCKS, "num")
+    return F.struct(*BLOCKS, "num", "_at")
 
 
 def margins(rows: DataFrame, v: Vocabulary, coefs: np.ndarray, intercepts: np.ndarray) -> Column:
@@ -145,14 +148,10 @@ def margins(rows: DataFrame, v: Vocabulary, coefs: np.ndarray, intercepts: np.nd
     shared = rows.sparkSession.sparkContext.broadcast((v, np.asarray(coefs), np.asarray(intercepts)))
 
     @F.pandas_udf("array<double>")
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    def score(f: pd.DataFrame) -> pd.Series:
         known, w, b = shared.value
-        for f in batches:
-            out = []
-            for row in f.to_dict("records"):
-                i, x = known.encode(row)
-                out.append((w[:, i] @ x + b).tolist())
-            yield pd.Series(out)
+        made = (known.encode(row) for row in f.to_dict("records"))
+        return pd.Series([(w[:, i] @ x + b).tolist() for i, x in made], dtype=object)
 
     return score(_blocks())
 
@@ -162,15 +161,14 @@ def contributions(rows: DataFrame, v: Vocabulary, coef: np.ndarray, top_k: int =
     shared = rows.sparkSession.sparkContext.broadcast((v, np.asarray(coef)))
 
     @F.pandas_udf("array<struct<feature:string,weight:double>>")
-    def reasons(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    def reasons(f: pd.DataFrame) -> pd.Series:
         known, w = shared.value
-        for f in batches:
-            out = []
-            for row in f.to_dict("records"):
-                i, x = known.encode(row)
-                c = x * w[i]
-                best = [j for j in np.lexsort((i, -np.abs(c))) if c[j] != 0][:top_k]
-                out.append([{"feature": known.name(int(i[j])), "weight": float(c[j])} for j in best])
-            yield pd.Series(out)
+        out = []
+        for row in f.to_dict("records"):
+            i, x = known.encode(row)
+            c = x * w[i]
+            best = [j for j in np.lexsort((i, -np.abs(c))) if c[j] != 0][:top_k]
+            out.append([{"feature": known.name(int(i[j])), "weight": float(c[j])} for j in best])
+        return pd.Series(out, dtype=object)
 
     return reasons(_blocks())

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import features as X, text as T
-from ..operators import dedupe as D, evaluate as V, labels as L, models as M, tfidf as I
+from ..operators import blocks as B, dedupe as D, evaluate as V, labels as L, models as M, study as Y, tfidf as I, training as R
 from ..sources import mail
 from . import views as W
 
@@ -381,6 +381,64 @@ def _(s, d):
     return M.explain(M.fit(rows.where("doc_id % 5 <> 0"), "logreg"), rows.where("doc_id % 5 = 0"), "doc_id")
 
 
+# --- more of features and of the study
+
+_FLAGS = f"WITH {ENRICHED}, f AS (SELECT doc_id, {_DOMS} AS doms, attachment_types AS a FROM mail) SELECT doc_id, list_contains(a, 'exe') AS risky, list_contains(doms, 'bit.ly') AS shortener FROM f"
+
+
+@query("risky_shortener_flags", _FLAGS)
+def _(s, d):
+    m = W.mail_enriched(s, d)
+    m = m.select("doc_id", *X.structural(m))
+    return m.select("doc_id", (F.col("risky_attachment") > 0).alias("risky"), (F.col("shortener_url") > 0).alias("shortener"))
+
+
+_HDR = "concat_ws(' ', 'fromdom=' || regexp_extract(from_addr, '@([^@]*)$', 1), 'replydom=' || nullif(regexp_extract(reply_to, '@([^@]*)$', 1), ''), CASE WHEN doc_id % 3 = 0 THEN 'mailer=mailer-x' END, CASE WHEN doc_id % 2 = 0 THEN 'ctype=text/html' END)"
+
+
+@query("header_tfidf", f"WITH {ENRICHED}, t AS (SELECT DISTINCT doc_id, unnest(string_split({_HDR}, ' ')) AS term FROM mail), df AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM t GROUP BY 1) SELECT doc_id, term, round(idf / sqrt(sum(idf * idf) OVER (PARTITION BY doc_id)), 9) AS weight FROM t JOIN df USING (term)")
+def _(s, d):
+    m = W.mail_enriched(s, d)
+    terms = F.split(X.header_tokens(m["headers"], m["from_addr"], m["reply_to"]), r"\s+")
+    return I.tfidf(m, "doc_id", terms, min_df=1, sublinear=False).withColumn("weight", F.round("weight", 9))
+
+
+def _vectors(s, d):
+    return W.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+@query("knn_baseline", "WITH d AS (SELECT q.vec_id AS query, e.vec_id AS id, e.label, round(list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS x FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0 AND e.label IS NOT NULL), k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY x, id) <= 5), v AS (SELECT query, label, count(*) AS n FROM k GROUP BY ALL) SELECT query, label::BIGINT AS predicted FROM v QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, label) = 1")
+def _(s, d):
+    rows = _vectors(s, d)
+    return Y.vote(Y.neighbours(rows, rows.where("id % 100 = 0")))
+
+
+def _study(s, d):
+    from pyspark.ml.functions import array_to_vector
+
+    rows = _vectors(s, d).where("label is not null and vector is not null").select("id", array_to_vector("vector").alias("features"), F.col("label").cast("double").alias("y"))
+    return rows.where("pmod(crc32(cast(id as string)), 10) >= 3"), rows.where("pmod(crc32(cast(id as string)), 10) < 3")
+
+
+@query("study_accuracy")
+def _(s, d):
+    return Y.accuracies(*Y.scaled(*_study(s, d)), names=["gaussian_nb", "logistic", "tree"])
+
+
+@query("forest_importance")
+def _(s, d):
+    train, _ = _study(s, d)
+    return Y.importances(train, [f"v{i}" for i in range(len(_vectors(s, d).first()["vector"]))])
+
+
+@query("cv_select")
+def _(s, d):
+    m = W.mail_enriched(s, d).where("label is not null").withColumn("raw_sha256", F.sha2("text", 256))
+    m = m.withColumn("norm_body_hash", T.norm_hash(F.col("subject"), F.col("text"), F.col("raw_sha256"))).withColumn("y", T.is_spam(F.col("label")).cast("double")).withColumn("own", F.lit(False))
+    table = R.select(B.frame(m, "seq", "y", "own", "norm_body_hash"), candidates=[R.Candidate("logreg"), R.Candidate("cnb")], folds=2, log=lambda *_: None)
+    return s.createDataFrame([(r["candidate"], r["recall_at_fpr"], r["recall_std"], r["pr_auc"]) for r in table], "candidate string, recall_at_fpr double, recall_std double, pr_auc double")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 
