@@ -1,15 +1,16 @@
 """Thresholds under a false-positive budget, confusion metrics, ranking metrics and curves.
 
-Inputs are rows (y 0/1, score).  Rankings work on distinct scores, counted first, and
-their running sums in two levels (ranges of scores, then inside each range), so no
-single task sees all scores.
+Inputs are rows (y 0/1, score).  Rankings work on distinct scores, counted first, with
+running sums in two levels (ranks.py), so no single task sees all scores.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .ranks import running
 
 
 class NoHam(ValueError):
@@ -25,14 +26,8 @@ def threshold_for_fpr(rows: DataFrame, target: float, mask: Column | None = None
     allowed = math.floor(target * n)
     if allowed >= n:
         return float(ham.agg(F.min("score")).first()[0])
-    # counted by score, then only as many of the top scores as hold allowed + 1 rows
-    top = ham.groupBy("score").agg(F.count("*").alias("c")).orderBy(F.desc("score")).limit(allowed + 1).collect()
-    seen = 0
-    for r in top:
-        seen += r["c"]
-        if seen > allowed:
-            return math.nextafter(r["score"], math.inf)
-    raise AssertionError
+    # the highest score that more than allowed rows reach
+    return math.nextafter(ranked(ham).where(F.col("fp") > allowed).agg(F.max("score")).first()[0], math.inf)
 
 
 def metrics(y: Column, hit: Column) -> list[Column]:
@@ -59,19 +54,11 @@ def recall_at_fpr(rows: DataFrame, target: float, mask: Column | None = None) ->
     return rows.where("y = 1").agg(F.avg((F.col("score") >= cut).cast("double")).alias("recall"))
 
 
-def ranked(rows: DataFrame, ranges: int = 64) -> DataFrame:
+def ranked(rows: DataFrame) -> DataFrame:
     """score, p, n (rows of either class with it), tp, fp (rows at or above), place (1 for the highest), pos, neg (all rows of a class)."""
     h = rows.groupBy("score").agg(F.sum("y").cast("long").alias("p"), F.sum(1 - F.col("y")).cast("long").alias("n"))
-    cuts = F.percentile_approx("score", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(1000))
-    edges = h.agg(cuts.alias("edges"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
-    # one row of ranges - 1 numbers
-    h = h.join(F.broadcast(edges)).withColumn("range", F.size(F.filter("edges", lambda e: e >= F.col("score"))))
-    sums = h.groupBy("range").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"), F.count("*").alias("sc"))
-    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(b) for c, b in (("sp", "bp"), ("sn", "bn"), ("sc", "bc"))])
-    inside = W.partitionBy("range").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    h = h.join(F.broadcast(sums), "range")
-    return h.select("score", "p", "n", (F.col("bp") + F.sum("p").over(inside)).alias("tp"), (F.col("bn") + F.sum("n").over(inside)).alias("fp"), (F.col("bc") + F.row_number().over(W.partitionBy("range").orderBy(F.desc("score")))).alias("place"), "pos", "neg")
+    h = running(h, [-F.col("score")], {"tp": F.col("p"), "fp": F.col("n"), "place": F.lit(1)})
+    return h.select("score", "p", "n", "tp", "fp", "place", F.col("all_tp").alias("pos"), F.col("all_fp").alias("neg"))
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:
