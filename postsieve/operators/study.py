@@ -6,11 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.feature import MinMaxScaler, StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 QUERY_BLOCK = 2000
+#: Trees, depth (30 stands for no bound), rows that a node needs to be split.
+GRID = ([100, 200, 400], [30, 10, 20], [2, 5, 10])
 
 
 def models(seed: int = 42) -> dict:
@@ -39,6 +45,56 @@ def scaled(train: DataFrame, *others: DataFrame) -> list[DataFrame]:
     return [m.transform(d).drop("features").withColumnRenamed("_f", "features") for d in (train, *others)]
 
 
+def ranged(train: DataFrame, *others: DataFrame) -> list[DataFrame]:
+    """Features mapped to 0..1 by the training rows' extremes alone."""
+    m = MinMaxScaler(inputCol="features", outputCol="_f").fit(train)
+    return [m.transform(d).drop("features").withColumnRenamed("_f", "features") for d in (train, *others)]
+
+
+def rbf(train: DataFrame, *others: DataFrame, width: int = 512, seed: int = 42) -> list[DataFrame]:
+    """features in which inner products approach exp(-g |a - b|^2): width random cosines, g = 1 / (features * their variance).
+
+    A linear SVM on them stands for one with this kernel, whose exact form grows with the square of the rows.
+    """
+    s = train.agg(Summarizer.mean(F.col("features")).alias("m"), Summarizer.variance(F.col("features")).alias("v"), F.count("*").alias("n")).first()
+    d = len(s["m"])
+    # the variance over all entries: inside the columns and between their means
+    spread = float(s["v"].toArray().mean() * max(s["n"] - 1, 1) / s["n"] + s["m"].toArray().var())
+    rng = np.random.default_rng(seed)
+    turn, shift = rng.normal(0, np.sqrt(2 / (d * (spread or 1.0))), (d, width)), rng.uniform(0, 2 * np.pi, width)
+
+    @F.pandas_udf("array<double>")
+    def cosines(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.sqrt(2 / width) * np.cos(np.array(x.tolist()).reshape(-1, d) @ turn + shift)))
+
+    return [x.withColumn("features", array_to_vector(cosines(vector_to_array("features")))) for x in (train, *others)]
+
+
+def rbf_svm(train: DataFrame, held: DataFrame, c: float = 1.0, **how) -> DataFrame:
+    """held with prediction and rawPrediction; classes 0 and 1."""
+    train, held = rbf(train, held, **how)
+    train = train.persist()
+    out = LinearSVC(labelCol="y", regParam=1 / (c * max(train.count(), 1)), maxIter=100).fit(train).transform(held)
+    train.unpersist()
+    return out
+
+
+def grid_search(train: DataFrame, key: str, grid: tuple = GRID, folds: int = 3, seed: int = 42) -> DataFrame:
+    """trees, depth, least, accuracy (mean over folds by hash of key) of forests, the best first.
+
+    A node of fewer than `least` rows is not to be split; trees here bound the rows of a
+    child, so half of it, rounded up, is that bound.
+    """
+    f = RandomForestClassifier(labelCol="y", seed=seed)
+    sets = ParamGridBuilder().addGrid(f.numTrees, grid[0]).addGrid(f.maxDepth, grid[1]).addGrid(f.minInstancesPerNode, sorted({-(-x // 2) for x in grid[2]})).build()
+    rows = train.withColumn("_fold", F.pmod(F.crc32(F.col(key).cast("string")), F.lit(folds)).cast("int"))
+    cv = CrossValidator(estimator=f, estimatorParamMaps=sets, evaluator=MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy"), numFolds=folds, foldCol="_fold", parallelism=4)
+    means = cv.fit(rows).avgMetrics
+    least = {-(-x // 2): x for x in grid[2]}
+    found = [(s[f.numTrees], s[f.maxDepth], least[s[f.minInstancesPerNode]], float(m)) for s, m in zip(sets, means, strict=True)]
+    return train.sparkSession.createDataFrame(sorted(found, key=lambda r: (-r[3], r[:3])), "trees int, depth int, least int, accuracy double")
+
+
 def importances(train: DataFrame, names: list[str]) -> DataFrame:
     m = models()["forest"].fit(train)
     return train.sparkSession.createDataFrame(list(zip(names, map(float, m.featureImportances.toArray()), strict=True)), "feature string, importance double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import features as X, text as T
@@ -414,8 +415,6 @@ def _(s, d):
 
 
 def _study(s, d):
-    from pyspark.ml.functions import array_to_vector
-
     rows = _vectors(s, d).where("label is not null and vector is not null").select("id", array_to_vector("vector").alias("features"), F.col("label").cast("double").alias("y"))
     return rows.where("pmod(crc32(cast(id as string)), 10) >= 3"), rows.where("pmod(crc32(cast(id as string)), 10) < 3")
 
@@ -431,14 +430,54 @@ def _(s, d):
     return Y.importances(train, [f"v{i}" for i in range(len(_vectors(s, d).first()["vector"]))])
 
 
-@query("cv_select")
+@query("forest_grid")
+def _(s, d):
+    train, _ = _study(s, d)
+    return Y.grid_search(train, "id", ([10, 20], [5, 10], [2, 10])).orderBy(F.desc("accuracy"), "trees", "depth", "least")
+
+
+@query("study_rbf_svm")
+def _(s, d):
+    # one label against the others
+    train, held = (x.withColumn("y", (F.col("y") == 0).cast("double")) for x in _study(s, d))
+    return Y.class_report(Y.rbf_svm(*Y.scaled(train, held)))
+
+
+@query(
+    "min_max",
+    "WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL), x AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e), b AS (SELECT pos, min(x) AS lo, max(x) AS hi FROM x GROUP BY 1) SELECT id, pos::BIGINT AS pos, round(CASE WHEN hi > lo THEN (x - lo) / (hi - lo) ELSE 0.5 END, 6) AS x FROM x JOIN b USING (pos)",
+)
 def _(s, d):
+    train, held = _study(s, d)
+    rows = Y.ranged(train.unionByName(held))[0]
+    return rows.select("id", F.posexplode(vector_to_array("features")).alias("p", "x")).select("id", (F.col("p") + 1).cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+def _trainable(s, d):
     m = W.mail_enriched(s, d).where("label is not null").withColumn("raw_sha256", F.sha2("text", 256))
-    m = m.withColumn("norm_body_hash", T.norm_hash(F.col("subject"), F.col("text"), F.col("raw_sha256"))).withColumn("y", T.is_spam(F.col("label")).cast("double")).withColumn("own", F.lit(False))
-    table = R.select(B.frame(m, "seq", "y", "own", "norm_body_hash"), candidates=[R.Candidate("logreg"), R.Candidate("cnb")], folds=2, log=lambda *_: None)
+    return m.withColumn("norm_body_hash", T.norm_hash(F.col("subject"), F.col("text"), F.col("raw_sha256")))
+
+
+def _framed(s, d):
+    m = _trainable(s, d).withColumn("y", T.is_spam(F.col("label")).cast("double")).withColumn("own", F.lit(False))
+    return B.frame(m, "seq", "source", "y", "own", "norm_body_hash")
+
+
+@query("cv_select")
+def _(s, d):
+    table = R.select(_framed(s, d), candidates=[R.Candidate("logreg"), R.Candidate("cnb")], folds=2, log=lambda *_: None)
     return s.createDataFrame([(r["candidate"], r["recall_at_fpr"], r["recall_std"], r["pr_auc"]) for r in table], "candidate string, recall_at_fpr double, recall_std double, pr_auc double")
 
 
+@query("cross_corpus")
+def _(s, d):
+    rows = _framed(s, d).persist()
+    # sources in two halves by their names' hashes
+    rows = rows.withColumn("source", F.when(F.crc32("source") % 2 == 0, "a").otherwise("b"))
+    found = R.cross(rows, ("a", "b"), R.Candidate("cnb"))
+    return s.createDataFrame([(k, v["roc_auc"], v["pr_auc"]) for k, v in found.items()], "direction string, roc_auc double, pr_auc double")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

@@ -19,6 +19,27 @@ def test_scaling_uses_training_rows_alone(spark):
     assert held.first().features[0] == 0.0
 
 
+def test_ranges_by_training_rows_alone(spark):
+    make = lambda *x: spark.createDataFrame([(Vectors.dense([v]), 0.0) for v in x], ["features", "y"])
+    _, held = Y.ranged(make(1.0, 3.0), make(2.0, 4.0))
+    assert [r.features[0] for r in held.collect()] == [0.5, 1.5]
+
+
+def test_kernel_models_part_rings(spark):
+    rng = np.random.default_rng(0)
+    at, y = rng.uniform(0, 2 * np.pi, 400), np.arange(400) % 2
+    x = np.stack([np.cos(at), np.sin(at)], 1) * np.where(y, 2.0, 0.5)[:, None]
+    df = spark.createDataFrame([(i, Vectors.dense(v), float(c)) for i, (v, c) in enumerate(zip(x.tolist(), y, strict=True))], ["id", "features", "y"])
+    train, held = df.where("id < 300"), df.where("id >= 300")
+    assert Y.rbf_svm(train, held).where("y = prediction").count() >= 97
+    a, b = np.array([1.0, 0.5]), np.array([0.3, -0.2])
+    made = [np.array(r.features.toArray()) for r in Y.rbf(train, spark.createDataFrame([(Vectors.dense(a),), (Vectors.dense(b),)], ["features"]), width=20_000)[1].collect()]
+    gamma = 1 / (2 * x[:300].var())
+    assert abs(made[0] @ made[1] - np.exp(-gamma * ((a - b) ** 2).sum())) < 0.03
+    best = Y.grid_search(train, "id", ([5], [1, 4], [2])).collect()
+    assert [r.depth for r in best] == [4, 1] and best[0].accuracy > best[1].accuracy
+
+
 def test_neighbours_without_queries(spark):
     rows = spark.createDataFrame([(1, [1.0], 0), (2, None, 1)], "id long, vector array<float>, label int")
     assert Y.neighbours(rows, rows.where("id = 9")).count() == 0
