@@ -3,12 +3,13 @@
 A multinomial logistic regression over word uni- and bigrams is trained on the driver
 from the fixed templates below, with words dropped and contexts added, and on ordinary
 sentences as the class `unknown`; a temperature fitted on held-back examples calibrates
-its probabilities.  Paragraphs (lines) that hold a trigger word are cut into grams; the
+its probabilities.  Paragraphs (lines) that can reach CONFIRM are cut into grams: a few
+grams of each template are such that a line without any of them cannot (`needed`); the
 grams meet the weights in a broadcast join of fixed size, and sums over a paragraph give
 its logits.  A predicted family is confirmed if the paragraph holds at least CONFIRM of
 the grams of one of that family's templates, else the paragraph is unknown.
 
-Defined cases: null and empty texts, and texts without a trigger, have no licence;
+Defined cases: null and empty texts, and texts without a needed gram, have no licence;
 repeated rows of a doc_id are scanned each and united; ties go to the first family by name.
 """
 
@@ -44,7 +45,8 @@ ORDINARY = [
     "The creative commons room is open to any person", "License plates are issued by the state", "The word license occurs in this line",
     "Human rights are the subject of the work", "All rights and duties of the tenant", "Released under pressure the spring moved",
 ]
-TRIGGER = r"(?i)licen[sc]e|copyright|spdx|\bCC0\b|public domain|rights reserved|redistribut|hereby granted|free software"
+#: Words that say little alone: only the order in which `needed` picks grams rests on them, never what it lets through.
+COMMON = set("a all and any are as be by can for free from in is it law no not of on or public that the this to under use was with work you".split())
 
 
 def words(text: str) -> list[str]:
@@ -70,6 +72,42 @@ def grams_column(line: Column) -> Column:
     return F.array_distinct(F.concat(w, pairs))
 
 
+def least(n: int) -> int:
+    """The fewest of a template's n grams that reach CONFIRM."""
+    return next(k for k in range(n + 1) if k / n >= CONFIRM)
+
+
+def needed(templates: dict[str, list[str]] = TEMPLATES) -> list[str]:
+    """Grams of which every text that reaches CONFIRM for some template holds one.
+
+    A text with k of a template's n grams lacks n - k of them, so it holds one of any n - k + 1.
+    """
+    rank = lambda g: (set(g.split()) <= COMMON, " " not in g, -len(g), g)
+    out = set()
+    for own in (grams(t) for texts in templates.values() for t in texts):
+        out |= set(sorted(own, key=rank)[: len(own) - least(len(own)) + 1])
+    return sorted(out)
+
+
+def pattern(chosen: list[str]) -> str:
+    """A regular expression that fits every lower-case text with one of these grams; common beginnings are joined."""
+    tree: dict = {}
+    for g in chosen:
+        at = tree
+        for c in g:
+            at = at.setdefault("[^a-z0-9]+" if c == " " else "\\." if c == "." else c, {})
+        at[""] = {}
+
+    def text(at: dict) -> str:
+        # what ends here fits whatever follows
+        if "" in at:
+            return ""
+        parts = [c + text(below) for c, below in sorted(at.items())]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return text(tree)
+
+
 def train(seed: int = 7) -> tuple[list[str], list[str], np.ndarray, np.ndarray, float]:
     """families, vocabulary, weights (grams x families), biases, temperature."""
     rng = np.random.default_rng(seed)
@@ -114,15 +152,16 @@ def train(seed: int = 7) -> tuple[list[str], list[str], np.ndarray, np.ndarray,
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph, family, probability, containment, confirmed of every paragraph with a trigger."""
+    """doc_id, paragraph, family, probability, containment, confirmed of every paragraph with a needed gram."""
     spark = docs.sparkSession
     families, vocabulary, weights, bias, temperature = train()
     texts = [(name, set(grams(t))) for name in families[:-1] for t in TEMPLATES[name]]
     table = [{"g": g, "w": [round(float(v), 6) for v in weights[i]], "t": [int(g in own) for _, own in texts]} for i, g in enumerate(vocabulary)]
     # a few thousand rows, fixed by the templates above
     known = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(table)), "array<struct<g string, w array<double>, t array<int>>>")))
-    row = docs.selectExpr("cast(doc_id as long) doc_id", "text").where(F.col("text").rlike(TRIGGER))
-    row = row.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(F.col("line").rlike(TRIGGER))
+    may = lambda c: F.lower(c).rlike(pattern(needed()))
+    row = docs.selectExpr("cast(doc_id as long) doc_id", "text").where(may("text"))
+    row = row.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(may("line"))
     gram = row.select("doc_id", "row", "paragraph", F.explode(grams_column(F.col("line"))).alias("g"))
     hits = gram.join(F.broadcast(known), "g")
     sums = [F.round(F.sum(F.col("w")[k]), 6).alias(f"w{k}") for k in range(len(families))] + [F.sum(F.col("t")[j]).alias(f"t{j}") for j in range(len(texts))]
@@ -139,7 +178,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, licences (families found, sorted), n_paragraphs (with a trigger), probability (of the best) for every document."""
+    """doc_id, licences (families found, sorted), n_paragraphs (with a needed gram), probability (of the best) for every document."""
     found = paragraphs(docs)
     rows = found.select("doc_id", F.when(F.col("confirmed"), F.col("family")).alias("family"), F.lit(1).alias("n"), F.when(F.col("confirmed"), F.col("probability")).alias("p"))
     none = docs.selectExpr("cast(doc_id as long) doc_id", "cast(null as string) family", "0 n", "cast(null as double) p")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -222,6 +223,22 @@ def test_licences(spark, odd):
     assert licences.scan(odd).count() == 11 and licences.scan(odd.where("false")).count() == 0
 
 
+def test_licences_by_vocabulary(spark):
+    """Notices without the word licence; and no set of grams that reaches CONFIRM passes by `needed`."""
+    texts = ["Prose.\nAvailable under CC BY-SA 4.0.", "Published under CC BY 4.0.", "the park\nPublic Domain, dedicated to it under CC0 1.0"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.licences for r in licences.scan(df).collect()} == {0: "CC-BY-SA", 1: "CC-BY", 2: "CC0"}
+    rng, chosen = random.Random(3), licences.needed()
+    fits = re.compile(licences.pattern(chosen))
+    for text in (t for texts in licences.TEMPLATES.values() for t in texts):
+        own = licences.grams(text)
+        k = licences.least(len(own))
+        assert k / len(own) >= licences.CONFIRM > (k - 1) / len(own)
+        for _ in range(200):
+            some = set(rng.sample(own, k)) & set(chosen)
+            assert some and all(fits.search(g.replace(" ", " (.) ")) for g in some)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
