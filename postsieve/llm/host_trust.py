@@ -2,11 +2,16 @@
 
 Hosts are nodes; a page's absolute links to other hosts are edges, each pair once.  Hosts
 with pages that a rule allows are trusted seeds, weighted by those pages' share of the
-host's pages; hosts with blocked pages are distrusted seeds likewise.  Personalised
-PageRank carries trust along the edges, and distrust against them (who links to a blocked
-host is suspect): ROUNDS rounds of r = (1 - DAMPING) * seed + DAMPING * sum of r / degree.
-A page that no rule fits is blocked if its host's distrust is above its trust and above
-the threshold, which half of a host's own pages being blocked would reach.
+host's pages.  Personalised PageRank carries trust along the edges: ROUNDS rounds of
+r = (1 - DAMPING) * seed + DAMPING * sum of r / degree.
+
+Distrust goes against the edges (who links to blocked hosts is suspect): it is the share of
+a host's walks that end blocked.  A walk ends at a host in proportion to its pages with a
+verdict, or where no link leads on; else it follows one of the host's edges, and each step
+counts DAMPING.  What ends blocked is divided by all that ends, so neither the number of
+hosts that link to a blocked one nor links inside a farm make it smaller.  A page that no
+rule fits is blocked if its host's distrust, (1 - DAMPING) times that share, is above its
+trust and above the threshold, which half of a host's own pages being blocked would reach.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, is no node
 and gets `allow`; null html has no links; links of one host to itself do not count;
@@ -54,6 +59,27 @@ def flow(edges: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:
     return rank
 
 
+def ends(edges: DataFrame, hosts: DataFrame, scratch: Scratch) -> DataFrame:
+    """host, share: of the walks from a host that end, those that end blocked; from edges (src, dst, share) and hosts (host, allow, block)."""
+    own = hosts.select("host", "block", (F.col("allow") + F.col("block")).alias("judged"))
+    onward = own.withColumnRenamed("host", "src")
+    step = edges.join(onward, "src").withColumn("w", (1 - F.col("judged")) * DAMPING * F.col("share")).where("w > 0").select("src", "dst", "w")
+    inner = edges.select(F.col("src").alias("dst")).distinct()
+    # targets without edges of their own keep their values: all walks end there
+    leaf = step.join(inner, "dst", "left_anti").join(own.withColumnRenamed("host", "dst"), "dst", "left").groupBy(F.col("src").alias("host")).agg(F.sum(F.col("w") * F.coalesce("block", F.lit(0.0))).alias("lb"), F.sum("w").alias("le"))
+    step = scratch.cut(step.join(inner, "dst", "left_semi"))
+    base = own.join(inner.withColumnRenamed("dst", "host"), "host").join(leaf, "host", "left").na.fill(0.0, ["lb", "le"])
+    base = scratch.cut(base.select("host", (F.col("block") + F.col("lb")).alias("b"), (F.col("judged") + F.col("le")).alias("e")))
+    now = base
+    for k in range(0 if step.isEmpty() else ROUNDS):
+        moved = step.join(now, F.col("dst") == F.col("host")).select(F.col("src").alias("host"), (F.col("w") * F.col("b")).alias("b"), (F.col("w") * F.col("e")).alias("e"))
+        now = moved.unionByName(base).groupBy("host").agg(F.sum("b").alias("b"), F.sum("e").alias("e"))
+        if k % 4 == 3:
+            now = scratch.cut(now)
+    walked = now.select("host", F.when(F.col("e") > 0, F.col("b") / F.col("e")).otherwise(0.0).alias("share"))
+    return walked.unionByName(own.join(walked, "host", "left_anti").select("host", F.col("block").alias("share")))
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]], scratch: Scratch | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every row."""
     scratch = scratch or Scratch(pages.sparkSession, "host-trust")
@@ -67,11 +93,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], scratch: Scratch | Non
         trust = hosts.select("host", ((1 - DAMPING) * F.col("allow")).alias("trust"))
         distrust = hosts.select("host", ((1 - DAMPING) * F.col("block")).alias("distrust"))
     else:
-        degree = lambda c: pairs.groupBy(c).agg((1 / F.count("*")).alias("share"))
-        forward = scratch.cut(pairs.join(degree("src"), "src").select("src", "dst", "share"))
-        backward = scratch.cut(pairs.join(degree("dst"), "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "share"))
+        degree = pairs.groupBy("src").agg((1 / F.count("*")).alias("share"))
+        forward = scratch.cut(pairs.join(degree, "src").select("src", "dst", "share"))
         trust = flow(forward, hosts.select("host", F.col("allow").alias("seed")), scratch).withColumnRenamed("r", "trust")
-        distrust = flow(backward, hosts.select("host", F.col("block").alias("seed")), scratch).withColumnRenamed("r", "distrust")
+        distrust = ends(forward, hosts, scratch).select("host", ((1 - DAMPING) * F.col("share")).alias("distrust"))
     both = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0, ["trust", "distrust"])
     both = scratch.cut(both)
     out = seen.join(both, "host", "left").na.fill(0.0, ["trust", "distrust"])

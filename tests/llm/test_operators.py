@@ -213,6 +213,20 @@ def test_hosts(spark):
     assert got[2].trust > 0 and got[4].distrust > got[4].trust
 
 
+def test_host_farm(spark):
+    """Many hosts around one blocked host, with and without links among them; a host with few links to it stays."""
+    rules, sites = [("bad.net/", "block"), ("good.org/", "allow")], [f"f{i}.biz" for i in range(12)]
+    link = lambda *hosts: " ".join(f'<a href="http://{h}/x">' for h in hosts)
+    pages = [(0, "http://bad.net/", ""), (1, "http://good.org/", link("fine.com")), (2, "http://news.com/a", link("bad.net", "a.com", "b.com", "c.com")), (3, "http://fine.com/a", link("good.org", "bad.net", "d.com"))]
+    pages += [(10 + i, f"http://{h}/p", link("bad.net")) for i, h in enumerate(sites)]
+    pages += [(30 + i, f"http://r{i}.biz/p", link("bad.net", *[f"r{j}.biz" for j in range(12)])) for i in range(12)]
+    got = {r.page_id: r for r in host_trust.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    assert {i for i, r in got.items() if r.verdict == "block"} == {0, *range(10, 22), *range(30, 42)}
+    # one in four; one in three that end
+    assert got[2].distrust == pytest.approx(0.15 / 4) and got[3].distrust == pytest.approx(0.15 / 3)
+    assert got[10].distrust == got[30].distrust == pytest.approx(0.15)
+
+
 def test_licences(spark, odd):
     texts = ["Prose.\nReleased under the MIT License.", "x\nLicensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "He lost his driving licence last year", None, "All rights reserved.\nLicensed under CC BY-NC 4.0."]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
