@@ -227,6 +227,23 @@ def test_host_farm(spark):
     assert got[10].distrust == got[30].distrust == pytest.approx(0.15)
 
 
+def test_host_links_fixed_point(spark):
+    """Links to blocked URLs that were not crawled, links without a scheme, and long paths and cycles against a linear solve."""
+    rules = [("x.com/de/", "block"), ("good.org/", "allow")]
+    pages = [(0, "http://a.biz/", '<a href="http://x.com/de/1">'), (1, "http://b.biz/", "<a href='//x.com/de/2'>"), (2, "http://c.biz/", '<a href="http://x.com/en/1">'), (3, "http://good.org/", '<a href="http://l0.com/">')]
+    pages += [(10 + i, f"http://l{i}.com/", f'<a href="//l{(i + 1) % 20}.com/">' + ('<a href="//x.com/de/3"><a href="http://y.com/">' if i == 19 else "")) for i in range(20)]
+    got = {r.page_id: r for r in host_trust.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    assert [got[i].verdict for i in range(4)] == ["block", "block", "allow", "allow"]
+    # trust: a cycle of 20 fed by good.org, whose last host has three links; all its walks end blocked or at y.com
+    m, seed = np.zeros((21, 21)), np.zeros(21)
+    m[0, 20], seed[20] = 0.85, 0.15
+    for i in range(20):
+        m[(i + 1) % 20, i] = 0.85 / (3 if i == 19 else 1)
+    want = np.linalg.solve(np.eye(21) - m, seed)
+    assert [got[10 + i].trust for i in range(20)] == pytest.approx(list(want[:20]), abs=1e-8)
+    assert [got[10 + i].distrust for i in range(20)] == pytest.approx([0.075] * 20, abs=1e-6)
+
+
 def test_licences(spark, odd):
     texts = ["Prose.\nReleased under the MIT License.", "x\nLicensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "He lost his driving licence last year", None, "All rights reserved.\nLicensed under CC BY-NC 4.0."]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
