@@ -190,6 +190,38 @@ def test_vectors(spark):
     assert near_vectors.near_vectors(df.where("false")).count() == 0
 
 
+def far_shard(n_queries=3000):
+    """A shard of separate clusters, which its graph does not connect, and queries of which few are near a row of it."""
+    rng = np.random.default_rng(5)
+    shard = np.repeat(rng.normal(size=(40, 16)), 60, 0) + 0.45 * rng.normal(size=(2400, 16))
+    q = rng.normal(size=(n_queries, 16))
+    audited = np.linspace(0, n_queries - 1, 256).astype(int)
+    few = rng.choice(np.setdiff1d(np.arange(n_queries), audited), 40, replace=False)
+    q[few] = shard[rng.integers(0, len(shard), 40)] + 0.02 * rng.normal(size=(40, 16))
+    return near_vectors.unit(shard), near_vectors.unit(q)
+
+
+def test_vectors_audit_evidence():
+    """Few links between a block and another shard: against brute force."""
+    shard, q = far_shard()
+    ids, q_ids = np.arange(len(shard)), 10_000 + np.arange(len(q))
+    graph = near_vectors.Graph.build(shard.astype(np.float32))
+    got = {(int(i), int(j)) for a, b in near_vectors.links(graph, shard, ids, q, q_ids, 0.96) for i, j in zip(a, b, strict=True)}
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(q @ shard.T >= 0.96), strict=True)}
+    assert len(want) >= 40 and got == want
+
+
+def test_vectors_shards_by_graph(spark):
+    """Several shards that are searched by their graphs."""
+    shard, q = far_shard(1600)
+    x = np.concatenate([shard, q]).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, [float(v) for v in r], 0) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    u = near_vectors.unit(x)
+    want = (u @ u.T >= 0.96).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in near_vectors.near_vectors(df, 0.96, shard_rows=1000).collect()}
+    assert got == dict(enumerate(want.tolist()))
+
+
 def test_chat(spark):
     turns = [(1, t, "user", f"m{t}") for t in range(3)] + [(2, t, "user", f"m{t}") for t in range(700)] + [(3, t, "user", f"m{t}") for t in range(3)]
     turns += [(4, 0, "user", "m0"), (4, 1, "user", "other"), (5, 0, None, None), (6, None, "user", "x"), (6, None, "user", "x"), (None, 0, "user", "lost"), (7, 0, "user", None)]
