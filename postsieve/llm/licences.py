@@ -4,10 +4,13 @@ A multinomial logistic regression over word uni- and bigrams is trained on the d
 from the fixed templates below, with words dropped and contexts added, and on ordinary
 sentences as the class `unknown`; a temperature fitted on held-back examples calibrates
 its probabilities.  Paragraphs (lines) that can reach CONFIRM are cut into grams: a few
-grams of each template are such that a line without any of them cannot (`needed`); the
-grams meet the weights in a broadcast join of fixed size, and sums over a paragraph give
-its logits.  A predicted family is confirmed if the paragraph holds at least CONFIRM of
-the grams of one of that family's templates, else the paragraph is unknown.
+grams of each template are such that a line without any of them cannot (`needed`).  For
+each template a line is read in overlapping windows of about the template's length that
+begin with one of its words, and once as a whole, so that other text on the line does not
+decide.  In windows that hold at least CONFIRM of the template's grams, the grams meet the
+weights in a broadcast join of fixed size, and sums over a window give its logits; the
+template's family is found if it is the most probable one.  A line has all families found
+in its windows, but those whose grams there are all among another one's.
 
 Defined cases: null and empty texts, and texts without a needed gram, have no licence;
 repeated rows of a doc_id are scanned each and united; ties go to the first family by name.
@@ -21,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 CONFIRM, UNKNOWN = 0.6, "unknown"
+#: A window is as long as a template, or longer by this many words.
+SPARE = (0, 3)
 
 #: Short notices of public licences.
 TEMPLATES = {
@@ -65,11 +70,20 @@ def grams(text: str) -> list[str]:
     return sorted(set(w) | {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
 
 
+def words_column(line: Column) -> Column:
+    """The same words in Spark."""
+    return F.filter(F.transform(F.regexp_extract_all(F.lower(line), F.lit("[a-z0-9.]+"), 0), lambda x: F.btrim(x, F.lit("."))), lambda x: x != "")
+
+
+def pairs_of(w: Column) -> Column:
+    """Distinct words and word pairs of a list of words."""
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.array_distinct(F.concat(w, F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))))
+
+
 def grams_column(line: Column) -> Column:
-    """The same in Spark: distinct words and word pairs of a line."""
-    w = F.filter(F.transform(F.regexp_extract_all(F.lower(line), F.lit("[a-z0-9.]+"), 0), lambda x: F.btrim(x, F.lit("."))), lambda x: x != "")
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.concat(w, pairs))
+    """Distinct words and word pairs of a line."""
+    return pairs_of(words_column(line))
 
 
 def least(n: int) -> int:
@@ -152,34 +166,52 @@ def train(seed: int = 7) -> tuple[list[str], list[str], np.ndarray, np.ndarray,
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph, family, probability, containment, confirmed of every paragraph with a needed gram."""
+    """doc_id, row, paragraph, family, probability, containment, confirmed: one row for each family of a paragraph, and one without a family for each paragraph with a needed gram."""
     spark = docs.sparkSession
     families, vocabulary, weights, bias, temperature = train()
-    texts = [(name, set(grams(t))) for name in families[:-1] for t in TEMPLATES[name]]
-    table = [{"g": g, "w": [round(float(v), 6) for v in weights[i]], "t": [int(g in own) for _, own in texts]} for i, g in enumerate(vocabulary)]
     # a few thousand rows, fixed by the templates above
-    known = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(table)), "array<struct<g string, w array<double>, t array<int>>>")))
+    table = [{"g": g, "w": [round(float(v), 6) for v in weights[i]]} for i, g in enumerate(vocabulary)]
+    known = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(table)), "array<struct<g string, w array<double>>>")))
+    texts = [{"name": n, "own": grams(t), "starts": sorted(set(words(t))), "long": len(words(t)), "need": least(len(grams(t)))} for n in families[:-1] for t in TEMPLATES[n]]
+    templates = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(texts)), "array<struct<name string, own array<string>, starts array<string>, long int, need int>>")))
     may = lambda c: F.lower(c).rlike(pattern(needed()))
     row = docs.selectExpr("cast(doc_id as long) doc_id", "text").where(may("text"))
     row = row.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(may("line"))
-    gram = row.select("doc_id", "row", "paragraph", F.explode(grams_column(F.col("line"))).alias("g"))
-    hits = gram.join(F.broadcast(known), "g")
-    sums = [F.round(F.sum(F.col("w")[k]), 6).alias(f"w{k}") for k in range(len(families))] + [F.sum(F.col("t")[j]).alias(f"t{j}") for j in range(len(texts))]
-    total = hits.groupBy("doc_id", "row", "paragraph").agg(*sums)
-    logits = F.array(*[((F.col(f"w{k}") + float(bias[k])) / temperature).alias(f"z{k}") for k in range(len(families))])
-    shares = F.array(*[F.greatest(*[F.col(f"t{j}") / len(own) for j, (n, own) in enumerate(texts) if n == name], F.lit(0.0)) for name in families[:-1]], F.lit(0.0))
-    out = total.select("doc_id", "row", "paragraph", logits.alias("z"), shares.alias("c"))
+    row = row.select("doc_id", "row", "paragraph", words_column(F.col("line")).alias("words"))
+    line = row.join(F.broadcast(templates))
+    held = lambda g: F.size(F.array_intersect(g, "own"))
+    line = line.where(held(pairs_of(F.col("words"))) >= F.col("need"))
+    # where a window begins and its length; the whole paragraph is one too
+    starts = F.filter(F.transform("words", lambda x, i: F.when(F.array_contains("starts", x), i + 1)), lambda i: i.isNotNull())
+    spans = F.flatten(F.transform(starts, lambda i: F.array(*[F.struct(i.alias("at"), (F.col("long") + more).alias("size")) for more in SPARE])))
+    spans = F.concat(spans, F.array(F.struct(F.lit(1).alias("at"), F.greatest(F.size("words"), F.lit(1)).alias("size"))))
+    window = line.select("doc_id", "row", "paragraph", "name", "own", "need", "words", F.explode(spans).alias("span"))
+    window = window.withColumn("grams", pairs_of(F.slice("words", F.col("span.at"), F.col("span.size"))))
+    window = window.withColumn("held", F.array_intersect("grams", "own")).where(F.size("held") >= F.col("need"))
+    window = window.select("doc_id", "row", "paragraph", "name", "held", "grams", (F.size("held") / F.size("own")).alias("c"))
+    # equal windows, and those in which the same grams count, are scored once
+    window = window.groupBy("doc_id", "row", "paragraph", "name", "grams").agg(F.max_by("held", "c").alias("held"), F.max("c").alias("c"))
+    gram = window.select("*", F.explode("grams").alias("g"))
+    sums = [F.round(F.sum(F.col("w")[k]), 6).alias(f"w{k}") for k in range(len(families))]
+    total = gram.join(F.broadcast(known), "g").groupBy("doc_id", "row", "paragraph", "name", "grams").agg(F.first("held").alias("held"), F.first("c").alias("c"), *sums)
+    logits = F.array(*[(F.col(f"w{k}") + float(bias[k])) / temperature for k in range(len(families))])
+    out = total.select("doc_id", "row", "paragraph", "name", "held", "c", logits.alias("z"))
     top = F.array_max("z")
-    out = out.withColumn("at", F.array_position("z", top).cast("int"))
-    out = out.withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - top)))
-    out = out.withColumn("predicted", F.element_at(F.array(*map(F.lit, families)), F.col("at"))).withColumn("containment", F.element_at("c", F.col("at")))
-    sure = (F.col("predicted") != UNKNOWN) & (F.col("containment") >= CONFIRM)
-    return out.select("doc_id", "paragraph", F.when(sure, F.col("predicted")).otherwise(UNKNOWN).alias("family"), F.round("probability", 6).alias("probability"), F.round("containment", 6).alias("containment"), sure.alias("confirmed"))
+    out = out.withColumn("p", F.round(1 / F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - top)), 6))
+    out = out.where(F.element_at(F.array(*map(F.lit, families)), F.array_position("z", top).cast("int")) == F.col("name"))
+    one = out.groupBy("doc_id", "row", "paragraph", "name").agg(F.max("p").alias("p"), F.round(F.max("c"), 6).alias("c"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("held")))).alias("held"))
+    found = one.groupBy("doc_id", "row", "paragraph").agg(F.collect_list(F.struct("name", "p", "c", "held")).alias("all"))
+    # a family all of whose grams here are among those of another one is a part of its notice
+    inside = lambda x, y: (x["name"] != y["name"]) & (F.size(F.array_except(x["held"], y["held"])) == 0) & ((F.size(x["held"]) < F.size(y["held"])) | (x["c"] < y["c"]) | ((x["c"] == y["c"]) & (x["name"] > y["name"])))
+    found = found.select("doc_id", "row", "paragraph", F.filter("all", lambda x: ~F.exists("all", lambda y: inside(x, y))).alias("all"))
+    sure = found.select("doc_id", "row", "paragraph", F.explode("all").alias("x")).select("doc_id", "row", "paragraph", F.col("x.name").alias("family"), F.col("x.p").alias("probability"), F.col("x.c").alias("containment"), F.lit(True).alias("confirmed"))
+    rest = row.select("doc_id", "row", "paragraph", F.lit(None).cast("string").alias("family"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("double").alias("containment"), F.lit(False).alias("confirmed"))
+    return sure.unionByName(rest)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, licences (families found, sorted), n_paragraphs (with a needed gram), probability (of the best) for every document."""
     found = paragraphs(docs)
-    rows = found.select("doc_id", F.when(F.col("confirmed"), F.col("family")).alias("family"), F.lit(1).alias("n"), F.when(F.col("confirmed"), F.col("probability")).alias("p"))
+    rows = found.select("doc_id", "family", F.when(F.col("confirmed"), 0).otherwise(1).alias("n"), F.col("probability").alias("p"))
     none = docs.selectExpr("cast(doc_id as long) doc_id", "cast(null as string) family", "0 n", "cast(null as double) p")
     return rows.unionByName(none).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("family")), ",").alias("licences"), F.sum("n").alias("n_paragraphs"), F.max("p").alias("probability"))

@@ -302,6 +302,20 @@ def test_licences_by_vocabulary(spark):
             assert some and all(fits.search(g.replace(" ", " (.) ")) for g in some)
 
 
+def test_licences_of_one_line(spark):
+    """Several notices on one line, and notices inside long lines."""
+    prose = "the license of the story is in the second book and the public was free to use the park " * 40
+    texts = [
+        "All rights reserved. Licensed under CC BY-NC 4.0.", "Dual-licensed under the MIT License and the Apache License, Version 2.0",
+        prose + "Released under the MIT License. " + prose, prose + "All rights reserved", "Licensed under CC BY 4.0 or CC BY-SA 4.0.", prose, "This work is licensed under the GNU General Public License, version 3, " + prose,
+    ]
+    texts += [t for own in licences.TEMPLATES.values() for t in own]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licences.scan(df).collect()}
+    want = ["CC-BY-NC,proprietary", "Apache-2.0,MIT", "MIT", "proprietary", "CC-BY,CC-BY-SA", "", "GPL", *[n for n, own in licences.TEMPLATES.items() for _ in own]]
+    assert got == dict(enumerate(want))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
