@@ -15,6 +15,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 QUERY_BLOCK = 2000
+#: The deepest that Spark grows trees; stands for no bound.
+DEPTH = 30
 #: Trees, depth (30 stands for no bound), rows that a node needs to be split.
 GRID = ([100, 200, 400], [30, 10, 20], [2, 5, 10])
 
@@ -23,8 +25,8 @@ def models(seed: int = 42) -> dict:
     return {
         "gaussian_nb": NaiveBayes(labelCol="y", modelType="gaussian"),
         "logistic": LogisticRegression(labelCol="y", maxIter=200),
-        "tree": DecisionTreeClassifier(labelCol="y", maxDepth=15, seed=seed),
-        "forest": RandomForestClassifier(labelCol="y", numTrees=100, maxDepth=15, seed=seed),
+        "tree": DecisionTreeClassifier(labelCol="y", maxDepth=DEPTH, seed=seed),
+        "forest": RandomForestClassifier(labelCol="y", numTrees=100, maxDepth=DEPTH, seed=seed),
     }
 
 

@@ -421,7 +421,7 @@ def _study(s, d):
 
 @query("study_accuracy")
 def _(s, d):
-    return Y.accuracies(*Y.scaled(*_study(s, d)), names=["gaussian_nb", "logistic", "tree"])
+    return Y.accuracies(*Y.scaled(*_study(s, d)))
 
 
 @query("forest_importance")
@@ -465,7 +465,7 @@ def _framed(s, d):
 
 @query("cv_select")
 def _(s, d):
-    table = R.select(_framed(s, d), candidates=[R.Candidate("logreg"), R.Candidate("cnb")], folds=2, log=lambda *_: None)
+    table = R.select(_framed(s, d), log=lambda *_: None)
     return s.createDataFrame([(r["candidate"], r["recall_at_fpr"], r["recall_std"], r["pr_auc"]) for r in table], "candidate string, recall_at_fpr double, recall_std double, pr_auc double")
 
 

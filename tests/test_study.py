@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -57,3 +58,33 @@ def test_stream_of_messages(spark, tmp_path):
     assert {(r.seq, r.verdict) for r in got} == {(0, "suspicious"), (1, "ham"), (2, "suspicious")}
     scoring.first_copies(stream, "at").writeStream.format("memory").queryName("c").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert spark.table("c").count() == 3
+
+
+def test_queries_do_the_whole_job(spark, monkeypatch):
+    """The queries run the operators' default candidates, folds and models; trees have no bound of their own."""
+    import inspect
+
+    from postsieve.operators import study, training
+    from postsieve.plans import catalog
+
+    class Seen(Exception):
+        pass
+
+    seen = {}
+
+    def select(*a, **k):
+        seen.update(inspect.signature(training_select).bind(*a, **k).arguments)
+        raise Seen
+
+    training_select = training.select
+    monkeypatch.setattr(catalog, "_framed", lambda s, d: None)
+    monkeypatch.setattr(catalog, "_study", lambda s, d: (None, None))
+    monkeypatch.setattr(catalog.R, "select", select)
+    with pytest.raises(Seen):
+        catalog.queries()["cv_select"](None, "")
+    assert seen.get("candidates") in (None, training.CANDIDATES) and seen.get("folds", 5) == 5
+    monkeypatch.setattr(catalog.Y, "scaled", lambda *rows: rows)
+    monkeypatch.setattr(catalog.Y, "accuracies", lambda train, held, names=None: names)
+    assert catalog.queries()["study_accuracy"](None, "") is None
+    made = study.models()
+    assert [made[n].getMaxDepth() for n in ("tree", "forest")] == [30, 30]
