@@ -3,7 +3,6 @@
 import base64
 import hashlib
 import random
-import re
 import zlib
 
 import numpy as np
@@ -12,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from postsieve.llm import chat_collapse, decontaminate, fm_dedup, host_trust, lang_spans, licences, near_text, near_vectors, prefix_bpe, quality_gam
+from postsieve.llm import chat_collapse, decontaminate, fm_dedup, host_trust, lang_spans, near_text, near_vectors, prefix_bpe, quality_gam
 
 SF = "/root/testdata/sf0.001"
 PATH = P.path("byte_bpe_50k.tiktoken")
@@ -276,46 +275,6 @@ def test_host_links_fixed_point(spark):
     assert [got[10 + i].distrust for i in range(20)] == pytest.approx([0.075] * 20, abs=1e-6)
 
 
-def test_licences(spark, odd):
-    texts = ["Prose.\nReleased under the MIT License.", "x\nLicensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "He lost his driving licence last year", None, "All rights reserved.\nLicensed under CC BY-NC 4.0."]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.licences for r in licences.scan(df).collect()}
-    assert got == {0: "MIT", 1: "Apache-2.0", 2: "GPL", 3: "", 4: "", 5: "CC-BY-NC,proprietary"}
-    line = spark.createDataFrame([("The MIT License, v. 2.0.",)], "t string")
-    assert sorted(line.select(licences.grams_column(F.col("t"))).first()[0]) == licences.grams("The MIT License, v. 2.0.")
-    assert licences.scan(odd).count() == 11 and licences.scan(odd.where("false")).count() == 0
-
-
-def test_licences_by_vocabulary(spark):
-    """Notices without the word licence; and no set of grams that reaches CONFIRM passes by `needed`."""
-    texts = ["Prose.\nAvailable under CC BY-SA 4.0.", "Published under CC BY 4.0.", "the park\nPublic Domain, dedicated to it under CC0 1.0"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.doc_id: r.licences for r in licences.scan(df).collect()} == {0: "CC-BY-SA", 1: "CC-BY", 2: "CC0"}
-    rng, chosen = random.Random(3), licences.needed()
-    fits = re.compile(licences.pattern(chosen))
-    for text in (t for texts in licences.TEMPLATES.values() for t in texts):
-        own = licences.grams(text)
-        k = licences.least(len(own))
-        assert k / len(own) >= licences.CONFIRM > (k - 1) / len(own)
-        for _ in range(200):
-            some = set(rng.sample(own, k)) & set(chosen)
-            assert some and all(fits.search(g.replace(" ", " (.) ")) for g in some)
-
-
-def test_licences_of_one_line(spark):
-    """Several notices on one line, and notices inside long lines."""
-    prose = "the license of the story is in the second book and the public was free to use the park " * 40
-    texts = [
-        "All rights reserved. Licensed under CC BY-NC 4.0.", "Dual-licensed under the MIT License and the Apache License, Version 2.0",
-        prose + "Released under the MIT License. " + prose, prose + "All rights reserved", "Licensed under CC BY 4.0 or CC BY-SA 4.0.", prose, "This work is licensed under the GNU General Public License, version 3, " + prose,
-    ]
-    texts += [t for own in licences.TEMPLATES.values() for t in own]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.licences for r in licences.scan(df).collect()}
-    want = ["CC-BY-NC,proprietary", "Apache-2.0,MIT", "MIT", "proprietary", "CC-BY,CC-BY-SA", "", "GPL", *[n for n, own in licences.TEMPLATES.items() for _ in own]]
-    assert got == dict(enumerate(want))
-
-
 def test_pipeline(spark):
     import corpus_pipeline
 
