@@ -2,24 +2,29 @@
 
 A window is WINDOW consecutive words.  Each window is dealt by its anchor, the smallest
 hash of the ANCHOR-word sequences in it, so equal windows always meet: consecutive
-windows with one anchor form a region, and only regions whose anchor occurs in two
-documents go on.  Regions with equal content are one entry that carries its smallest
-doc_id; in any later document such a region is removed whole.
+windows with one anchor form a region.  Regions whose anchor occurs in two documents are
+dealt to shards by anchor, so all that could match a region is in one shard, and no document
+has to be streamed through every shard.
 
-What remains is to find windows shared by regions that differ.  The distinct regions
-are dealt to shards by anchor.  A shard builds an FM-index: the suffix array of its
-regions, their Burrows-Wheeler transform as a wavelet matrix over packed bits with rank
-counts, and the smallest document under any interval of suffixes.  All regions are
-streamed through it by backward search: each holds its interval and extends to the left
-while some suffix in the interval belongs to an earlier document (matching statistics);
-matches of WINDOW words or more are reported as intervals.
+A shard indexes its distinct regions, each with the smallest doc_id that has it: the suffix
+array's Burrows-Wheeler transform, compressed to runs, whose heads are a wavelet matrix of
+packed bits with rank counts (`Fm`).  Backward search extends each region's match to the left
+while some suffix in its interval belongs to an earlier document (matching statistics);
+matches of WINDOW words or more are reported as intervals.  Each region is searched for its
+first document, against documents before it, and, where later documents have it too, for
+those.  All intervals that are removed come from this search.
 
-An anchor with more than HOT_ROWS occurrences would fill one shard; its windows are
-dealt one by one by their own hashes instead, which needs no shard at all.
+An anchor with more than HOT_ROWS distinct regions (a passage in as many different
+surroundings) would fill one shard.  Its regions are cut into single windows, each its own
+anchor, and only windows that two documents have go on: the same search, on shorter regions.
+
+Joins of all regions are salted, so the copies of one region are spread over tasks.
 
 Defined cases: null texts have no words; documents of fewer than WINDOW words lose none;
-of repeated rows of one doc_id none counts as earlier; columns besides doc_id and text
-are kept where the caller asks for them.
+rows of one doc_id, repeated or with different texts, are not earlier than each other, and each
+loses its own words; rows without a doc_id lose none and count for none; very long texts are
+one row of many regions; empty tables give no rows; columns besides doc_id and text, whatever
+their names, are kept where the caller asks for them.
 """
 
 from __future__ import annotations
@@ -37,10 +42,12 @@ WINDOW, ANCHOR, PROBE = 50, 8, 3
 REGION_WINDOWS = 64
 #: Distinct regions that a shard gets on average: a suffix array of some 400,000 words.
 SHARD_REGIONS = 6_000
-#: From here on an anchor's windows are dealt one by one.
+#: From here on an anchor's distinct regions are cut into windows.
 HOT_ROWS = 3_000
 #: Steps that all regions of a shard take together before what remains is searched by window.
 SHARED_STEPS = 250
+#: Parts into which rows of one region are dealt in joins.
+SALTS = 8
 
 
 class Wavelet:
@@ -91,48 +98,74 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class Fm:
-    """An FM-index over regions (word hashes), with the document of each."""
+    """A run-length compressed FM-index over regions (word hashes), with the smallest document of each."""
 
     def __init__(self, regions: list[np.ndarray], docs: np.ndarray):
         sizes = np.array([len(r) for r in regions])
         words = np.concatenate(regions)
         letters, coded = np.unique(words, return_inverse=True)
         self.sigma = len(letters) + 1
-        text = np.zeros(len(words) + len(regions), np.int64)
+        text = np.zeros(len(words) + len(regions), np.int32)
         first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         place = np.arange(len(words)) + np.repeat(np.arange(len(regions)), sizes)
         text[place] = coded + 1
+        #: the regions that are streamed through the index
         self.text, self.first, self.sizes = text, first, sizes
-        owner = np.repeat(docs, sizes + 1)
         order = suffix_array(text, WINDOW)
         bwt = text[order - 1]
-        self.wavelet = Wavelet(bwt, self.sigma)
-        self.count = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.sigma))]).astype(np.int64)
-        #: where each symbol's run begins in the wavelet's last level
+        self.starts = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
+        self.heads = bwt[self.starts]
+        self.wavelet = Wavelet(self.heads, self.sigma)
+        #: where each symbol's runs begin in the wavelet's last level, and among the runs in the order of symbols
         self.base = self.wavelet.rank(np.arange(self.sigma), np.zeros(self.sigma, np.int64))
-        names, owner = np.unique(owner, return_inverse=True)
-        self.docs = np.searchsorted(names, docs).astype(np.int32)
-        self.least = [owner[order].astype(np.int32)]
+        self.runs = np.concatenate([[0], np.cumsum(np.bincount(self.heads, minlength=self.sigma))])
+        lengths = np.diff(np.append(self.starts, len(bwt)))
+        self.before = np.concatenate([[0], np.cumsum(lengths[np.argsort(self.heads, kind="stable")])])
+        names, code = np.unique(docs, return_inverse=True)
+        self.docs = code.astype(np.int32)
+        owner = np.repeat(self.docs, sizes + 1)[order]
+        # minima of blocks of 16 for every power of two of blocks, and inside blocks from both ends
+        pad = np.append(owner, np.full(-len(owner) % 16, 2**31 - 1, np.int32)).reshape(-1, 16)
+        self.inside = pad
+        self.front = np.minimum.accumulate(pad, axis=1).ravel()
+        self.back = np.minimum.accumulate(pad[:, ::-1], axis=1)[:, ::-1].ravel()
+        self.least = [pad.min(1)]
         step = 1
-        while 2 * step <= len(order):
+        while 2 * step <= len(self.least[0]):
             low = self.least[-1]
             self.least.append(np.minimum(low[:-step], low[step:]))
             step *= 2
 
+    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the suffixes begin that start with the symbol and are followed by the first `at` ones."""
+        run = np.searchsorted(self.starts, at, "right") - 1
+        whole = self.runs[symbol] + self.wavelet.rank(symbol, np.maximum(run, 0)) - self.base[symbol]
+        part = np.where(self.heads[np.maximum(run, 0)] == symbol, at - self.starts[np.maximum(run, 0)], 0)
+        return self.before[whole] + part
+
     def smallest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The smallest document in each (not empty) interval of suffixes."""
-        level = np.frexp((high - low).astype(np.float64))[1] - 1
-        out = np.empty(len(low), np.int32)
-        for k in np.unique(level):
-            m = level == k
-            t = self.least[k]
-            out[m] = np.minimum(t[low[m]], t[high[m] - (1 << int(k))])
+        a, b = low >> 4, (high - 1) >> 4
+        out = np.minimum(self.back[low], self.front[high - 1])
+        one = np.flatnonzero(a == b)
+        if len(one):
+            at = np.arange(16)
+            use = (at >= (low[one] & 15)[:, None]) & (at <= ((high[one] - 1) & 15)[:, None])
+            out[one] = np.where(use, self.inside[a[one]], 2**31 - 1).min(1)
+        far = np.flatnonzero(b - a > 1)
+        if len(far):
+            x, y = a[far] + 1, b[far]
+            level = np.frexp((y - x).astype(np.float64))[1] - 1
+            for k in np.unique(level):
+                m = level == k
+                t = self.least[k]
+                out[far[m]] = np.minimum(out[far[m]], np.minimum(t[x[m]], t[y[m] - (1 << int(k))]))
         return out
 
-    def earlier(self) -> list[tuple[int, int, int]]:
-        """(region, first word, end) of matches of WINDOW words or more that occur in an earlier document.
+    def earlier(self, region: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(search, first word, end) of matches of WINDOW words or more in documents with a code below the bound.
 
-        All regions step together.  A region looks for a match that ends before `end`; it
+        All searches step together.  A region looks for a match that ends before `end`; it
         holds words at .. end-1 and its interval of suffixes.  Where a step fails at word
         f, no window that holds f .. end-1 is left, and windows behind f were inside what
         matched.  What may remain holds f and ends sooner.  So a short probe from f
@@ -140,7 +173,7 @@ class Fm:
         that hold it are out, which is found in a few steps and not in WINDOW.
         """
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        region = np.flatnonzero(self.sizes >= WINDOW)
+        name = np.arange(len(region))
         end = self.sizes[region].copy()
         at = end.copy()
         goal = np.full(len(region), -1)  # the word at which the search before failed, -1 at first
@@ -149,12 +182,12 @@ class Fm:
         for _ in range(SHARED_STEPS):
             if not len(region):
                 break
-            ok, low, high = self.extend(region, at, low, high)
+            ok, low, high = self.extend(region, bound, at, low, high)
             at = np.where(ok, at - 1, at)
             stop = ~ok
             hit = stop & (end - at >= WINDOW)
             if hit.any():
-                found.append((region[hit], at[hit], end[hit]))
+                found.append((name[hit], at[hit], end[hit]))
             # a probe that got past its goal proves nothing about longer ends: probe further
             longer = stop & (goal >= 0) & (at <= goal) & (end < most)
             fail = stop & ~longer
@@ -168,30 +201,29 @@ class Fm:
             low, high = np.where(stop, 0, low), np.where(stop, len(self.text), high)
             if gone.any():
                 keep = ~gone
-                region, end, at, low, high, goal, most = region[keep], end[keep], at[keep], low[keep], high[keep], goal[keep], most[keep]
+                name, region, bound, end, at, low, high, goal, most = name[keep], region[keep], bound[keep], end[keep], at[keep], low[keep], high[keep], goal[keep], most[keep]
         # a few regions need very many probes: their remaining windows are searched side by side
         many = most - WINDOW + 1
-        one = np.repeat(region, many)
+        one, region, bound = np.repeat(name, many), np.repeat(region, many), np.repeat(bound, many)
         end = WINDOW + np.arange(len(one)) - np.repeat(np.cumsum(many) - many, many)
         at = end.copy()
         low, high = np.zeros(len(one), np.int64), np.full(len(one), len(self.text), np.int64)
         for _ in range(WINDOW):
-            ok, low, high = self.extend(one, at, low, high)
-            one, end, at, low, high = one[ok], end[ok], at[ok] - 1, low[ok], high[ok]
+            ok, low, high = self.extend(region, bound, at, low, high)
+            one, region, bound, end, at, low, high = one[ok], region[ok], bound[ok], end[ok], at[ok] - 1, low[ok], high[ok]
         found.append((one, at, end))
-        return [(int(r), int(a), int(b)) for x in found for r, a, b in zip(*x, strict=True)]
+        return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
 
-    def extend(self, region: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def extend(self, region: np.ndarray, bound: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One step of backward search: whether the word before `at` can be added, and the intervals."""
         n = len(region)
         symbol = self.text[self.first[region] + np.maximum(at - 1, 0)]
-        shift = self.count[symbol] - self.base[symbol]
-        rank = self.wavelet.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
-        lo, hi = rank[:n] + shift, rank[n:] + shift
+        rank = self.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        lo, hi = rank[:n], rank[n:]
         ok = (at > 0) & (hi > lo)
         sub = np.flatnonzero(ok)
         if len(sub):
-            ok[sub] = self.smallest(lo[sub], hi[sub]) < self.docs[region[sub]]
+            ok[sub] = self.smallest(lo[sub], hi[sub]) < bound[sub]
         return ok, np.where(ok, lo, low), np.where(ok, hi, high)
 
 
@@ -218,11 +250,17 @@ def regions_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, np.append(first[1:], n) + WINDOW - 1, best[first]
 
 
+_STEP = U64(0xD1342543DE82EF95)
+_UNSTEP = U64(pow(int(_STEP), -1, 2**64))
+_REGION = "doc long, copy long, pos int, size int, anchor long, content long"
+
+
 def _regions(batches):
+    """From (doc, copy, text): the regions of every text; `copy` tells the texts of one doc_id apart."""
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        doc, pos, size, anchor, content = [], [], [], [], []
-        for row, words in documents_words(batch.column(1), lower=False):
+        ids, copies = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        doc, copy, pos, size, anchor, content = [], [], [], [], [], []
+        for row, words in documents_words(batch.column(2), lower=False):
             for i, w in enumerate(words):
                 first, end, a = regions_of(w)
                 if not len(first):
@@ -235,90 +273,123 @@ def _regions(batches):
                 down = np.multiply.accumulate(np.full(len(w), _UNSTEP, U64))
                 h = mix((total[end] - total[first]) * down[first] + (end - first).astype(U64))
                 doc.append(np.full(len(first), ids[row + i], np.int64))
+                copy.append(np.full(len(first), copies[row + i], np.int64))
                 pos.append(first)
                 size.append(end - first)
                 anchor.append(a.astype(np.int64))
                 content.append(h.astype(np.int64))
         join = lambda x, t: pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))
-        yield pa.RecordBatch.from_arrays([join(doc, np.int64), join(pos, np.int32), join(size, np.int32), join(anchor, np.int64), join(content, np.int64)], ["doc", "pos", "size", "anchor", "content"])
-
-
-_STEP = U64(0xD1342543DE82EF95)
-_UNSTEP = U64(pow(int(_STEP), -1, 2**64))
-
+        yield pa.RecordBatch.from_arrays([join(doc, np.int64), join(copy, np.int64), join(pos, np.int32), join(size, np.int32), join(anchor, np.int64), join(content, np.int64)], ["doc", "copy", "pos", "size", "anchor", "content"])
 
-def _contents(windows_only: bool):
-    """From (doc, text, wanted) rows: each wanted region's words, or hashes of each of its windows."""
 
-    def run(batches):
-        for batch in batches:
-            ids, wanted = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            doc, pos, anchor, words_out = [], [], [], []
-            for row, words in documents_words(batch.column(1), lower=False):
-                for i, w in enumerate(words):
-                    for r in wanted[row + i]:
-                        part = w[r["pos"] : r["pos"] + r["size"]]
-                        if not windows_only:
-                            doc.append(ids[row + i])
-                            pos.append(r["pos"])
-                            anchor.append(r["anchor"])
-                            words_out.append(part.tobytes())
-                            continue
-                        h = gram_hashes(part, WINDOW)
-                        doc += [ids[row + i]] * len(h)
-                        pos += range(r["pos"], r["pos"] + len(h))
-                        anchor += h.astype(np.int64).tolist()
-            arrays = [pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(anchor, pa.int64())]
-            if windows_only:
-                yield pa.RecordBatch.from_arrays(arrays, ["doc", "pos", "anchor"])
-            else:
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(words_out, pa.binary())], ["doc", "pos", "anchor", "words"])
-
-    return run
+def _windows(batches):
+    """From (doc, copy, text, wanted): every window of the wanted regions, as a region of its own."""
+    for batch in batches:
+        ids, copies, wanted = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
+        for row, words in documents_words(batch.column(2), lower=False):
+            at, own, hashes = [], [], []
+            for i, w in enumerate(words):
+                for r in wanted[row + i]:
+                    h = gram_hashes(w[r["pos"] : r["pos"] + r["size"]], WINDOW).astype(np.int64)
+                    hashes.append(h)
+                    at.append(np.arange(r["pos"], r["pos"] + len(h), dtype=np.int32))
+                    own.append(np.full(len(h), row + i))
+            if hashes:
+                h, own = np.concatenate(hashes), np.concatenate(own)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(copies[own]), pa.array(np.concatenate(at)), pa.array(np.full(len(h), WINDOW, np.int32)), pa.array(h), pa.array(h)], ["doc", "copy", "pos", "size", "anchor", "content"])
+
+
+def _contents(batches):
+    """From (doc, text, wanted): the wanted regions' words."""
+    for batch in batches:
+        ids, wanted = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+        for row, words in documents_words(batch.column(1), lower=False):
+            anchor, content, doc, later, out = [], [], [], [], []
+            for i, w in enumerate(words):
+                for r in wanted[row + i]:
+                    anchor.append(r["anchor"])
+                    content.append(r["content"])
+                    doc.append(ids[row + i])
+                    later.append(r["later"])
+                    out.append(w[r["pos"] : r["pos"] + r["size"]].tobytes())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(content, pa.int64()), pa.array(doc, pa.int64()), pa.array(later, pa.bool_()), pa.array(out, pa.binary())], ["anchor", "content", "doc", "later", "words"])
 
 
 def _search(batches):
-    """One partition is one shard."""
-    docs, pos, regions = [], [], []
+    """One partition is one shard: matches of each region for its first document and for later ones."""
+    anchor, content, docs, later, regions = [], [], [], [], []
     for batch in batches:
-        docs += batch.column(0).to_pylist()
-        pos += batch.column(1).to_pylist()
-        regions += [np.frombuffer(x, U64) for x in batch.column(2).to_pylist()]
-    rows = []
-    if regions:
-        fm = Fm(regions, np.array(docs, np.int64))
-        rows = [(docs[r], pos[r] + a, pos[r] + b) for r, a, b in fm.earlier()]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
-    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], ["doc", "first", "end"])
+        anchor.append(batch.column(0).to_numpy())
+        content.append(batch.column(1).to_numpy())
+        docs.append(batch.column(2).to_numpy())
+        later.append(batch.column(3).to_numpy(zero_copy_only=False))
+        regions += [np.frombuffer(x, U64) for x in batch.column(4).to_pylist()]
+    names = ["anchor", "content", "late", "first", "end"]
+    if not regions:
+        return
+    anchor, content, docs, later = map(np.concatenate, (anchor, content, docs, later))
+    # repeated rows of a document bring a region again
+    once = np.unique(np.stack([anchor, content]), axis=1, return_index=True)[1]
+    anchor, content, docs, later, regions = anchor[once], content[once], docs[once], later[once], [regions[i] for i in once]
+    fm = Fm(regions, docs)
+    more = np.flatnonzero(later)
+    region = np.concatenate([np.arange(len(regions)), more])
+    bound = np.concatenate([fm.docs, fm.docs[more] + 1])
+    search, first, end = fm.earlier(region, bound)
+    of = region[search]
+    yield pa.RecordBatch.from_arrays([pa.array(anchor[of]), pa.array(content[of]), pa.array(search >= len(regions)), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32))], names)
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+
+
+def _matches(texts: DataFrame, regions: DataFrame, scratch: Scratch, hot_rows: int | None, shard_regions: int) -> DataFrame:
+    """(doc, copy, first, end) found among these regions; those of hot anchors are cut into windows."""
+    spark = texts.sparkSession
+    distinct = regions.groupBy("anchor", "content").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"))
+    anchors = distinct.groupBy("anchor").agg(F.min("owner").alias("d0"), F.max("last").alias("d1"), F.count("*").alias("n")).where("d0 < d1")
+    hot = F.lit(False) if hot_rows is None else F.col("n") > hot_rows
+    part = F.pmod(F.xxhash64("content"), F.lit(SALTS)).cast("int").alias("salt")
+    shared = scratch.cut(distinct.select("*", part).join(_salted(anchors.select("anchor", hot.alias("hot"))), ["anchor", "salt"]).select("anchor", "content", "owner", (F.col("last") > F.col("owner")).alias("later"), "hot"))
+    salt = F.pmod(F.xxhash64("doc", "copy", "pos"), F.lit(SALTS)).cast("int").alias("salt")
+    known = scratch.cut(regions.select("*", salt).join(_salted(shared), ["anchor", "content", "salt"]))
+    scratch.drop(regions)
+    # any one place of a region in its first document gives its words
+    one = known.where("doc = owner and not hot").groupBy("anchor", "content").agg(F.min(F.struct("doc", "copy", "pos", "size", "later")).alias("x"))
+    want = one.select("x.doc", "x.copy", F.struct("x.pos", "x.size", "anchor", "content", "x.later").alias("w")).groupBy("doc", "copy").agg(F.collect_list("w").alias("wanted"))
+    words = texts.join(want, ["doc", "copy"]).select("doc", "text", "wanted").mapInArrow(_contents, "anchor long, content long, doc long, later boolean, words binary")
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shared.where("not hot").count() // shard_regions))
+    found = scratch.cut(words.repartition(shards, "anchor").mapInArrow(_search, "anchor long, content long, late boolean, first int, end int"))
+    held = known.where("not hot").withColumn("late", F.col("doc") > F.col("owner"))
+    out = held.join(_salted(found), ["anchor", "content", "late", "salt"]).select("doc", "copy", (F.col("pos") + F.col("first")).alias("first"), (F.col("pos") + F.col("end")).alias("end"))
+    if hot_rows is not None and not shared.where("hot").isEmpty():
+        want = known.where("hot").groupBy("doc", "copy").agg(F.collect_list(F.struct("pos", "size")).alias("wanted"))
+        windows = scratch.cut(texts.join(want, ["doc", "copy"]).select("doc", "copy", "text", "wanted").mapInArrow(_windows, _REGION))
+        out = out.unionByName(_matches(texts, windows, scratch, None, shard_regions))
+    return out
 
 
 def repeats(docs: DataFrame, scratch: Scratch | None = None, hot_rows: int = HOT_ROWS, shard_regions: int = SHARD_REGIONS) -> DataFrame:
-    """(doc, first, end): intervals of words to remove; they may overlap."""
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "substrings")
-    docs = docs.selectExpr("cast(doc_id as long) doc", "text")
-    regions = scratch.cut(docs.mapInArrow(_regions, "doc long, pos int, size int, anchor long, content long"))
-    shared = regions.groupBy("anchor").agg(F.min("content").alias("c0"), F.max("content").alias("c1"), F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.count("*").alias("n"))
-    shared = shared.where("d0 < d1").select("anchor", (F.col("c0") != F.col("c1")).alias("differ"), (F.col("n") > hot_rows).alias("hot"))
-    known = scratch.cut(regions.join(shared, "anchor"))
-    scratch.drop(regions)
-    owner = known.groupBy("anchor", "content").agg(F.min("doc").alias("owner"))
-    owned = scratch.cut(known.join(owner, ["anchor", "content"]).select("doc", "pos", "size", "anchor", "owner", "differ", "hot"))
-    scratch.drop(known)
-    out = owned.where("doc > owner").select("doc", F.col("pos").alias("first"), (F.col("pos") + F.col("size")).alias("end"))
-    distinct = owned.where("doc = owner and differ")
-    want = distinct.groupBy("doc", "hot").agg(F.collect_list(F.struct("pos", "size", "anchor")).alias("wanted"))
-    texts = docs.join(want, "doc")
-    n = distinct.where("not hot").count()
-    cold = texts.where("not hot").select("doc", "text", "wanted").mapInArrow(_contents(False), "doc long, pos int, anchor long, words binary")
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // shard_regions))
-    searched = cold.repartition(shards, "anchor").select("doc", "pos", "words").mapInArrow(_search, "doc long, first int, end int")
-    out = out.unionByName(searched)
-    windows = texts.where("hot").select("doc", "text", "wanted").mapInArrow(_contents(True), "doc long, pos int, anchor long")
-    windows = scratch.cut(windows)
-    least = windows.groupBy("anchor").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last")
-    late = windows.join(least, "anchor").where("doc > owner")
-    return out.unionByName(late.select("doc", F.col("pos").alias("first"), (F.col("pos") + WINDOW).alias("end")))
+    """(doc, copy, first, end): intervals of words to remove, which may overlap; copy is xxhash64 of the text."""
+    scratch = scratch or Scratch(docs.sparkSession, "substrings")
+    texts = docs.selectExpr("cast(doc_id as long) doc", "xxhash64(text) copy", "text").where("doc is not null")
+    regions = scratch.cut(texts.mapInArrow(_regions, _REGION))
+    return _matches(texts, regions, scratch, hot_rows, shard_regions)
+
+
+def _kept(text: str | None, gone: list[dict] | None) -> tuple[list[bytes], int]:
+    """The kept words, and how many went."""
+    words = text.encode().split() if text else []
+    if not gone:
+        return words, 0
+    edge = np.zeros(len(words) + 1, np.int64)
+    np.add.at(edge, [p["first"] for p in gone], 1)
+    np.add.at(edge, [p["end"] for p in gone], -1)
+    keep = np.cumsum(edge[:-1]) == 0
+    kept = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+    return kept, len(words) - len(kept)
 
 
 def remove(docs: DataFrame, with_text: bool = False, scratch: Scratch | None = None) -> DataFrame:
@@ -329,41 +400,31 @@ def remove(docs: DataFrame, with_text: bool = False, scratch: Scratch | None = N
     """
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
     found = scratch.cut(repeats(docs, scratch))
-    per_doc = found.groupBy("doc").agg(F.collect_set(F.struct("first", "end")).alias("_gone")).withColumnRenamed("doc", "_doc")
-    joined = docs.join(per_doc, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
-    text_at = joined.columns.index("text")
-    names = [c for c in joined.columns if c != "_gone"]
+    gone = found.groupBy("doc", "copy").agg(F.collect_set(F.struct("first", "end")).alias("gone"))
+    # the row's own columns travel as one, so that their names meet no other
+    own = [F.col(f"`{c}`") for c in docs.columns if c != "text"] if with_text else ["doc_id"]
+    rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("copy"), "text")
+    joined = rows.join(gone, ["doc", "copy"], "left").select("row", "doc", "text", "gone")
+
+    def texts(batches):
+        for batch in batches:
+            out = []
+            for text, parts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                kept, n = _kept(text, parts)
+                out.append(b" ".join(kept).decode() if n else text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "text"])
 
-    def run(batches):
+    def digests(batches):
         for batch in batches:
-            gone = batch.column(batch.num_columns - 1).to_pylist()
-            n, cut, digest, texts = [], [], [], []
-            for text, parts in zip(batch.column(text_at).to_pylist(), gone, strict=True):
-                words = text.encode().split() if text else []
-                removed = 0
-                kept = words
-                if parts:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, [p["first"] for p in parts], 1)
-                    np.add.at(edge, [p["end"] for p in parts], -1)
-                    keep = np.cumsum(edge[:-1]) == 0
-                    kept = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                    removed = len(words) - len(kept)
-                if with_text:
-                    texts.append(b" ".join(kept).decode() if removed else text)
-                else:
-                    n.append(len(words))
-                    cut.append(removed)
-                    digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            if with_text:
-                columns = list(batch.columns[:-1])
-                columns[text_at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays(columns, names)
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(names.index("doc_id")), pa.array(n, pa.int64()), pa.array(cut, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    if with_text:
-        return joined.mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in docs.dtypes))
-    slim = joined.selectExpr("cast(doc_id as long) doc_id", "text", "_gone")
-    text_at, names = 1, ["doc_id", "text"]
-    return slim.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+            n, cut, digest = [], [], []
+            for text, parts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                kept, removed = _kept(text, parts)
+                n.append(len(kept) + removed)
+                cut.append(removed)
+                digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(cut, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    if not with_text:
+        return joined.mapInArrow(digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    slim = joined.mapInArrow(texts, f"row {dict(joined.dtypes)['row']}, text string")
+    return slim.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
