@@ -3,18 +3,23 @@
 Vectors of one label and length are dealt into shards of about SHARD_ROWS by a hash of
 their id.  One task builds a shard's graph (layers of a skip-list kind, each a graph of
 near neighbours, searched greedily from the top) and stores it as one row.  Every block
-of vectors then queries every shard of its label by beam search.  A beam that is full of
-links is doubled for its query until it is not; the beam of all is doubled until an audit
-of AUDIT queries per task against brute force finds every link; at the shard's size the
-search is exact, so the widening ends.  Links are verified by cosine in double precision.
+of QUERY_SHARDS shards' vectors then queries every shard of its label by beam search, at every
+size of shard.  Audits set the beam: rows are compared with the whole shard until AUDIT of
+them and EVIDENCE with links are seen (or all are), and the beam doubles until the search
+finds every link of those.  A beam that is full of links is doubled for its query until it is
+not; a beam as wide as the shard is a comparison with all of it.  Links are verified by
+cosine in double precision.
 
 Tasks return per vector the number of links and one edge to the root of a local union,
 never the pairs; the edges are united in Spark.  Equal vectors are one node with a
-multiplicity, so copies are never expanded.
+multiplicity, so copies are never expanded, and joins of all rows are salted.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components,
-and those without a label, link with nothing and keep their own id; vectors of unequal
-length do not link; further columns are ignored.
+and those without a label or id, link with nothing and keep their own id; vectors of unequal
+length do not link; rows that repeat a vec_id with the same vector are one vector and give equal
+rows, with different vectors each gives its own row; ties need no order, as every link
+counts; very long vectors are limited by a shard's memory (SHARD_ROWS); an empty table gives no
+rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +33,10 @@ from .shared import Scratch
 
 SHARD_ROWS = 20_000
 LINKS, BEAM, AUDIT = 12, 24, 256
+#: Shards whose vectors query another shard in one task.
+QUERY_SHARDS = 4
+#: Parts into which copies of one vector are dealt in joins.
+SALTS = 8
 #: Rows with links that an audit must have seen: where none of 100 is missed, the share missed is below 3 per cent (at 95 per cent).
 EVIDENCE = 100
 #: Single precision finds, double precision decides.
@@ -183,12 +192,11 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def links(graph: Graph, exact: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, least: float):
-    """Yields (query row, shard row) arrays of all pairs with cosine >= least found by widening beams."""
+    """Yields (query row, shard row) arrays of all pairs with cosine >= least found by widening beams; ids are sorted."""
     n, size = len(q), len(exact)
     q32 = q.astype(np.float32)
-    place = {int(v): i for i, v in enumerate(ids)}
-    own = np.array([place.get(int(v), -1) for v in q_ids])
-    inside = own if (own >= 0).all() else None
+    own = np.minimum(np.searchsorted(ids, q_ids), size - 1)
+    own = np.where(ids[own] == q_ids, own, -1)
 
     def exact_pairs(rows):
         """All links of these rows by brute force."""
@@ -196,56 +204,53 @@ def links(graph: Graph, exact: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids
         ok = (np.einsum("nd,nd->n", q[rows[r]], exact[c]) >= least) & (q_ids[rows[r]] != ids[c])
         return rows[r[ok]], c[ok]
 
-    beam = min(BEAM, size)
-    todo = np.random.default_rng(1).permutation(n)
-    truth_a, truth_b, linked, at = [], [], 0, 0
-    while beam * 8 < size and at < n and (at < AUDIT or linked < EVIDENCE):
-        a, b = exact_pairs(todo[at : at + 256])
+    def verify(rows, found):
+        r, c = np.nonzero(found >= 0)
+        a, b = rows[r], found[r, c]
+        ok = np.einsum("nd,nd->n", q[a], exact[b]) >= least
+        ok &= q_ids[a] != ids[b]
+        return a[ok], b[ok]
+
+    audit = np.random.default_rng(1).permutation(n)
+    truth, linked, at = [], 0, 0
+    while at < n and (at < AUDIT or linked < EVIDENCE):
+        truth.append(exact_pairs(audit[at : at + 256]))
+        linked += len(np.unique(truth[-1][0]))
         at += 256
-        yield a, b
-        truth_a.append(a)
-        truth_b.append(b)
-        linked += len(np.unique(a))
-    # audited rows are done; without others there is no beam to set
-    todo = np.sort(todo[at:])
-    if linked and len(todo):
-        truth_a, truth_b = np.concatenate(truth_a), np.concatenate(truth_b)
-        test, code = np.unique(truth_a, return_inverse=True)
-    while linked and len(todo) and beam * 8 < size:
-        found, sims = graph.search(q32[test], beam, own=None if inside is None else inside[test])
+    truth_a, truth_b = (np.concatenate([t[k] for t in truth]) for k in (0, 1)) if truth else (np.zeros(0, np.int64),) * 2
+    test, code = np.unique(truth_a, return_inverse=True)
+    beam = min(BEAM, size)
+    while len(test) and beam < size:
+        found, sims = graph.search(q32[test], beam, own=own[test])
         hit = np.zeros((len(test), size), bool)
         r, c = np.nonzero(sims >= least - SLACK)
         hit[r, found[r, c]] = True
         # a query whose beam is full of links gets a wider one below in any case
         if hit[code, truth_b][~(sims >= least - SLACK).all(1)[code]].all():
             break
-        beam *= 2
-
-    def verify(rows, ids_found):
-        r, c = np.nonzero(ids_found >= 0)
-        a, b = rows[r], ids_found[r, c]
-        ok = np.einsum("nd,nd->n", q[a], exact[b]) >= least
-        ok &= q_ids[a] != ids[b]
-        return a[ok], b[ok]
-
-    while len(todo):
-        if beam * 8 >= size:
-            for a in range(0, len(todo), 256):
-                yield exact_pairs(todo[a : a + 256])
-            return
-        found, sims = graph.search(q32[todo], beam, own=None if inside is None else inside[todo])
+        beam = min(2 * beam, size)
+    todo = np.arange(n)
+    while len(todo) and beam < size:
+        found, sims = graph.search(q32[todo], beam, own=own[todo])
         near = sims >= least - SLACK
         full = near.all(1)
-        sure = ~full
-        yield verify(todo[sure], np.where(near[sure], found[sure], -1))
-        todo, beam = todo[full], beam * 2
+        yield verify(todo[~full], np.where(near[~full], found[~full], -1))
+        todo, beam = todo[full], min(2 * beam, size)
+    for a in range(0, len(todo), 256):
+        yield exact_pairs(todo[a : a + 256])
 
 
-def _find(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
+def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Gives linked nodes one root, the smaller one; parent holds every node's root before and after."""
+    while len(a):
+        x, y = parent[a], parent[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        up = parent[parent]
+        while (up != parent).any():
+            parent[:] = up
+            up = parent[parent]
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.8, scratch: Scratch | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -255,8 +260,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.8, scratch: Scratch | None
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()
     v = v.withColumn("ok", F.coalesce(usable & (F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False)))
-    good = v.where("ok").select("vec_id", "embedding", "label")
-    reps = scratch.cut(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
+    # two hashes name a vector: joins need not carry it
+    v = v.select("vec_id", "label", "embedding", "ok", F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2"))
+    good = v.where("ok")
+    reps = scratch.cut(good.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("copies"), F.first("embedding").alias("embedding")))
     reps = reps.withColumn("width", F.size("embedding"))
     sizes = reps.groupBy("label", "width").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
     dealt = reps.join(sizes, ["label", "width"]).withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards").cast("long")).cast("int"))
@@ -283,24 +290,23 @@ def near_vectors(vectors: DataFrame, least: float = 0.8, scratch: Scratch | None
         parent = np.arange(len(nodes))
         for a, b in links(g, exact, ids, q, q_ids, least):
             np.add.at(count, a, copies[b])
-            for i, j in zip(code[a], code[len(q) + b], strict=True):
-                i, j = _find(parent, i), _find(parent, j)
-                if i != j:
-                    parent[max(i, j)] = min(i, j)
-        roots = np.array([_find(parent, i) for i in range(len(nodes))])
-        joined = np.flatnonzero(roots != np.arange(len(nodes)))
-        return pd.DataFrame({"id": np.concatenate([q_ids, nodes[joined]]), "n": np.concatenate([count, np.zeros(len(joined), np.int64)]), "root": np.concatenate([q_ids, nodes[roots[joined]]])})
-
-    blocks = dealt.select("label", "width", F.col("shard").alias("block"), "id", "embedding", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    stored = graphs.select("label", "width", "shard", "ids", "copies", "vectors", "graph", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("block"))
+            unite(parent, code[a], code[len(q) + b])
+        joined = np.flatnonzero(parent != np.arange(len(nodes)))
+        return pd.DataFrame({"id": np.concatenate([q_ids, nodes[joined]]), "n": np.concatenate([count, np.zeros(len(joined), np.int64)]), "root": np.concatenate([q_ids, nodes[parent[joined]]])})
+
+    block = F.floor(F.col("shard") / QUERY_SHARDS).cast("int")
+    blocks = dealt.select("label", "width", block.alias("block"), "id", "embedding", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    # a shard is sent once for every QUERY_SHARDS shards that query it
+    stored = graphs.select("label", "width", "shard", "ids", "copies", "vectors", "graph", F.explode(F.sequence(F.lit(0), F.floor((F.col("shards") - 1) / QUERY_SHARDS).cast("int"))).alias("block"))
     key = ["label", "width", "shard", "block"]
     found = blocks.groupBy(*key).cogroup(stored.groupBy(*key)).applyInPandas(query, "id long, n long, root long")
     found = scratch.cut(found)
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     united = components(found.where("root <> id").select(F.col("root").alias("a"), F.col("id").alias("b")), scratch)
     known = reps.join(counts, "id").join(united.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.col("n") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("c"))
-    known = scratch.cut(known)
-    out = v.join(known, F.col("ok") & (F.col("label") == F.col("_l")) & (F.col("embedding") == F.col("_e")), "left")
-    whole = F.coalesce("c", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), whole.alias("component_id"), (whole == F.col("vec_id")).alias("kept"))
+    known = known.select("label", "k1", "k2", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    known = scratch.cut(known).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    linked = good.select("vec_id", "label", "k1", "k2", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int").alias("salt")).join(known, ["label", "k1", "k2", "salt"])
+    alone = v.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = linked.select("vec_id", "n_links", "component_id").unionByName(alone)
+    return out.withColumn("kept", F.col("component_id") == F.col("vec_id"))
