@@ -4,9 +4,10 @@ A text's set of five-word shingles gets a one-permutation MinHash signature: the
 smallest hash in each of BINS ranges, an empty range borrowing from the next.  Each of
 TREES orders is the table of all distinct sets sorted by its own choice of DEPTH
 signature values.  Neighbours in an order share the longest prefixes: in every order
-each set is paired with the NEAR sets before and behind it that share at least SHALLOW
-values.  Where many share those, the nearest have longer prefixes in common, so the depth
-adapts to the region.  The row's other values must bear a pair out (AGREE of DEPTH).
+each set is paired with up to `near` sets before and behind it, the longest common prefix first
+and down to `depth` values.  So the depth adapts to the region: where many sets share a long
+prefix only those with a longer one are paired, where few do, shorter ones serve.  The row's
+values must bear a pair out (`agree` of DEPTH).
 
 The candidate pairs unite into clusters, in Spark.  A cluster that has more sets than the
 reach of its neighbours is chained by it, so what two of its sets have in common need not
@@ -15,15 +16,24 @@ happens in blocks of BLOCK_SETS, a task for every two blocks, which counts share
 through an inverted list and returns one edge per set to the root of its local union, never
 the pairs.  Blocks are ranges of set sizes, and two whose sizes exclude a link are skipped.
 
+An audit measures the recall: the sets of AUDIT texts (smallest hashes of doc_id) are compared
+with those of all texts, exactly, in the pass that makes the signatures.  The reach widens (more
+neighbours, shorter prefixes, less agreement) until at least RECALL of the audited links lie
+inside one group, at most ROUNDS times; what was missed is linked in any case.
+
 Texts with equal sets are one node throughout; their smallest doc_id stands for them.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; a
-text of fewer than five words counts as one shingle; repeated rows of a doc_id with the
-same text are equal sets; other columns are not touched.
+text of fewer than five words counts as one shingle; rows that repeat a doc_id link by the set of
+each row, and carry the smallest doc_id that this set's group has; rows without doc_id link with nothing
+and have no component; very long texts are one row, whole; ties in an order go by id; empty tables give no
+rows; other columns, whatever their names, are not touched.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,7 +42,8 @@ from pyspark.sql import DataFrame, functions as F
 from .components import components
 from .shared import U64, Scratch, documents_words, mix, shingle_set
 
-BINS, TREES, DEPTH, SHALLOW, AGREE, NEAR = 128, 12, 8, 3, 5, 6
+BINS, TREES, DEPTH = 128, 12, 8
+AUDIT, RECALL, ROUNDS = 128, 0.9, 4
 #: Sets of a cluster that one task takes twice of at most.
 BLOCK_SETS = 512
 _ORDER = np.random.default_rng(5).permutation(BINS)[: TREES * DEPTH]
@@ -52,10 +63,55 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix(value[take] + away.astype(np.uint64) * U64(0x9E3779B97F4A7C15)) >> U64(32)).astype(np.uint32)
 
 
-def _describe(batches):
-    """doc_id, n_shingles, two halves of the set's digest, and the TREES keys in one binary."""
+class Reach(NamedTuple):
+    """How far an order is searched for candidates."""
+
+    near: int = 6
+    depth: int = 1
+    agree: int = 5
+
+    def wider(self) -> Reach:
+        return Reach(2 * self.near, 1, max(1, self.agree - 1))
+
+
+class Audit:
+    """Some texts' sets, and which of them a set links with."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray], percent: int):
+        self.ids, self.percent = np.array(ids, np.int64), percent
+        self.size = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+        order = np.argsort(flat, kind="stable")
+        self.hash, self.owner = flat[order], np.repeat(np.arange(len(sets)), self.size)[order]
+        self.bit = np.zeros(1 << 22, bool)
+        self.bit[(self.hash >> U64(42)).astype(np.int64)] = True
+
+    def links(self, s: np.ndarray) -> list[int]:
+        likely = s[self.bit[(s >> U64(42)).astype(np.int64)]]
+        a, b = np.searchsorted(self.hash, likely, "left"), np.searchsorted(self.hash, likely, "right")
+        many = b - a
+        at = np.repeat(a - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        n = np.bincount(self.owner[at], minlength=len(self.ids))
+        return self.ids[(n > 0) & (100 * n >= self.percent * (len(s) + self.size - n))].tolist()
+
+
+def audit_of(docs: DataFrame, percent: int, rows: int = AUDIT) -> Audit:
+    """The audit of the texts with the smallest hashes of doc_id."""
+    some = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null and text is not null")
+    some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).toArrow()
+    sets = [shingle_set(w) for _, words in documents_words(some.column("text"), lower=True) for w in words]
+    ids = some.column("doc_id").to_pylist()
+    once = [i for i in range(len(ids)) if ids.index(ids[i]) == i and len(sets[i])]
+    return Audit([ids[i] for i in once], [sets[i] for i in once], percent)
+
+
+_SET = "doc_id long, n_shingles long, k1 long, k2 long, keys binary, linked array<long>"
+
+
+def _describe(batches, audit: Audit):
+    """doc_id, n_shingles, two halves of the set's digest, the TREES keys in one binary, and audited texts it links with."""
     for batch in batches:
-        n, k1, k2, keys = [], [], [], []
+        n, k1, k2, keys, linked = [], [], [], [], []
         for _, words in documents_words(batch.column(1), lower=True):
             for w in words:
                 s = shingle_set(w)
@@ -65,11 +121,13 @@ def _describe(batches):
                         k1.append(int(mix(s).sum().astype(np.int64)))
                         k2.append(int(np.bitwise_xor.reduce(mix(s + U64(77))).astype(np.int64)))
                     keys.append(signature(s)[_ORDER].astype(">u4").tobytes())
+                    linked.append(audit.links(s))
                 else:
+                    linked.append([])
                     k1.append(None)
                     k2.append(None)
                     keys.append(None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keys, pa.binary()), pa.array(linked, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "k1", "k2", "keys", "linked"])
 
 
 def _sets(batches):
@@ -83,15 +141,15 @@ def _sets(batches):
 _PAIR = "a long, b long, tree int, key binary, id long"
 
 
-def _pairs(tree: np.ndarray, key: np.ndarray, ids: np.ndarray, fresh: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of row i >= fresh with one of the NEAR rows before it."""
-    head = np.ascontiguousarray(key[:, :SHALLOW])
+def _pairs(tree: np.ndarray, key: np.ndarray, ids: np.ndarray, fresh: int, reach: Reach) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of row i >= fresh with one of the `near` rows before it."""
+    head = np.ascontiguousarray(key[:, : reach.depth])
     a, b, live = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(fresh, len(ids))
-    for back in range(1, NEAR + 1):
+    for back in range(1, reach.near + 1):
         live = live[live >= back]
         live = live[(tree[live] == tree[live - back]) & (head[live] == head[live - back]).all(1)]
         i = live[ids[live] != ids[live - back]]
-        i = i[(key[i] == key[i - back]).sum(1) >= AGREE]
+        i = i[(key[i] == key[i - back]).sum(1) >= reach.agree]
         a.append(ids[i - back])
         b.append(ids[i])
     a, b = np.concatenate(a), np.concatenate(b)
@@ -102,9 +160,9 @@ def _columns(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(rows["tree"]), np.frombuffer(b"".join(rows["key"]), ">u4").reshape(-1, DEPTH), np.array(rows["id"], np.int64)
 
 
-def _neighbours(batches):
-    """Candidate pairs of sorted rows (tree, key, id); also the partition's first and last NEAR rows."""
-    head, tail = None, None
+def _neighbours(batches, reach: Reach):
+    """Candidate pairs of sorted rows (tree, key, id); also the partition's first and last `near` rows."""
+    head, tail, near = None, None, reach.near
 
     def ends(rows):
         n = len(rows["id"])
@@ -114,14 +172,14 @@ def _neighbours(batches):
         rows = batch.to_pydict()
         if not rows["id"]:
             continue
-        if head is None or len(head["id"]) < NEAR:
-            head = {k: ([] if head is None else head[k]) + v[:NEAR] for k, v in rows.items()}
+        if head is None or len(head["id"]) < near:
+            head = {k: ([] if head is None else head[k]) + v[:near] for k, v in rows.items()}
         fresh = 0
         if tail is not None:
             fresh = len(tail["id"])
             rows = {k: tail[k] + v for k, v in rows.items()}
-        a, b = _pairs(*_columns(rows), fresh)
-        tail = {k: v[-NEAR:] for k, v in rows.items()}
+        a, b = _pairs(*_columns(rows), fresh, reach)
+        tail = {k: v[-near:] for k, v in rows.items()}
         if len(a):
             n = len(a)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], ["a", "b", "tree", "key", "id"])
@@ -158,25 +216,17 @@ def unite(sets: list[np.ndarray], percent: int) -> list[int]:
     return [_find(parent, i) for i in range(len(sets))]
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: links where 100 * shared >= percent * union of the shingle sets."""
+def _linked(docs: DataFrame, reps: DataFrame, orders: DataFrame, percent: int, reach: Reach, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) that unite all linked sets among the candidates within reach."""
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "near-text")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    all_docs = scratch.cut(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_describe, "doc_id long, n_shingles long, k1 long, k2 long, keys binary"))
-    full = all_docs.where("keys is not null and doc_id is not null")
-    reps = scratch.cut(full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id")))
-    own = full.select(F.col("doc_id").alias("id"), "k1", "k2", "n_shingles", "keys").join(reps, ["k1", "k2", "n_shingles", "id"])
-    cut = [F.substring("keys", 1 + t * 4 * DEPTH, 4 * DEPTH) for t in range(TREES)]
-    orders = scratch.cut(own.select("id", F.posexplode(F.array(*cut)).alias("tree", "key")))
     table = orders.repartitionByRange(width, "tree", "key", "id").sortWithinPartitions("tree", "key", "id").select("tree", "key", "id")
-    found = scratch.cut(table.mapInArrow(_neighbours, _PAIR))
-    scratch.drop(orders)
+    found = scratch.cut(table.mapInArrow(lambda batches: _neighbours(batches, reach), _PAIR))
     pairs = found.where("a is not null").select("a", "b")
-    # at most 2 * NEAR rows of every partition, whatever the input
+    # at most 2 * near rows of every partition, whatever the input
     ends = sorted({(r["tree"], bytes(r["key"]), r["id"]) for r in found.where("id is not null").select("tree", "key", "id").collect()})
     if ends:
-        a, b = _pairs(*_columns(dict(zip(("tree", "key", "id"), zip(*ends, strict=True), strict=True))), 0)
+        a, b = _pairs(*_columns(dict(zip(("tree", "key", "id"), zip(*ends, strict=True), strict=True))), 0, reach)
         if len(a):
             pairs = pairs.unionByName(spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a long, b long"))
     clusters = components(pairs, scratch)
@@ -208,9 +258,46 @@ def near_duplicates(docs: DataFrame, percent: int = 80, scratch: Scratch | None
         moved = [(int(nodes[r]), int(nodes[i])) for i, r in enumerate(root) if r != i]
         return pd.DataFrame(moved, columns=["a", "b"], dtype=np.int64)
 
-    edges = scratch.cut(work.groupBy("component", "i", "j", "span").applyInPandas(verify, "a long, b long"))
-    united = components(edges, scratch)
-    out = all_docs.select("doc_id", "n_shingles", "k1", "k2").join(reps, ["k1", "k2", "n_shingles"], "left")
+    return scratch.cut(work.groupBy("component", "i", "j", "span").applyInPandas(verify, "a long, b long"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, scratch: Scratch | None = None, reach: Reach = Reach(), report: list | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: links where 100 * shared >= percent * union of the shingle sets.
+
+    report: takes (reach, audited links, those inside one group) of each round.
+    """
+    spark = docs.sparkSession
+    scratch = scratch or Scratch(spark, "near-text")
+    audit = spark.sparkContext.broadcast(audit_of(docs, percent))
+    all_docs = scratch.cut(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lambda batches: _describe(batches, audit.value), _SET))
+    usable = F.col("keys").isNotNull() & F.col("doc_id").isNotNull()
+    full = all_docs.where(usable)
+    reps = scratch.cut(full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id")))
+    own = full.select(F.col("doc_id").alias("id"), "k1", "k2", "n_shingles", "keys").join(reps, ["k1", "k2", "n_shingles", "id"])
+    own = own.groupBy("id", "k1", "k2", "n_shingles").agg(F.max("keys").alias("keys"))
+    cut = [F.substring("keys", 1 + t * 4 * DEPTH, 4 * DEPTH) for t in range(TREES)]
+    orders = scratch.cut(own.select("id", F.posexplode(F.array(*cut)).alias("tree", "key")))
+    # audited links between different sets, by the sets' ids
+    named = full.join(reps, ["k1", "k2", "n_shingles"])
+    audited = named.where(F.col("doc_id").isin(audit.value.ids.tolist())).select(F.col("doc_id").alias("q"), F.col("id").alias("a")).distinct()
+    truth = named.where(F.size("linked") > 0).select("id", F.explode("linked").alias("q")).distinct()
+    truth = scratch.cut(truth.join(audited, "q").where("a <> id").select("a", F.col("id").alias("b")).distinct())
+    for _ in range(ROUNDS):
+        edges = _linked(docs, reps, orders, percent, reach, scratch)
+        united = components(edges, scratch)
+        root = lambda c: united.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))  # noqa: E731, B023
+        seen = truth.join(root("a"), "a", "left").join(root("b"), "b", "left")
+        total, inside = seen.agg(F.count("*"), F.count_if(F.coalesce("ca", "a") == F.coalesce("cb", "b"))).first()
+        if report is not None:
+            report.append((reach, total, inside))
+        if inside >= RECALL * total:
+            break
+        reach = reach.wider()
+    if inside < total:
+        united = components(edges.unionByName(truth), scratch)
+    scratch.drop(orders)
+    out = all_docs.where(usable).select("doc_id", "n_shingles", "k1", "k2").join(reps, ["k1", "k2", "n_shingles"])
     out = out.join(united.withColumnRenamed("node", "id"), "id", "left")
-    whole = F.coalesce("component", "id", "doc_id")
-    return out.select("doc_id", "n_shingles", whole.alias("component_id"), (whole == F.col("doc_id")).alias("kept"))
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    out = out.unionByName(all_docs.where(~usable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("component_id") == F.col("doc_id"))
