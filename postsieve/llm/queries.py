@@ -140,11 +140,11 @@ SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::BIGI
 """
 
 OP6_SQL = f"""
-WITH d AS (SELECT DISTINCT doc_id, {_SHINGLES} AS s FROM (SELECT doc_id, {_WORDS.format(t=_LOWERED)} AS w FROM documents)),
-i AS (SELECT DISTINCT item_id, {_SHINGLES} AS s FROM (SELECT item_id, {_WORDS.format(t=_LOWERED)} AS w FROM benchmark)),
-n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id)
+WITH d AS (SELECT DISTINCT r, doc_id, {_SHINGLES} AS s FROM (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(t=_LOWERED)} AS w FROM documents)),
+i AS (SELECT DISTINCT q, item_id, {_SHINGLES} AS s FROM (SELECT row_number() OVER () AS q, item_id, {_WORDS.format(t=_LOWERED)} AS w FROM benchmark WHERE item_id IS NOT NULL)),
+n AS (SELECT q, count(*) AS n_item FROM i GROUP BY q)
 SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, n_item::BIGINT AS n_item, round(count(*) / n_item::DOUBLE, 9) AS containment
-FROM d JOIN i USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) >= ceil(round(0.8::DOUBLE * n_item, 9))
+FROM d JOIN i USING (s) JOIN n USING (q) GROUP BY r, q, doc_id, item_id, n_item HAVING count(*) >= ceil(round(0.8::DOUBLE * n_item, 9))
 """
 
 OP10_SQL = f"""
