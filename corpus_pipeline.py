@@ -13,7 +13,7 @@ from postsieve.llm.shared import Scratch, table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is ACCEPT or more."""
     model = quality_gam.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_gam.score(docs, model, keep_columns=True).where(F.col("_score") >= ACCEPT).drop("_score")
+    return quality_gam.accepted(docs, model, ACCEPT)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

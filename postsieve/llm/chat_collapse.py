@@ -12,13 +12,17 @@ tasks (rows of one turn number, which a log has once, stay together).  Rendering
 
 Defined cases: rows with a null conv_id are left out; a null turn comes first; a null
 role is rendered as `user`, a null text as empty; role and text are hashed as they are
-(null unlike empty); empty tables give no rows.
+(null unlike empty); turns with equal numbers go by role and text; very long texts and
+conversations are rendered whole; empty tables give no rows; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .shared import Scratch
+
 BLOCK, CHUNK = 256, 64
 _SEEDS = ("a", "b")
 
@@ -59,9 +63,11 @@ def turn_text(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|im_start|>"), F.coalesce(role, F.lit("user")), F.lit("\n"), F.coalesce(text, F.lit("")), F.lit("<|im_end|>\n"))
 
 
-def render(turns: DataFrame) -> DataFrame:
+def render(turns: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """conv_id, n_turns, chunk, first_turn, rendered: the maximal conversations, in chunks of turns."""
-    placed = places(turns)
+    scratch = scratch or Scratch(turns.sparkSession, "chat")
+    # written once: the anti-joins and the rendering read it
+    placed = scratch.cut(places(turns))
     kept = placed.select("conv_id", "place", "role", "text").join(maximal(placed), "conv_id")
     chunk = F.floor((F.col("place") - 1) / CHUNK)
     parts = kept.groupBy("conv_id", "n_turns", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("place", turn_text(F.col("role"), F.col("text")).alias("r")))).alias("parts"))

@@ -8,7 +8,10 @@ in the order of a hash of doc_id; everything else covers all rows.
 
 Defined cases: a null text counts as empty; an empty text is scored as the features
 of no words; labels that are null are not learned from, and several labels of one
-document count as their mean; without labels every score is 0.5.
+document count as their mean; of a repeated doc_id the greatest text is learned from, and
+every row is scored; ties in the order of hashes go by doc_id; a very long text is a step of
+its own; without labels every score is 0.5; empty tables give no rows; columns besides doc_id
+and text, whatever their names, are passed through by `accepted` and else not read.
 """
 
 from __future__ import annotations
@@ -191,25 +194,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), flat], ["key", "y", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("key")).select("text", "key", "y")
+    # of a repeated doc_id one text, so that SAMPLE_ROWS bounds what is collected
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("key")).groupBy("key", "y").agg(F.max("text").alias("text")).selectExpr("text", "cast(key as long) key", "y")
     rows = rows.mapInArrow(run, "key long, y double, x array<double>").collect()
     rows.sort(key=lambda r: (r["key"], r["x"]))
     x = np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES))
     return train(x, np.array([r["y"] for r in rows]))
 
 
-def score(docs: DataFrame, model: Model, keep_columns: bool = False) -> DataFrame:
-    """doc_id, score, predicted of every row (with keep_columns: the row's columns and score as _score)."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score of every row."""
 
     def run(batches):
         for batch in batches:
-            s = pa.array(model.score(features(batch.column("text"))))
-            if keep_columns:
-                yield pa.RecordBatch.from_arrays([*batch.columns, s], [*batch.schema.names, "_score"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), s], ["doc_id", "score"])
-
-    if keep_columns:
-        schema = ", ".join(f"`{k}` {t}" for k, t in docs.dtypes)
-        return docs.mapInArrow(run, f"{schema}, _score double")
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(features(batch.column(1))))], ["doc_id", "score"])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows with a score of `least` or more, with all their columns."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(features(batch.column(at))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -163,7 +163,10 @@ def test_quality(spark, odd):
     assert sum((r.score >= 0.3) == (r.quality == 1) for r in held) >= 0.9 * len(held)
     empty = quality_gam.fit(docs.where("false"), labels.where("false"))
     assert {r.score for r in quality_gam.score(odd, empty).collect()} == {0.5}
-    assert quality_gam.score(odd, empty, keep_columns=True).columns == [*odd.columns, "_score"]
+    clash = odd.withColumn("_score", F.lit(1)).withColumn("doc_id", F.col("doc_id").cast("int"))
+    assert quality_gam.accepted(clash, empty, 0.5).dtypes == clash.dtypes and quality_gam.accepted(clash, empty, 0.5).count() == clash.count()
+    assert quality_gam.accepted(clash, empty, 0.6).count() == 0 and quality_gam.fit(clash, labels).score(np.zeros((0, len(quality_gam.FEATURES)))).shape == (0,)
+    assert quality_gam.score(clash, empty).count() == odd.count()
 
 
 def test_language(spark, odd):
