@@ -293,13 +293,14 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     some = window.join(F.broadcast(index), "key")
     some = some.withColumn("held", F.filter("own", lambda t: F.array_contains("grams", t["g"])))
     some = some.withColumn("c", F.round(F.aggregate("held", F.lit(0.0), lambda s, t: s + t["x"]), 6)).where(F.col("c") >= CONFIRM)
-    some = some.groupBy("doc_id", "copy", "paragraph", "grams", "name").agg(F.max("c").alias("c"), F.array_distinct(F.flatten(F.collect_set("held.g"))).alias("held"))
+    key = ["doc_id", "copy", "paragraph", "window", "name"]
+    some = some.withColumn("window", F.xxhash64("grams")).groupBy(*key).agg(F.first("grams").alias("grams"), F.max("c").alias("c"), F.array_distinct(F.flatten(F.collect_set("held.g"))).alias("held"))
     # the classifier, on the windows that a template fits: sums of weights over their grams, family against unknown
     sparse = _rows(spark, [{"g": g, "of": f, "x": float(v[k])} for g, v in coefficients.items() for k, f in enumerate(families) if v[k]], "g string, of string, x double")
     biases = F.create_map(*[F.lit(v) for k, f in enumerate(families[:-1]) for v in (f, round(float(bias[k] - bias[-1]), 4))])
-    sums = some.select("*", F.explode("grams").alias("g")).select("*", F.explode(F.array("name", F.lit(UNKNOWN))).alias("of")).join(F.broadcast(sparse), ["g", "of"], "left")
+    sums = some.select(*key, "c", "held", F.explode("grams").alias("g")).select("*", F.explode(F.array("name", F.lit(UNKNOWN))).alias("of")).join(F.broadcast(sparse), ["g", "of"], "left")
     gap = F.sum(F.when(F.col("of") == UNKNOWN, -F.col("x")).otherwise(F.col("x")))
-    sums = sums.groupBy("doc_id", "copy", "paragraph", "grams", "name").agg(F.max("c").alias("c"), F.first("held").alias("held"), F.round(F.coalesce(gap, F.lit(0.0)), 4).alias("z"))
+    sums = sums.groupBy(*key).agg(F.max("c").alias("c"), F.first("held").alias("held"), F.round(F.coalesce(gap, F.lit(0.0)), 4).alias("z"))
     p = F.round(1 / (1 + F.exp(-(F.col("z") + biases[F.col("name")]) / temperature)), 6)
     sure = sums.withColumn("p", p).where(F.col("p") >= CERTAIN)
     one = sure.groupBy("doc_id", "copy", "paragraph", "name").agg(F.max("p").alias("p"), F.max("c").alias("c"), F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"))
