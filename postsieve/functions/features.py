@@ -9,7 +9,7 @@ from .text import CAPS_SAMPLE, HEAD_CHARS, email_domain, masked, url_domain
 #: Fixed values.
 SHORTENERS = ["bit.ly", "tinyurl.com", "t.co", "goo.gl", "ow.ly", "is.gd", "buff.ly", "rebrand.ly", "cutt.ly", "tiny.cc", "rb.gy", "shorturl.at"]
 RISKY = ["exe", "scr", "js", "vbs", "bat", "cmd", "com", "jar", "html", "htm", "zip", "rar", "7z", "iso", "img", "docm", "xlsm", "lnk", "hta"]
-IP_URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?\d{1,3}(?:\.\d{1,3}){3}(?:[:/]|$)"
+IP_URL = r"^(?:https?://)?\d{1,3}(?:\.\d{1,3}){3}(?:[:/]|$)"
 STRUCTURAL = ["url_count", "url_domains", "html_share", "n_attachments", "risky_attachment", "reply_to_mismatch", "caps_ratio", "exclaim_per_1k", "dollar_per_1k", "log_length", "ip_url", "shortener_url", "has_headers"]
 
 

@@ -76,8 +76,13 @@ def masked(text: Column) -> Column:
     return F.lower(F.regexp_replace(joined, NUMBER, " __num__ "))
 
 
+def stripped(name: Column) -> Column:
+    """Without Unicode blanks at both ends."""
+    return F.regexp_replace(name, r"(?U)^\s+|\s+$", "")
+
+
 def norm_folder(name: Column) -> Column:
-    last = F.element_at(F.split(F.regexp_replace(name, r"\\", "/"), "/"), -1)
+    last = F.element_at(F.split(F.regexp_replace(stripped(name), r"\\", "/"), "/"), -1)
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(last, r"(?i)\.(mbox|sbd)$", ""), SPACE, " ")))
 
 

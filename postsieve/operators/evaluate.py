@@ -64,18 +64,18 @@ def ranked(rows: DataFrame) -> DataFrame:
 def roc_auc(rows: DataFrame) -> DataFrame:
     """roc_auc, pr_auc (average precision); NULL unless both classes are there."""
     r = ranked(rows)
-    area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0)) / (F.first("pos") * F.first("neg"))
-    precision = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.first("pos")
+    area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0)) / (F.first("pos").cast("double") * F.first("neg"))
+    precision = F.sum(F.col("p").cast("double") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.first("pos")
     both = (F.first("pos") > 0) & (F.first("neg") > 0)
     return r.agg(F.when(both, area).alias("roc_auc"), F.when(both, precision).alias("pr_auc"))
 
 
 def curve(rows: DataFrame, kind: str, points: int = 200) -> DataFrame:
-    """x, y, score of every step-th distinct score, step = max(1, scores div points)."""
+    """x, y, score of every step-th distinct score, step = max(1, scores div points), and the end above all scores (score NULL): (0, 0) of roc, (0, 1) of pr."""
     r = ranked(rows)
     total = r.agg(F.count("*").alias("scores"))
     r = r.join(F.broadcast(total)).where((F.col("place") - 1) % F.greatest(F.lit(1), F.floor(F.col("scores") / points)) == 0)
     recall = F.col("tp") / F.col("pos")
-    if kind == "roc":
-        return r.select((F.col("fp") / F.col("neg")).alias("x"), recall.alias("y"), "score")
-    return r.select(recall.alias("x"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("y"), "score")
+    y = (F.col("fp") / F.col("neg"), recall) if kind == "roc" else (recall, F.col("tp") / (F.col("tp") + F.col("fp")))
+    end = total.where("scores > 0").select(F.lit(0.0).alias("x"), F.lit(0.0 if kind == "roc" else 1.0).alias("y"), F.lit(None).cast("double").alias("score"))
+    return r.select(y[0].alias("x"), y[1].alias("y"), "score").unionByName(end)

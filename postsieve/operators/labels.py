@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import norm_folder
+from ..functions.text import norm_folder, stripped
 
 #: Fixed values.
 SENT = ["sent", "sent items", "sent mail", "sent messages"]
@@ -33,8 +33,8 @@ def resolve(folder: Column, rules: str, own: Overrides | None = None) -> Column:
     if own.label:
         return F.lit(own.label)
     spam, skip, ham, default = RULES[rules]
-    last, full = norm_folder(folder), F.lower(folder)
-    named = lambda names: (last.isin([x.lower() for x in names]) | full.isin([x.lower() for x in names])) if names else F.lit(False)
+    last, full = norm_folder(folder), F.lower(stripped(folder))
+    named = lambda names: F.exists(F.array(last, full), lambda x: x.isin([n.strip().lower() for n in names]))
     out = F.when(named(own.spam), "spam").when(named(own.ham), "ham").when(named(own.skip), "skip")
     if own.include_sent:
         out = out.when(last.isin(SENT), "ham")

@@ -207,7 +207,7 @@ _DOMS = f"list_filter(list_distinct([{DOMAIN_SQL.format('u')} for u in {URLS_SQL
 SELECT doc_id, len(urls)::DOUBLE AS url_count, len(doms)::DOUBLE AS url_domains, 0.0::DOUBLE AS html_share, len(attachment_types)::DOUBLE AS n_attachments, list_contains(attachment_types, 'exe')::INT::DOUBLE AS risky_attachment,
 (fd <> '' AND rd <> '' AND fd <> rd)::INT::DOUBLE AS reply_to_mismatch, round(coalesce(length(regexp_replace(s20, '[^\\p{{Lu}}]', '', 'g')) / nullif(length(regexp_replace(s20, '[^\\p{{L}}]', '', 'g')), 0)::DOUBLE, 0), 9) AS caps_ratio,
 round(1000.0::DOUBLE * (length(w) - length(replace(w, '!', ''))) / greatest(length(w), 1), 9) AS exclaim_per_1k, round(1000.0::DOUBLE * (length(w) - length(replace(w, '$', ''))) / greatest(length(w), 1), 9) AS dollar_per_1k, round(ln(1 + length(w)), 9) AS log_length,
-(len(list_filter(urls, lambda u: regexp_matches(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?\\d{{1,3}}(?:\\.\\d{{1,3}}){{3}}(?:[:/]|$)'))) > 0)::INT::DOUBLE AS ip_url, list_contains(doms, 'bit.ly')::INT::DOUBLE AS shortener_url, 1.0::DOUBLE AS has_headers FROM f""",
+(len(list_filter(urls, lambda u: regexp_matches(u, '^(?:https?://)?\\d{{1,3}}(?:\\.\\d{{1,3}}){{3}}(?:[:/]|$)'))) > 0)::INT::DOUBLE AS ip_url, list_contains(doms, 'bit.ly')::INT::DOUBLE AS shortener_url, 1.0::DOUBLE AS has_headers FROM f""",
 )
 def _(s, d):
     m = W.mail_enriched(s, d)
@@ -292,7 +292,7 @@ def _(s, d):
 
 for _kind, _x, _y in (("roc", "fp / tot_n::DOUBLE", "tp / tot_p::DOUBLE"), ("pr", "tp / tot_p::DOUBLE", "tp / (tp + fp)::DOUBLE")):
 
-    @query(f"{_kind}_curve", f"WITH {_RANK} SELECT round({_x}, 9) AS x, round({_y}, 9) AS y, score FROM rk WHERE (place - 1) % greatest(1, m // 200) = 0")
+    @query(f"{_kind}_curve", f"WITH {_RANK} SELECT round({_x}, 9) AS x, round({_y}, 9) AS y, score FROM rk WHERE (place - 1) % greatest(1, m // 200) = 0 UNION ALL SELECT 0.0::DOUBLE, {0 if _kind == 'roc' else 1}::DOUBLE, NULL FROM (SELECT max(m) AS m FROM rk) WHERE m > 0")
     def _(s, d, kind=_kind):
         return V.curve(W.scored_events(s, d), kind).select(F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), "score")
 

@@ -25,7 +25,7 @@ def test_import_and_datasets(spark, tmp_path, capsys):
     (tmp_path / "in" / "Bulk").write_bytes(b"From x\n\n")
     run = lambda *a: (cli.main(list(map(str, a))), capsys.readouterr())
     code, out = run("import", tmp_path / "in", "--name", "mine", "--dry-run")
-    assert code == 0 and "Total: ham 2, skip 1, spam 2" in out.out and not S.exists("mine")
+    assert code == 0 and "5 messages: 2 ham, 1 skip, 2 spam" in out.out and not S.exists("mine")
     code, out = run("import", tmp_path / "in", "--name", "mine")
     m = S.manifest("mine")
     assert code == 0 and m["labels"] == {"ham": 2, "spam": 1} and m["skipped"] == {"empty": 1} and m["folders"]["Inbox"] == {"ham": 2}
@@ -54,6 +54,6 @@ def test_predict(spark, tmp_path, capsys):
     (tmp_path / "a.eml").write_bytes(b"From: a@b.example\nSubject: win\n\nhello\n")
     assert cli.main(["predict", str(tmp_path / "a.eml"), "--json"]) == 0
     got = json.loads(capsys.readouterr().out)
-    assert got["verdict"] == "suspicious" and got["p_spam"] == 0.8808 and got["reasons"] == [{"feature": "subject: win", "weight": 2.0}]
+    assert got["verdict"] == "suspicious" and got["p_spam"] == 0.8808 and got["reasons"] == [{"feature": "win [subject]", "weight": 2.0}]
     (tmp_path / "b").write_bytes(b"%PDF")
     assert cli.main(["predict", str(tmp_path / "b")]) == 1 and "not-an-email" in capsys.readouterr().err
