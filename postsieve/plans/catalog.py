@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import features as X, text as T
 from ..operators import blocks as B, dedupe as D, evaluate as V, labels as L, models as M, study as Y, tfidf as I, training as R
-from ..sources import mail
-from . import views as W
+from ..sources import archives, mail
+from . import fixtures as G, views as W
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -148,7 +148,7 @@ def _(s, d):
     return W.scored_events(s, d).select("event_id", T.verdict(F.col("score"), F.lit(450.0), F.lit(480.0)).alias("verdict"))
 
 
-_GMAIL = "concat(CASE WHEN doc_id % 3 = 0 THEN 'Inbox, \"Work, home\",' ELSE 'Important,' END, CASE WHEN doc_id % 5 = 0 THEN ' Spam' WHEN doc_id % 7 = 0 THEN 'Sent' ELSE '' END)"
+_GMAIL = G.LABELS
 _GMAIL_LIST = "list_filter([trim(x, ' \"') for x in regexp_extract_all(v, '\\s*(\"[^\"]*\"|[^,]*)(?:,|$)', 1)], lambda x: x <> '')"
 
 
@@ -343,7 +343,7 @@ def _(s, d):
     return e.join(F.broadcast(edge)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 
-# --- parsing and models; no SQL twin
+# --- parsing and models
 
 
 @query("html_to_text")
@@ -357,11 +357,99 @@ def _(s, d):
     return W.table(s, d, "pages").select("page_id", visible("html").alias("text"))
 
 
-@query("parse_messages")
+_DATE = "CASE doc_id % 4 WHEN 0 THEN 1704096000 WHEN 1 THEN 1706781600 END::BIGINT AS date"
+_FROM = "lower('U' || doc_id || '@Alpha.example') AS from_addr, 'r@beta.example' AS reply_to, 'No é ' || doc_id AS subject"
+_HEAD = "concat('From: A <U', doc_id, '@Alpha.example>', chr(10), 'Reply-To: R@Beta.example', chr(10), 'Subject: " + G.SUBJECT + "', doc_id, '?=', chr(10), 'Date: ', (['" + "','".join(G.DATES) + "'])[(doc_id % 4 + 1)::INT], chr(10), 'Content-Type: text/plain; charset=utf-8', chr(10), chr(10), text)"
+
+
+def _parsed(rows):
+    m = mail.parse(rows)
+    return m.withColumn("date", F.unix_timestamp("date")).withColumn("urls", F.array_join("urls", " ")).withColumn("text", F.sha2("text", 256))
+
+
+@query("parse_messages", f"WITH m AS (SELECT *, {_HEAD} AS raw, concat(chr(10), text) AS _ FROM documents), h AS (SELECT *, sha256(raw) AS raw_sha256, {NORM.replace('concat(chr(10), text)', "concat('No é ', doc_id, chr(10), substr(text, 1, 200000))")} AS norm FROM m) SELECT doc_id AS seq, raw_sha256[1:16] AS id, raw_sha256, lang AS folder, {_DATE}, {_FROM}, sha256(substr(text, 1, 200000)) AS text, array_to_string({URLS_SQL}[1:200], ' ') AS urls, CASE WHEN length(norm) < 20 THEN raw_sha256 ELSE sha256(norm) END AS norm_body_hash FROM h")
+def _(s, d):
+    rows = W.table(s, d, "documents").select(F.col("doc_id").alias("seq"), F.lit("docs").alias("source"), F.col("lang").alias("folder"), G.plain().alias("raw"))
+    return _parsed(rows).select("seq", "id", "raw_sha256", "folder", "date", "from_addr", "reply_to", "subject", "text", "urls", "norm_body_hash")
+
+
+_SHOWN = "chr(10) || 'More' || chr(10) || 'at b'"
+
+
+@query(
+    "mime_fields",
+    f"""WITH k AS (SELECT *, doc_id % 6 AS k, CASE WHEN doc_id % 12 = 10 THEN 'empty' WHEN doc_id % 6 = 4 THEN 'not-an-email' END AS error,
+substr(CASE WHEN doc_id % 6 = 3 THEN chr(10) || text ELSE text END, 1, 200000) AS shown FROM documents),
+f AS (SELECT doc_id AS seq, error, {_DATE}, {_FROM}, sha256(shown) AS text, array_to_string(list_distinct(list_concat(CASE WHEN k = 2 THEN ['https://b.example/x'] ELSE []::VARCHAR[] END, {URLS_SQL.replace("text", "shown")}))[1:200], ' ') AS urls,
+CASE k WHEN 2 THEN round(length({_SHOWN}) / (length(text) + length({_SHOWN}))::DOUBLE, 4) WHEN 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS html_share, (k = 2)::INT AS n_attachments, CASE WHEN k = 2 THEN 'exe' ELSE '' END AS attachment_types FROM k)
+SELECT seq, error, COLUMNS(* EXCLUDE (seq, error)) FROM f WHERE error IS NULL UNION ALL SELECT seq, error, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM f WHERE error IS NOT NULL""",
+)
+def _(s, d):
+    rows = W.table(s, d, "documents").select(F.col("doc_id").alias("seq"), F.lit("docs").alias("source"), F.lit("").alias("folder"), G.mime().alias("raw"))
+    m = _parsed(rows).withColumn("attachment_types", F.array_join("attachment_types", " "))
+    # an error row has nothing else
+    return m.select("seq", "error", *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("date", "from_addr", "reply_to", "subject", "text", "urls", "html_share", "n_attachments", "attachment_types")])
+
+
+# --- sources: written from the documents, read back
+
+_ESCAPED = "regexp_replace(text, '(?m)^From ', '>From ', 'g')"
+
+
+def _read_back(m, rules):
+    """Rows that are not skipped, parsed: the number in the subject, folder, label, hash of the text."""
+    # a file's place in a tree differs by partition, its last folder does not
+    m = m.withColumn("label", L.resolve(F.col("folder"), rules)).where("label <> 'skip'").withColumn("source", F.col("label"))
+    return mail.parse(m).select(F.regexp_extract("subject", r"(\d+)$", 1).cast("long").alias("doc_id"), T.norm_folder(F.col("folder")).alias("folder"), F.col("source").alias("label"), F.sha2("text", 256).alias("text"))
+
+
+def _back_sql(body: str, folder: str, rule: str, source: str = "documents") -> str:
+    return f"WITH n AS (SELECT doc_id, {body} AS body, {folder} AS f FROM {source}) SELECT doc_id, f AS folder, {rule} AS label, sha256(substr(body, 1, 200000)) AS text FROM n WHERE {rule} <> 'skip'"
+
+
+@query("mbox_scan", _back_sql(_ESCAPED + " || chr(10)", _NORMED.replace("folder", FOLDER_SQL).removesuffix(" AS f"), _RULE))
+def _(s, d):
+    root = G.boxes(G.documents(s, d, G.plain()), G.folder(s))
+    return _read_back(mail.read_files(s, root, "x"), "mbox")
+
+
+_TAKEOUT = "CASE WHEN list_contains(l, 'spam') THEN 'spam' WHEN list_contains(l, 'trash') THEN 'trash' WHEN list_contains(l, 'drafts') THEN 'drafts' WHEN list_contains(l, 'chat') THEN 'chat' WHEN list_contains(l, 'sent') THEN 'sent' WHEN list_contains(l, 'inbox') THEN 'inbox' ELSE 'archived' END"
+_TAKEOUT_RULE = "CASE WHEN f = 'spam' THEN 'spam' WHEN f IN ('trash', 'drafts', 'chat', 'sent') THEN 'skip' ELSE 'ham' END"
+
+
+@query("takeout_scan", _back_sql(_ESCAPED + " || chr(10)", _TAKEOUT, _TAKEOUT_RULE, f"(SELECT doc_id, text, [lower(x) for x in {_GMAIL_LIST}] AS l FROM (SELECT *, {_GMAIL} AS v FROM documents))"))
+def _(s, d):
+    root = G.boxes(G.documents(s, d, G.labelled()).withColumn("folder", F.lit("All mail.mbox")), G.folder(s))
+    return _read_back(mail.read_files(s, root, "x"), "takeout")
+
+
+_EML = ["spam/2024", "Junk", "ham", "Not Spam/a/b", "else", "inbox"]
+_EML_SQL = "(['spam', 'junk', 'ham', 'not spam', 'else', 'inbox'])[(doc_id % 6 + 1)::INT]"
+
+
+@query("eml_scan", _back_sql("text", _EML_SQL, "CASE WHEN f IN ('spam', 'junk') THEN 'spam' WHEN f = 'else' THEN 'skip' ELSE 'ham' END"))
+def _(s, d):
+    at = F.element_at(F.array(*map(F.lit, _EML)), (F.col("doc_id") % len(_EML) + 1).cast("int"))
+    root = G.emls(G.documents(s, d, G.plain()).withColumn("folder", at), G.folder(s))
+    return _read_back(mail.read_files(s, root, "x"), "eml")
+
+
+@query("tar_scan", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'spam_2' ELSE 'easy_ham' END AS folder, CASE WHEN doc_id % 3 = 0 THEN 'spam' ELSE 'ham' END AS label, sha256(substr(text, 1, 200000)) AS text FROM documents")
+def _(s, d):
+    member = F.concat(F.lit("c/"), F.when(F.col("doc_id") % 3 == 0, "spam_2").otherwise("easy_ham"), F.lit("/"), F.col("doc_id").cast("string"))
+    paths = G.tars(G.documents(s, d, G.plain()).select(member.alias("member"), "raw"), G.folder(s))
+    m = archives.read_tars(s, paths, "x").withColumn("source", F.col("label"))
+    return mail.parse(m).select(F.regexp_extract("subject", r"(\d+)$", 1).cast("long").alias("doc_id"), "folder", F.col("source").alias("label"), F.sha2("text", 256).alias("text"))
+
+
+@query("enron_scan", f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'spam' ELSE 'ham' END AS label, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE '2004-02-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') END AS date, 'No ' || doc_id AS subject, sha256(substr(replace(text, chr(13) || chr(10), chr(10)), 1, 200000)) AS text, array_to_string({URLS_SQL}[1:200], ' ') AS urls FROM documents WHERE doc_id % 5 <> 0")
 def _(s, d):
-    head = F.concat(F.lit("From: A <U"), F.col("doc_id").cast("string"), F.lit("@Alpha.example>\nSubject: =?utf-8?q?No_=C3=A9?=\nDate: Mon, 01 Jan 2024 10:00:00 +0200\nContent-Type: text/plain; charset=utf-8\n\n"), "text")
-    raw = W.table(s, d, "documents").select(F.col("doc_id").alias("seq"), F.lit("docs").alias("source"), F.col("lang").alias("folder"), head.cast("binary").alias("raw"))
-    return mail.parse(raw).drop("headers")
+    id_ = F.col("doc_id").cast("string")
+    kind = F.when(F.col("doc_id") % 5 == 0, "drafts").when(F.col("doc_id") % 3 == 0, "spam").otherwise("ham")
+    day = F.when(F.col("doc_id") % 11 == 0, "31").otherwise(F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"))
+    docs = W.table(s, d, "documents").select(F.concat(F.lit("enron1/"), kind, F.lit("/"), id_, F.lit(".2004-02-"), day, F.lit(".x.txt")).alias("member"), F.concat(F.lit("SUBJECT: No "), id_, F.lit("\r\n"), "text").cast("binary").alias("raw"))
+    m = archives.parse_plain(archives.read_tars(s, G.tars(docs, G.folder(s)), "x", "strict"))
+    return m.select(F.regexp_extract("subject", r"(\d+)$", 1).cast("long").alias("doc_id"), "label", F.date_format("date", "yyyy-MM-dd").alias("date"), "subject", F.sha2("text", 256).alias("text"), F.array_join("urls", " ").alias("urls"))
 
 
 def _labelled(s, d):
