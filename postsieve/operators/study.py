@@ -14,6 +14,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from . import evaluate as V
+
 QUERY_BLOCK = 2000
 #: The deepest that Spark grows trees; stands for no bound.
 DEPTH = 30
@@ -31,14 +33,18 @@ def models(seed: int = 42) -> dict:
 
 
 def accuracies(train: DataFrame, held: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """model, accuracy on held; inputs have features and y."""
-    out = None
+    """model, accuracy on held, and roc_auc where held has the classes 0 and 1 alone; the best first.  Inputs have features and y."""
+    two = held.where(~F.col("y").isin(0.0, 1.0)).isEmpty()
+    found = []
     for name, m in models().items():
         if names and name not in names:
             continue
-        a = m.fit(train).transform(held).agg(F.lit(name).alias("model"), F.round(F.avg((F.col("prediction") == F.col("y")).cast("double")), 4).alias("accuracy"))
-        out = a if out is None else out.unionByName(a)
-    return out
+        made = m.fit(train).transform(held).persist()
+        share = made.agg(F.round(F.avg((F.col("prediction") == F.col("y")).cast("double")), 4)).first()[0]
+        auc = V.roc_auc(made.select(F.col("y").cast("int").alias("y"), vector_to_array("probability")[1].alias("score"))).first()["roc_auc"] if two else None
+        made.unpersist()
+        found.append((name, share, auc))
+    return train.sparkSession.createDataFrame(sorted(found, key=lambda r: (-(r[1] or 0.0), r[0])), "model string, accuracy double, roc_auc double")
 
 
 def scaled(train: DataFrame, *others: DataFrame) -> list[DataFrame]:
@@ -97,9 +103,31 @@ def grid_search(train: DataFrame, key: str, grid: tuple = GRID, folds: int = 3,
     return train.sparkSession.createDataFrame(sorted(found, key=lambda r: (-r[3], r[:3])), "trees int, depth int, least int, accuracy double")
 
 
-def importances(train: DataFrame, names: list[str]) -> DataFrame:
+def importances(train: DataFrame, names: list[str], top: int | None = None) -> DataFrame:
+    """feature, importance of a forest, the largest first; of equal ones the earlier column."""
     m = models()["forest"].fit(train)
-    return train.sparkSession.createDataFrame(list(zip(names, map(float, m.featureImportances.toArray()), strict=True)), "feature string, importance double")
+    found = sorted(zip(names, map(float, m.featureImportances.toArray()), strict=True), key=lambda r: -r[1])
+    return train.sparkSession.createDataFrame(found[:top], "feature string, importance double")
+
+
+def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """name, n, missing, mean, sd, lo, q1, q2, q3, hi per column, in one pass."""
+    made = []
+    for c in columns:
+        v = F.col(c).cast("double")
+        quarters = [F.round(F.percentile(v, p), 6) for p in (0.25, 0.5, 0.75)]
+        values = [F.lit(c), F.count(v), F.count("*") - F.count(v), F.round(F.avg(v), 6), F.round(F.stddev(v), 6), F.min(v), *quarters, F.max(v)]
+        names = ["name", "n", "missing", "mean", "sd", "lo", "q1", "q2", "q3", "hi"]
+        made.append(F.struct(*[x.alias(k) for x, k in zip(values, names, strict=True)]))
+    return rows.agg(F.array(*made).alias("a")).select(F.inline("a"))
+
+
+def histogram(rows: DataFrame, column: str, bins: int = 30) -> DataFrame:
+    """bin, n over equal widths between the extremes; the last bin holds the largest value."""
+    edge = rows.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+    at = F.least(F.lit(bins - 1), F.floor((F.col(column) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("long")
+    # the edges are one row
+    return rows.join(F.broadcast(edge)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def confusion(rows: DataFrame) -> DataFrame:
@@ -117,6 +145,22 @@ def class_report(rows: DataFrame) -> DataFrame:
     return both.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
+def whole_report(rows: DataFrame) -> DataFrame:
+    """class_report with rows for accuracy (under f1), the plain and the support-weighted mean over classes."""
+    each = class_report(rows)
+    names = ("precision", "recall", "f1")
+    n = F.sum("support").alias("support")
+    macro = each.agg(F.lit("macro avg").alias("label"), *[F.avg(c).alias(c) for c in names], n)
+    weighted = each.agg(F.lit("weighted avg").alias("label"), *[F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c) for c in names], n)
+    none = F.lit(None).cast("double")
+    hit = F.avg((F.col("y") == F.col("prediction")).cast("double"))
+    right = rows.agg(F.lit("accuracy").alias("label"), none.alias("precision"), none.alias("recall"), hit.alias("f1"), F.count("*").alias("support"))
+    out = each.withColumn("label", F.col("label").cast("string"))
+    for more in (macro, weighted, right):
+        out = out.unionByName(more)
+    return out
+
+
 def neighbours(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query, id, label, distance, place: the k nearest of rows (id, vector, label), a row with the query's id left out.
 

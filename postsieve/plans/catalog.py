@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import features as X, text as T
 from ..operators import blocks as B, dedupe as D, evaluate as V, labels as L, models as M, study as Y, tfidf as I, training as R
-from ..sources import archives, mail
+from ..sources import archives, mail, store
 from . import fixtures as G, views as W
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,7 +106,7 @@ def _(s, d):
     return D.split_grouped(D.dedupe(W.mail_variants(s, d))).groupBy("part", "label").agg(F.count("*").alias("n"))
 
 
-@query("split_time", "WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS rn, count(*) OVER () AS n FROM events), t AS (SELECT *, round_even(0.2::DOUBLE * n, 0) AS nt FROM r) SELECT event_id, CASE WHEN rn > n - nt THEN 'test' WHEN rn > n - nt - round_even(0.15::DOUBLE * (n - nt), 0) THEN 'val' ELSE 'train' END AS part FROM t")
+@query("split_time", "WITH v AS (SELECT event_id, CASE WHEN event_id % 50 <> 7 THEN ts END AS ts FROM events), r AS (SELECT event_id, ts, row_number() OVER (PARTITION BY ts IS NULL ORDER BY ts, event_id) AS rn, count(ts) OVER () AS n FROM v), t AS (SELECT *, round_even(0.2::DOUBLE * n, 0) AS nt FROM r) SELECT event_id, CASE WHEN ts IS NULL THEN 'train' WHEN rn > n - nt THEN 'test' WHEN rn > n - nt - round_even(0.15::DOUBLE * (n - nt), 0) THEN 'val' ELSE 'train' END AS part FROM t")
 def _(s, d):
     return D.split_time(W.dated_events(s, d), "ts", ["event_id"]).select("event_id", "part")
 
@@ -114,7 +114,11 @@ def _(s, d):
 # --- text functions
 
 
-@query("mask_tokens")
+_URL_TOKEN = f"concat(' __url__ urldom_', regexp_replace({DOMAIN_SQL.format('u')}, '[^a-z0-9]', '_', 'g'), ' ')"
+_MASKED = rf"""lower(regexp_replace(regexp_replace(array_to_string([concat(z[1], coalesce(z[2], '')) for z in list_zip(regexp_split_to_array(text, '{T.URL_SQL}'), [{_URL_TOKEN} for u in regexp_extract_all(text, '{T.URL_SQL}')])], ''), '{T.ADDRESS_SQL}', ' __email__ ', 'g'), '\b\p{{Nd}}[\p{{Nd}},.\-]*\b', ' __num__ ', 'g'))"""
+
+
+@query("mask_tokens", f"WITH {ENRICHED} SELECT doc_id, {_MASKED} AS tokens FROM mail")
 def _(s, d):
     return W.mail_enriched(s, d).select("doc_id", T.masked(F.col("text")).alias("tokens"))
 
@@ -174,6 +178,36 @@ def _(s, d):
     return W.mail_base(s, d).select("doc_id", L.resolve(F.col("folder"), "mbox", own).alias("resolved"))
 
 
+_KINDS = ["mbox", "takeout", "eml", "pst"]
+_RULES = {
+    "mbox": _RULE,
+    "takeout": "CASE WHEN f = 'spam' THEN 'spam' WHEN f IN ('trash', 'drafts', 'chat', 'sent') THEN 'skip' ELSE 'ham' END",
+    "eml": "CASE WHEN f IN ('spam', 'junk') THEN 'spam' WHEN f IN ('ham', 'inbox', 'not spam', 'legit') THEN 'ham' ELSE 'skip' END",
+    "pst": "CASE WHEN f IN ('junk email', 'junk e-mail', 'junk', 'spam') THEN 'spam' WHEN f IN ('deleted items', 'drafts', 'outbox', 'sent items', 'sync issues', 'conflicts', 'local failures', 'server failures', 'calendar', 'contacts', 'tasks', 'notes', 'journal', 'rss feeds', 'conversation history') THEN 'skip' ELSE 'ham' END",
+}
+#: Names as people type and programs store them, padded, nested, with suffixes and other separators.
+_NAMES = ["Inbox", " Junk E-Mail ", "Archive\\Sent", "a/Trash.sbd ", "Junk.mbox ", "Bulk\tMail", "Not Spam", "RSS Feeds", "chat", "lists/x", "Deleted  Items", "Legit.mbox.sbd"]
+_NAMED = "(['" + "', '".join(x.replace("\t", "' || chr(9) || '") for x in _NAMES) + f"'])[(doc_id % {len(_NAMES)} + 1)::INT]"
+_LAST = r"lower(trim(regexp_replace(regexp_replace(list_extract(string_split(replace(trim(folder, chr(32) || chr(9)), chr(92), '/'), '/'), -1), '(?i)\.(mbox|sbd)$', ''), '\s+', ' ', 'g')))"
+
+
+def _named(s, d):
+    return W.table(s, d, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("doc_id") % len(_NAMES) + 1).cast("int")).alias("folder"))
+
+
+@query("norm_folder", f"SELECT doc_id, {_LAST} AS folder FROM (SELECT doc_id, {_NAMED} AS folder FROM documents)")
+def _(s, d):
+    return _named(s, d).select("doc_id", T.norm_folder(F.col("folder")).alias("folder"))
+
+
+@query("rule_sets", f"WITH n AS (SELECT doc_id, {_LAST} AS f FROM (SELECT doc_id, {_NAMED} AS folder FROM documents)) SELECT doc_id, " + ", ".join(f"{_RULES[k]} AS {k}" for k in _KINDS) + ", CASE WHEN f = 'x' THEN 'spam' ELSE 'skip' END AS own FROM n WHERE f IN ('x', 'inbox', 'chat') UNION ALL SELECT doc_id, " + ", ".join(_RULES[k] for k in _KINDS) + ", NULL FROM n WHERE f NOT IN ('x', 'inbox', 'chat')")
+def _(s, d):
+    own = L.resolve(F.col("folder"), "eml", L.Overrides(spam=[" lists/x "], skip=["INBOX ", "Chat"]))
+    m = _named(s, d)
+    last = T.norm_folder(F.col("folder"))
+    return m.select("doc_id", *[L.resolve(F.col("folder"), k).alias(k) for k in _KINDS], F.when(last.isin("x", "inbox", "chat"), own).alias("own"))
+
+
 @query("label_report", f"WITH {BASE}, n AS (SELECT folder, {_NORMED} FROM base) SELECT folder, count(*) AS count, {_RULE} AS label FROM n GROUP BY folder, f")
 def _(s, d):
     return L.label_report(W.mail_base(s, d), "mbox")
@@ -337,16 +371,17 @@ def _(s, d):
 
 @query("histogram_bins", "WITH b AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT least(29, floor((value - lo) / (hi - lo) * 30))::BIGINT AS bin, count(*) AS n FROM events, b GROUP BY 1")
 def _(s, d):
-    e = W.table(s, d, "events")
-    edge = e.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    at = F.least(F.lit(29), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 30)).cast("long")
-    return e.join(F.broadcast(edge)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    return Y.histogram(W.table(s, d, "events"), "value")
 
 
 # --- parsing and models
 
 
-@query("html_to_text")
+# the pages' markup is regular enough for patterns: comments, hidden parts, tags that begin a line, other tags, the entities in use
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)\b.*?</(script|style)>', '', 'g'), '(?i)<(br|p|div|tr|li|h1|h2|h3|h4|table)(\s[^>]*)?/?>', chr(10), 'g')"
+
+
+@query("html_to_text", f"SELECT page_id, replace(replace(replace(replace(regexp_replace({_BARE}, '<[^>]*>', '', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&') AS text FROM pages")
 def _(s, d):
     from pyspark.sql.functions import pandas_udf
 
@@ -414,10 +449,9 @@ def _(s, d):
 
 
 _TAKEOUT = "CASE WHEN list_contains(l, 'spam') THEN 'spam' WHEN list_contains(l, 'trash') THEN 'trash' WHEN list_contains(l, 'drafts') THEN 'drafts' WHEN list_contains(l, 'chat') THEN 'chat' WHEN list_contains(l, 'sent') THEN 'sent' WHEN list_contains(l, 'inbox') THEN 'inbox' ELSE 'archived' END"
-_TAKEOUT_RULE = "CASE WHEN f = 'spam' THEN 'spam' WHEN f IN ('trash', 'drafts', 'chat', 'sent') THEN 'skip' ELSE 'ham' END"
 
 
-@query("takeout_scan", _back_sql(_ESCAPED + " || chr(10)", _TAKEOUT, _TAKEOUT_RULE, f"(SELECT doc_id, text, [lower(x) for x in {_GMAIL_LIST}] AS l FROM (SELECT *, {_GMAIL} AS v FROM documents))"))
+@query("takeout_scan", _back_sql(_ESCAPED + " || chr(10)", _TAKEOUT, _RULES["takeout"], f"(SELECT doc_id, text, [lower(x) for x in {_GMAIL_LIST}] AS l FROM (SELECT *, {_GMAIL} AS v FROM documents))"))
 def _(s, d):
     root = G.boxes(G.documents(s, d, G.labelled()).withColumn("folder", F.lit("All mail.mbox")), G.folder(s))
     return _read_back(mail.read_files(s, root, "x"), "takeout")
@@ -427,7 +461,7 @@ _EML = ["spam/2024", "Junk", "ham", "Not Spam/a/b", "else", "inbox"]
 _EML_SQL = "(['spam', 'junk', 'ham', 'not spam', 'else', 'inbox'])[(doc_id % 6 + 1)::INT]"
 
 
-@query("eml_scan", _back_sql("text", _EML_SQL, "CASE WHEN f IN ('spam', 'junk') THEN 'spam' WHEN f = 'else' THEN 'skip' ELSE 'ham' END"))
+@query("eml_scan", _back_sql("text", _EML_SQL, _RULES["eml"]))
 def _(s, d):
     at = F.element_at(F.array(*map(F.lit, _EML)), (F.col("doc_id") % len(_EML) + 1).cast("int"))
     root = G.emls(G.documents(s, d, G.plain()).withColumn("folder", at), G.folder(s))
@@ -456,12 +490,21 @@ def _labelled(s, d):
     return M.with_terms(W.mail_base(s, d).where("label is not null")).select("doc_id", "terms", T.is_spam(F.col("label")).cast("double").alias("y"), F.lit(1.0).alias("w"))
 
 
+_GRAMS = r"""regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"""
+_CNB = f"""WITH {BASE}, w AS (SELECT doc_id, (label = 'spam')::INT AS y, {_GRAMS} AS w FROM base WHERE label IS NOT NULL),
+tf AS (SELECT doc_id, y, doc_id % 5 <> 0 AS seen, term, count(*) AS tf FROM (SELECT doc_id, y, unnest(list_concat(w, [concat(w[i], ' ', w[i + 1]) for i in range(1, len(w))])) AS term FROM w) GROUP BY ALL),
+df AS (SELECT term, ln((1 + (SELECT count(*) FROM w WHERE doc_id % 5 <> 0)) / (1 + count(*))::DOUBLE) AS idf FROM tf WHERE seen GROUP BY 1 HAVING count(*) >= 2),
+x AS (SELECT doc_id, y, seen, term, tf * idf / nullif(sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY doc_id)), 0) AS x FROM tf JOIN df USING (term)),
+c AS (SELECT term, coalesce(sum(x) FILTER (seen AND y = 1), 0) AS spam, coalesce(sum(x) FILTER (seen AND y = 0), 0) AS ham FROM x GROUP BY 1),
+t AS (SELECT term, ln((ham + 0.1) / (sum(ham) OVER () + 0.1 * count(*) OVER ())) AS of_spam, ln((spam + 0.1) / (sum(spam) OVER () + 0.1 * count(*) OVER ())) AS of_ham FROM c)
+SELECT w.doc_id, w.y::DOUBLE AS y, round(coalesce(sum(x.x * (of_ham - of_spam)), 0), 6) AS score FROM w LEFT JOIN x USING (doc_id) LEFT JOIN t USING (term) WHERE w.doc_id % 5 = 0 GROUP BY ALL"""
+
 for _algo in ("logreg", "cnb", "svm"):
 
-    @query(f"model_{_algo}")
+    @query(f"model_{_algo}", _CNB if _algo == "cnb" else None)
     def _(s, d, algo=_algo):
         rows = _labelled(s, d)
-        return M.scores(M.fit(rows.where("doc_id % 5 <> 0"), algo), rows.where("doc_id % 5 = 0"), "doc_id")
+        return M.scores(M.fit(rows.where("doc_id % 5 <> 0"), algo), rows.where("doc_id % 5 = 0"), "doc_id").withColumn("score", F.round("score", 6))
 
 
 @query("explain_topk")
@@ -566,6 +609,101 @@ def _(s, d):
     return s.createDataFrame([(k, v["roc_auc"], v["pr_auc"]) for k, v in found.items()], "direction string, roc_auc double, pr_auc double")
 
 
+# --- reports of the study
+
+_SAID = "(SELECT (event_type = 'error')::INT::DOUBLE AS y, (value >= 400)::INT::DOUBLE AS p FROM events)"
+_REPORT = f"""WITH c AS (SELECT k AS label, count(*) FILTER (y = k) AS support, count(*) FILTER (p = k) AS said, count(*) FILTER (y = k AND p = k) AS hit FROM {_SAID}, (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) t(k) GROUP BY k),
+r AS (SELECT label, support, coalesce(hit / nullif(said, 0)::DOUBLE, 0) AS p, coalesce(hit / nullif(support, 0)::DOUBLE, 0) AS r FROM c), f AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f FROM r),
+u AS (SELECT CASE label WHEN 0 THEN '0.0' ELSE '1.0' END AS label, p, r, f, support FROM f UNION ALL SELECT 'macro avg', avg(p), avg(r), avg(f), sum(support)::BIGINT FROM f
+UNION ALL SELECT 'weighted avg', sum(p * support) / sum(support), sum(r * support) / sum(support), sum(f * support) / sum(support), sum(support)::BIGINT FROM f UNION ALL SELECT 'accuracy', NULL, NULL, (SELECT sum(hit) FROM c) / sum(support), sum(support)::BIGINT FROM f)
+SELECT label, round(p, 9) AS precision, round(r, 9) AS recall, round(f, 9) AS f1, support FROM u"""
+
+
+def _said(s, d):
+    return W.table(s, d, "events").select((F.col("event_type") == "error").cast("double").alias("y"), (F.col("value") >= 400).cast("double").alias("prediction"))
+
+
+@query("class_report", _REPORT)
+def _(s, d):
+    r = Y.whole_report(_said(s, d))
+    return r.select("label", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query("report_files", f"SELECT y, p AS prediction, count(*) AS n FROM {_SAID} GROUP BY ALL")
+def _(s, d):
+    path = store.write_table(Y.confusion(_said(s, d)), f"file://{G.folder(s)}/confusion")
+    return s.read.schema("y double, prediction double, n long").option("header", True).csv(path)
+
+
+_COLUMNS = ["event_id", "user_id", "value"]
+
+
+@query("describe_columns", "WITH v AS (SELECT event_id, CASE WHEN event_id % 50 <> 7 THEN user_id END AS user_id, value FROM events) " + " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n, count(*) - count({c}) AS missing, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS sd, min({c})::DOUBLE AS lo, round(quantile_cont({c}, 0.25), 6)::DOUBLE AS q1, round(quantile_cont({c}, 0.5), 6)::DOUBLE AS q2, round(quantile_cont({c}, 0.75), 6)::DOUBLE AS q3, max({c})::DOUBLE AS hi FROM v" for c in _COLUMNS))
+def _(s, d):
+    e = W.table(s, d, "events").withColumn("user_id", F.when(F.col("event_id") % 50 != 7, F.col("user_id")))
+    return Y.describe(e, _COLUMNS)
+
+
+@query("histogram_by_class", "WITH e AS (SELECT value FROM events WHERE event_type = 'error'), b AS (SELECT min(value) AS lo, max(value) AS hi FROM e) SELECT least(29, floor((value - lo) / (hi - lo) * 30))::BIGINT AS bin, count(*) AS n FROM e, b GROUP BY 1")
+def _(s, d):
+    return Y.histogram(W.table(s, d, "events").where("event_type = 'error'"), "value")
+
+
+# --- learned features, stored datasets
+
+_GROWN = "list_concat(w, [concat(w[i], ' ', w[i + 1]) for i in range(1, len(w))])"
+_CHARS = "list_concat(CASE WHEN length(x) >= 3 THEN [substr(x, i, 3) for i in range(1, length(x) - 1)] ELSE [x] END, [substr(x, i, 4) for i in range(1, length(x) - 2)], [substr(x, i, 5) for i in range(1, length(x) - 3)])"
+_LEARNED = f"""WITH {ENRICHED}, m AS (SELECT * FROM mail WHERE label IS NOT NULL),
+t AS (SELECT doc_id, 'subj' AS block, unnest({_GROWN}) AS term FROM (SELECT doc_id, regexp_extract_all({_MASKED.replace("text", "subject")}, '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM m)
+UNION ALL SELECT doc_id, 'body', unnest({_GROWN}) FROM (SELECT doc_id, regexp_extract_all({_MASKED}, '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM m)
+UNION ALL SELECT doc_id, 'hdr', unnest(string_split({_HDR}, ' ')) FROM m
+UNION ALL SELECT doc_id, 'char', unnest({_CHARS}) FROM (SELECT doc_id, ' ' || unnest(list_filter(regexp_split_to_array(lower(concat(subject, chr(10), substr(text, 1, 2000))), '\\s+'), lambda x: x <> '')) || ' ' AS x FROM m)),
+c AS (SELECT block, term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY ALL HAVING df >= 2 OR block = 'hdr'),
+k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY block ORDER BY cf DESC, term) <= CASE block WHEN 'subj' THEN 50000 WHEN 'body' THEN 200000 ELSE 300000 END)
+SELECT block, term, round(ln((1 + (SELECT count(*) FROM m)) / (1 + df)::DOUBLE) + 1, 9) AS value FROM k"""
+
+
+def _vocabulary(s, d):
+    return B.learn(B.frame(W.mail_enriched(s, d).where("label is not null"), "seq"), "full")
+
+
+@query("learned_terms", _LEARNED)
+def _(s, d):
+    v = _vocabulary(s, d)
+    return s.createDataFrame(pd.concat([pd.DataFrame({"block": b, "term": t, "value": v.idf[b]}) for b, t in v.terms.items()]), "block string, term string, value double").withColumn("value", F.round("value", 9))
+
+
+@query("signal_scaling", f"WITH s AS ({_SQL['struct_features']}), l AS (SELECT doc_id FROM labels GROUP BY 1 HAVING max(toxic) IN (0, 1)), x AS (SELECT ln(1 + COLUMNS(* EXCLUDE (doc_id))) FROM s SEMI JOIN l USING (doc_id)), u AS (UNPIVOT x ON * INTO NAME name VALUE x) SELECT name, round(avg(x), 6) AS mean, round(CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1 END, 6) AS std FROM u GROUP BY 1")
+def _(s, d):
+    v = _vocabulary(s, d)
+    return s.createDataFrame(list(zip(X.STRUCTURAL, map(float, v.mean), map(float, v.std), strict=True)), "name string, mean double, std double").select("name", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query("term_names", f"WITH {ENRICHED} SELECT DISTINCT concat('urldom_', regexp_replace({DOMAIN_SQL.format('u')}, '[^a-z0-9]', '_', 'g'), ' __num__') AS term, concat(replace(regexp_replace({DOMAIN_SQL.format('u')}, '[^a-z0-9]', '_', 'g'), '_', '.'), ' (number) [body]') AS shown FROM (SELECT unnest({URLS_SQL}) AS u FROM mail)")
+def _(s, d):
+    u = W.mail_enriched(s, d).select(F.explode("urls").alias("u"))
+    terms = u.select(F.concat(F.lit("urldom_"), F.regexp_replace(T.url_domain(F.col("u")), "[^a-z0-9]", "_"), F.lit(" __num__")).alias("term")).distinct()
+    name = F.pandas_udf(lambda t: t.map(lambda x: B.pretty("body", x)), "string")
+    return terms.select("term", name("term").alias("shown"))
+
+
+@query(
+    "dataset_store",
+    f"""WITH {BASE}, m AS (SELECT folder, coalesce(label, 'unlabeled') AS label, CASE WHEN doc_id % 12 = 10 THEN 'empty' WHEN doc_id % 6 = 4 THEN 'not-an-email' END AS error FROM base), k AS (SELECT * FROM m WHERE error IS NULL)
+SELECT 'rows' AS kind, folder AS name, label, count(*) AS n FROM k GROUP BY ALL UNION ALL SELECT 'manifest', folder, label, count(*) FROM k GROUP BY ALL UNION ALL SELECT 'label', '', label, count(*) FROM k GROUP BY ALL UNION ALL SELECT 'skipped', error, '', count(*) FROM m WHERE error IS NOT NULL GROUP BY ALL UNION ALL SELECT 'count', 'docs', '', count(*) FROM k""",
+)
+def _(s, d):
+    raw = W.table(s, d, "documents").select("doc_id", G.mime().alias("raw"))
+    rows = raw.join(W.mail_base(s, d).select("doc_id", "folder", "label"), "doc_id").select(F.col("doc_id").alias("seq"), F.coalesce("label", F.lit("")).alias("source"), "folder", "raw")
+    mail_rows = mail.parse(rows).withColumn("label", F.nullif("source", F.lit("")))
+    with store.at(G.folder(s)):
+        store.write("docs", mail_rows)
+        m, kept = store.datasets()[0], store.read(s, "docs")
+    told = [("manifest", f, x, n) for f, of in m["folders"].items() for x, n in of.items()] + [("label", "", x, n) for x, n in m["labels"].items()] + [("skipped", x, "", n) for x, n in m["skipped"].items()] + [("count", m["name"], "", m["count"])]
+    shape = "kind string, name string, label string, n long"
+    return kept.groupBy(F.lit("rows").alias("kind"), F.col("folder").alias("name"), F.coalesce("label", F.lit("unlabeled")).alias("label")).agg(F.count("*").alias("n")).unionByName(s.createDataFrame(told, shape))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

@@ -10,6 +10,8 @@ import json
 import os
 import re
 import shutil
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -39,6 +41,20 @@ def home(*below: str) -> str:
     return path
 
 
+@contextmanager
+def at(folder: str) -> Iterator[None]:
+    """Another root inside the block."""
+    before = os.environ.get(HOME)
+    os.environ[HOME] = folder
+    try:
+        yield
+    finally:
+        if before is None:
+            del os.environ[HOME]
+        else:
+            os.environ[HOME] = before
+
+
 def settings() -> dict:
     path = os.path.join(home(), "config.json")
     if not os.path.exists(path):
@@ -119,3 +135,10 @@ def write(name: str, rows: DataFrame, about: dict | None = None, force: bool = F
     os.rename(new, final)
     shutil.rmtree(old, ignore_errors=True)
     return full
+
+
+def write_table(report: DataFrame, uri: str, digits: int = 4) -> str:
+    """A small report as one CSV file with a header, doubles rounded; the folder's URI."""
+    rounded = [F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in report.dtypes]
+    report.select(*rounded).coalesce(1).write.mode("overwrite").option("header", True).csv(uri)
+    return uri
