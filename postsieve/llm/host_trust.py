@@ -27,10 +27,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import Scratch
 
-DAMPING, ROUNDS, THRESHOLD = 0.85, 8, 0.075
+DAMPING, THRESHOLD = 0.85, 0.075
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: ROUNDS and LINK are those of the SQL twin; links of pages are read by HREF, which also takes `//host/path`.
-LINK = r"""(?i)href\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+#: Absolute links and `//host/path`.
 HREF = r"""(?i)href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 #: Rounds go on until what all later ones can add is below TOLERANCE; MOST rounds reach it on any graph.
 TOLERANCE = 1e-9

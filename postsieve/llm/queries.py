@@ -111,22 +111,31 @@ def _op3_sql() -> str:
         fits = f"(host = '{own}' OR host LIKE '%.{own}') AND starts_with(path, '/{rest}')"
         cases["rule"] += f" WHEN {fits} THEN '{text}'"
         cases["verdict"] += f" WHEN {fits} THEN '{verdict}'"
-    link = host_trust.LINK.replace("'", "''")
-    d, parts = host_trust.DAMPING, []
-    for name, seed, side, other in (("t", "allow", "src", "dst"), ("d", "block", "dst", "src")):
-        parts.append(f"{name}e AS (SELECT {side} AS src, {other} AS dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY {side}) AS share FROM pairs)")
-        parts.append(f"{name}0 AS (SELECT host, (1 - {d}::DOUBLE) * {seed} AS r FROM hosts WHERE {seed} > 0)")
-        for k in range(host_trust.ROUNDS):
-            parts.append(f"{name}{k + 1} AS (SELECT host, sum(r) AS r FROM (SELECT e.dst AS host, {d}::DOUBLE * x.r * e.share AS r FROM {name}{k} x JOIN {name}e e ON x.host = e.src UNION ALL SELECT host, r FROM {name}0) GROUP BY host)")
-    last = host_trust.ROUNDS
+    link, d, most = host_trust.HREF.replace("'", "''"), f"{host_trust.DAMPING}::DOUBLE", host_trust.MOST
+    absolute = "CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END"
+    path = lambda u: f"coalesce(regexp_extract({u}, '://[^/?#]*([^?#]*)', 1), '')"
+    # both fixed points are sums over the number of steps taken
     return f"""
-WITH p AS (SELECT page_id, html, {host("url")} AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+WITH RECURSIVE p AS (SELECT page_id, html, {host("url")} AS host, {path("url")} AS path FROM pages),
 seen AS (SELECT page_id, host, path, CASE{cases["rule"]} END AS rule, CASE{cases["verdict"]} END AS ruled FROM p),
 hosts AS (SELECT host, count(*) FILTER (ruled = 'allow') / count(*)::DOUBLE AS allow, count(*) FILTER (ruled = 'block') / count(*)::DOUBLE AS block FROM seen WHERE host <> '' GROUP BY host),
-pairs AS (SELECT DISTINCT src, dst FROM (SELECT host AS src, {host("link")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM p)) WHERE src <> '' AND dst <> '' AND src <> dst),
-{", ".join(parts)}
+urls AS (SELECT src, {absolute} AS link FROM (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM p WHERE host <> '')),
+targets AS (SELECT DISTINCT src, {host("link")} AS host, {path("link")} AS path FROM urls),
+judged AS (SELECT src, host AS dst, CASE{cases["verdict"]} END AS ruled FROM targets WHERE host <> '' AND host <> src),
+pairs AS (SELECT src, dst, count(*) FILTER (ruled = 'block') / count(*)::DOUBLE AS blocked, count(ruled) / count(*)::DOUBLE AS ruled FROM judged GROUP BY ALL),
+edges AS (SELECT *, 1 / count(*) OVER (PARTITION BY src)::DOUBLE AS share FROM pairs),
+t(host, r, k) AS (SELECT host, (1 - {d}) * allow, 0 FROM hosts WHERE allow > 0
+    UNION ALL SELECT dst, sum({d} * r * share), k + 1 FROM t JOIN edges ON src = host WHERE k < {most} GROUP BY dst, k),
+trust AS (SELECT host, sum(r) AS r FROM t GROUP BY host),
+step AS (SELECT src, dst, blocked, ruled, (1 - h.allow - h.block) * {d} * share AS w, dst IN (SELECT src FROM pairs) AS onward, coalesce(o.block, 0) AS there FROM edges JOIN hosts h ON h.host = src LEFT JOIN hosts o ON o.host = dst),
+base AS (SELECT src AS host, any_value(h.block) + sum(w * blocked + CASE WHEN onward THEN 0 ELSE w * (1 - s.ruled) * there END) AS b, any_value(h.allow + h.block) + sum(w * s.ruled + CASE WHEN onward THEN 0 ELSE w * (1 - s.ruled) END) AS e
+    FROM step s JOIN hosts h ON h.host = src GROUP BY src),
+x(host, b, e, k) AS (SELECT host, b, e, 0 FROM base
+    UNION ALL SELECT src, sum(w * (1 - ruled) * b), sum(w * (1 - ruled) * e), k + 1 FROM x JOIN step ON dst = host WHERE onward AND k < {most} GROUP BY src, k),
+walked AS (SELECT host, CASE WHEN sum(e) > 0 THEN sum(b) / sum(e) ELSE 0 END AS share FROM x GROUP BY host),
+distrust AS (SELECT host, (1 - {d}) * coalesce(share, block) AS r FROM hosts LEFT JOIN walked USING (host))
 SELECT page_id, s.host, path, rule, coalesce(ruled, CASE WHEN coalesce(d.r, 0) > coalesce(t.r, 0) + 1e-12 AND coalesce(d.r, 0) >= {host_trust.THRESHOLD} - 1e-12 THEN 'block' ELSE 'allow' END) AS verdict
-FROM seen s LEFT JOIN t{last} t ON t.host = s.host LEFT JOIN d{last} d ON d.host = s.host
+FROM seen s LEFT JOIN trust t ON t.host = s.host LEFT JOIN distrust d ON d.host = s.host
 """
 
 

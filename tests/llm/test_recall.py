@@ -223,3 +223,29 @@ def test_emoji_and_quotes_are_no_words(spark):
     got = lang_spans.label(df, model, with_spans=True).orderBy("doc_id").collect()
     assert (got[0].lang_pred, got[0].score) == ("und", 0.0) and got[1] == got[2] and got[1].lang_pred == "en"
     assert lang_spans.label(df.where("false"), model).count() == 0
+
+
+def test_hosts_against_sql(spark, tmp_path):
+    """Trust and distrust on random link graphs: every verdict is that of the SQL."""
+    import duckdb
+
+    from postsieve.llm import queries
+
+    rng = random.Random(9)
+    hosts = [f"h{i}.{end}" for i in range(30) for end in ("com", "net")] + ["www.Example.org", "example.org", "a.org"]
+    paths = ["/fr/1", "/de/2", "/es/3", "/en/1", "/x?y=1", "", "#top"]
+    url = lambda near: f"{rng.choice(['http:', 'HTTPS:', ''])}//{rng.choice(near)}{rng.choice(paths)}"
+    pages = [(None, None, None), (-1, "no scheme", '<a href="http://h1.com/de/2">'), (-2, "http:///de/2", "")]
+    for i in range(400):
+        home = rng.choice(hosts)
+        near = [hosts[(hosts.index(home) + k) % len(hosts)] for k in (1, 2, 7)] + [f"outside{i % 9}.com"]
+        links = "".join(f'<a href = "{url(near)}">x</a>' for _ in range(rng.randrange(5)))
+        pages.append((i, f"http://{home}{rng.choice(paths)}", links + "<a href='/local'>" if i % 17 else None))
+    pages.append(pages[9])
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [tuple(r) for r in queries.op3_host_trust(spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.execute(queries.oracle_sql()["op3_host_trust"]).fetchall()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert {r[4] for r in got if r[3] is None} == {"allow", "block"}
