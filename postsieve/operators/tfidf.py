@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import once
+
 WORD = r"(?U)\b\w\w+\b"
 
 
 def words_and_pairs(text: Column) -> Column:
-    w = F.regexp_extract_all(text, F.lit(WORD), 0)
-    last = F.greatest(F.size(w) - 1, F.lit(0))
-    return F.concat(w, F.zip_with(F.slice(w, 1, last), F.slice(w, 2, last), lambda a, b: F.concat_ws(" ", a, b)))
+    def pairs(w: Column) -> Column:
+        last = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.concat(w, F.zip_with(F.slice(w, 1, last), F.slice(w, 2, last), lambda a, b: F.concat_ws(" ", a, b)))
+
+    return once(F.regexp_extract_all(text, F.lit(WORD), 0), pairs)
 
 
 def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:

@@ -12,7 +12,6 @@ import os
 import re
 import shutil
 import tarfile
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import ExitStack
@@ -22,6 +21,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.cuts import shared_root
 from . import views as W
 
 #: Subject, and the dates that messages carry by doc_id % 4: with zone, without, too old, none.
@@ -32,18 +32,12 @@ LABELS = "concat(CASE WHEN doc_id % 3 = 0 THEN 'Inbox, \"Work, home\",' ELSE 'Im
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder that is removed at exit; a local one only where no shared one is named and Spark is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        parts = urlsplit(base)
-        if parts.scheme not in ("", "file"):
-            raise ValueError(f"mail is read from mounted folders, not from {base}")
-        root = os.path.join(parts.path, f"mail-{uuid.uuid4().hex}")
-        os.makedirs(root)
-    elif spark.sparkContext.master.startswith("local"):
-        root = tempfile.mkdtemp(prefix="mail-")
-    else:
-        raise ValueError("spark.checkpoint.dir names no shared folder")
+    """A new folder below the shared one, removed at exit."""
+    parts = urlsplit(shared_root(spark))
+    if parts.scheme not in ("", "file"):
+        raise ValueError("mail is read from mounted folders only")
+    root = os.path.join(parts.path, f"mail-{uuid.uuid4().hex}")
+    os.makedirs(root)
     atexit.register(shutil.rmtree, root, ignore_errors=True)
     return root
 
