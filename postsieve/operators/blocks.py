@@ -120,9 +120,9 @@ def learn(rows: DataFrame, kind: str = "full", min_df: int = 2) -> Vocabulary:
     stats = rows.agg(F.count("*").alias("n"), *[f(F.col("num")[i]) for f in (F.avg, F.stddev_pop) for i in range(len(X.STRUCTURAL) if full else 0)]).first()
     terms, idf = {}, {}
     for b in KINDS[kind]:
-        top = counts.where(F.col("block") == b).orderBy(F.desc("cf"), "term").limit(BLOCKS[b][1]).select("term", "df").collect()
-        terms[b] = [r["term"] for r in top]
-        idf[b] = np.log((1 + stats["n"]) / (1 + np.array([r["df"] for r in top], dtype=float))) + 1
+        top = counts.where(F.col("block") == b).orderBy(F.desc("cf"), "term").limit(BLOCKS[b][1]).select("term", "df").toArrow()
+        terms[b] = top["term"].to_pylist()
+        idf[b] = np.log((1 + stats["n"]) / (1 + top["df"].to_numpy().astype(float))) + 1
     counts.unpersist()
     m = np.array([x or 0.0 for x in stats[1:]], dtype=float)
     mean, std = m[: len(m) // 2], m[len(m) // 2 :]

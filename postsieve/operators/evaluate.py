@@ -70,6 +70,22 @@ def roc_auc(rows: DataFrame) -> DataFrame:
     return r.agg(F.when(both, area).alias("roc_auc"), F.when(both, precision).alias("pr_auc"))
 
 
+def rankings(rows: DataFrame, by: list[str], target: float, judged: Column) -> DataFrame:
+    """by, pos, neg, recall, pr_auc of every group of rows in one pass; the budget of recall counts judged ham alone.
+
+    recall is that of recall_at_fpr: the spam above the highest score which more than floor(target * ham) judged ham reach.
+    """
+    ham = 1 - F.col("y")
+    h = rows.groupBy(*by, "score").agg(F.sum("y").cast("long").alias("p"), F.sum(ham).cast("long").alias("n"), F.sum(F.when(judged, ham).otherwise(0)).cast("long").alias("j"))
+    # ordered by group first, so that a range of the order holds few groups and a large group has many ranges
+    h = running(h, [*map(F.col, by), -F.col("score")], {"tp": F.col("p"), "fp": F.col("n"), "jp": F.col("j")}, within=by)
+    allowed = F.floor(F.lit(float(target)) * F.col("all_jp"))
+    above = F.when(allowed >= F.col("all_jp"), F.col("jp") - F.col("j") < F.col("all_jp")).otherwise(F.col("jp") <= allowed)
+    pos, neg = F.first("all_tp"), F.first("all_fp")
+    precision = F.sum(F.col("p").cast("double") * F.col("tp") / (F.col("tp") + F.col("fp"))) / pos
+    return h.groupBy(*by).agg(pos.alias("pos"), neg.alias("neg"), F.try_divide(F.sum(F.when(above, F.col("p")).otherwise(0)), pos).alias("recall"), F.when((pos > 0) & (neg > 0), precision).alias("pr_auc"))
+
+
 def curve(rows: DataFrame, kind: str, points: int = 200) -> DataFrame:
     """x, y, score of every step-th distinct score, step = max(1, scores div points), and the end above all scores (score NULL): (0, 0) of roc, (0, 1) of pr."""
     r = ranked(rows)

@@ -591,7 +591,7 @@ def _trainable(s, d):
 
 def _framed(s, d):
     m = _trainable(s, d).withColumn("y", T.is_spam(F.col("label")).cast("double")).withColumn("own", F.lit(False))
-    return B.frame(m, "seq", "source", "y", "own", "norm_body_hash")
+    return B.frame(R.spread(m), "seq", "source", "y", "own", "norm_body_hash")
 
 
 @query("cv_select")
