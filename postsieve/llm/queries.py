@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_collapse, decontaminate, fm_dedup, host_trust, lang_spans, licences, near_text, near_vectors, prefix_bpe, quality_gam
+from . import chat_collapse, decontaminate, fm_dedup, host_trust, lang_spans, licences, near_text, near_vectors, prefix_bpe, quality_gam, ranked_search
 from .shared import table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -61,8 +61,12 @@ def op10_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_collapse.render(table(spark, sf_dir, "conversations"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_near_vectors, op2_near_text, op3_host_trust, op4_quality_gam, op5_fm_dedup, op6_decontaminate, op7_licences, op8_prefix_bpe, op9_lang_spans, op10_chat_collapse]
+    own = [op1_near_vectors, op2_near_text, op3_host_trust, op4_quality_gam, op5_fm_dedup, op6_decontaminate, op7_licences, op8_prefix_bpe, op9_lang_spans, op10_chat_collapse, op11_ranked_search]
     return {f.__name__: f for f in own}
 
 
@@ -172,5 +176,21 @@ FROM p JOIN kept USING (conv_id) JOIN l USING (conv_id) GROUP BY conv_id, n, chu
 """
 
 
+_TERMS = r"regexp_extract_all({t}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format(t=_LOWERED)} AS t FROM documents),
+c AS (SELECT count(*)::BIGINT AS nd, sum(len(t))::BIGINT AS total FROM d WHERE len(t) > 0),
+p AS (SELECT r, doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM d),
+tf AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM p GROUP BY ALL),
+w AS (SELECT term, floor(1000::DOUBLE * ln((2 * nd + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, c GROUP BY term, nd),
+i AS (SELECT DISTINCT q, item_id, unnest(t) AS term FROM (SELECT row_number() OVER () AS q, item_id, {_TERMS.format(t=_LOWERED)} AS t FROM benchmark)),
+s AS (SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // total))))::BIGINT AS score
+    FROM i JOIN tf USING (term) JOIN w USING (term), c GROUP BY q, item_id, r, doc_id),
+o AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= {ranked_search.K}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_vectors": OP1_SQL, "op2_near_text": OP2_SQL, "op3_host_trust": _op3_sql(), "op5_fm_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL, "op10_chat_collapse": OP10_SQL}
+    return {"op1_near_vectors": OP1_SQL, "op2_near_text": OP2_SQL, "op3_host_trust": _op3_sql(), "op5_fm_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL, "op10_chat_collapse": OP10_SQL, "op11_ranked_search": OP11_SQL}
