@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_collapse, decontaminate, fm_dedup, host_trust, lang_spans, licences, near_text, near_vectors, prefix_bpe, quality_gam, ranked_search
+from . import chat_collapse, decontaminate, fm_dedup, host_trust, lang_spans, licences, near_text, near_vectors, periodic_runs, prefix_bpe, quality_gam, ranked_search
 from .shared import table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -65,8 +65,34 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """The documents, of which those whose crc32 of doc_id ends in 0 repeat themselves from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        own = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+        return F.when(n > 0, F.array_join(own, " ")).otherwise("")
+
+    # an array of one element names the words, so they are found once
+    words = F.array(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")))
+    return docs.select("doc_id", F.when(h % 10 == 0, F.transform(words, repeated)[0]).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(planted(table(spark, sf_dir, "documents")))
+    # a run is better if length / period is greater, compared without rounding; earlier runs win ties
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_near_vectors, op2_near_text, op3_host_trust, op4_quality_gam, op5_fm_dedup, op6_decontaminate, op7_licences, op8_prefix_bpe, op9_lang_spans, op10_chat_collapse, op11_ranked_search]
+    own = [op1_near_vectors, op2_near_text, op3_host_trust, op4_quality_gam, op5_fm_dedup, op6_decontaminate, op7_licences, op8_prefix_bpe, op9_lang_spans, op10_chat_collapse, op11_ranked_search, op12_periodic_runs]
     return {f.__name__: f for f in own}
 
 
@@ -192,5 +218,31 @@ SELECT item_id, rank, doc_id, score FROM o WHERE rank <= {ranked_search.K}
 """
 
 
+def _op12_sql() -> str:
+    bits = "range(0, 256)"
+    for _ in range(8):
+        bits = f"list_transform({bits}, lambda c: xor(c >> 1, 3988292384 * (c & 1)))"
+    least, times = periodic_runs.LEAST, periodic_runs.TIMES
+    # two equal words q apart, next to each other for long enough, are a run of period q
+    return f"""
+WITH t AS (SELECT {bits} AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(t="coalesce(text, '')")} AS w,
+      xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM documents, t),
+g AS (SELECT r, doc_id, w, len(w) AS n, h, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS k FROM d),
+p AS (SELECT r, doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // k) END]) ELSE w END AS w FROM g),
+x AS (SELECT r, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS i FROM p),
+e AS (SELECT a.r, b.i - a.i AS q, a.i FROM x a JOIN x b ON a.r = b.r AND a.word = b.word AND a.i < b.i AND {times} * (b.i - a.i) <= a.n),
+c AS (SELECT r, q, min(i) AS s, count(*) + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM e) GROUP BY r, q, island HAVING count(*) + q >= greatest({least}, {times} * q)),
+runs AS (SELECT r, s, l, min(q) AS q FROM c GROUP BY r, s, l),
+best AS (SELECT r, s, l, q FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY l / q::DOUBLE DESC, s, q) = 1),
+listed AS (SELECT r, count(*) AS n, string_agg(concat(s, ',', l, ',', q, chr(10)), '' ORDER BY s, q) AS t FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS t FROM x ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(listed.n, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIGINT AS length, q::BIGINT AS period, (1000 * l // q)::BIGINT AS exponent_milli,
+       sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM p LEFT JOIN best USING (r) LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_vectors": OP1_SQL, "op2_near_text": OP2_SQL, "op3_host_trust": _op3_sql(), "op5_fm_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL, "op10_chat_collapse": OP10_SQL, "op11_ranked_search": OP11_SQL}
+    return {"op1_near_vectors": OP1_SQL, "op2_near_text": OP2_SQL, "op3_host_trust": _op3_sql(), "op5_fm_dedup": OP5_SQL, "op6_decontaminate": OP6_SQL, "op10_chat_collapse": OP10_SQL, "op11_ranked_search": OP11_SQL, "op12_periodic_runs": _op12_sql()}

@@ -169,3 +169,13 @@ def shingle_set(words: np.ndarray, n: int = SHINGLE_WORDS) -> np.ndarray:
     if len(words) == 0:
         return np.zeros(0, U64)
     return np.unique(gram_hashes(words, min(n, len(words))))
+
+
+def split(data: np.ndarray, bounds: np.ndarray, solid: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The maximal stretches of solid bytes as binary values, none across rows, and the rows' n + 1 bounds in them."""
+    before = np.zeros(len(data), bool)
+    before[1:] = solid[:-1]
+    before[bounds[:-1][bounds[:-1] < len(data)]] = False
+    starts, inside = np.flatnonzero(solid & ~before), np.cumsum(solid, dtype=np.int64)
+    at = np.append(inside[starts] - 1, inside[-1] if len(inside) else 0).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data[solid])]), np.searchsorted(starts, bounds)
