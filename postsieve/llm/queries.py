@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_collapse, decontaminate, fm_dedup, host_trust, lang_spans, licences, near_text, near_vectors, periodic_runs, prefix_bpe, quality_gam, ranked_search
+from . import chat_collapse, decontaminate, fm_dedup, host_trust, lang_spans, licences, near_text, near_vectors, periodic_runs, prefix_bpe, quality_gam, ranked_search, vector_tree
 from .shared import table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -91,8 +91,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op13_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_tree.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_near_vectors, op2_near_text, op3_host_trust, op4_quality_gam, op5_fm_dedup, op6_decontaminate, op7_licences, op8_prefix_bpe, op9_lang_spans, op10_chat_collapse, op11_ranked_search, op12_periodic_runs]
+    own = [op1_near_vectors, op2_near_text, op3_host_trust, op4_quality_gam, op5_fm_dedup, op6_decontaminate, op7_licences, op8_prefix_bpe, op9_lang_spans, op10_chat_collapse, op11_ranked_search, op12_periodic_runs, op13_vector_tree]
     return {f.__name__: f for f in own}
 
 
