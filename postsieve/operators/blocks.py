@@ -1,24 +1,26 @@
 """Weighted TF-IDF blocks and scaled signals of mail rows, as one sparse vector a row.
 
-A vocabulary is counted in Spark and comes to the driver: its size is bounded by CAPS.
-Training rows become ML vectors; scoring multiplies token arrays with coefficients in
-Arrow batches and makes no vectors.
+A vocabulary is counted in Spark and comes to the driver: its size is bounded by the blocks' caps.
+Whole Arrow batches are encoded at once: tokens are looked up in one call a block, and what is
+kept of a row are ascending positions and counts.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections import Counter
+from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.linalg import SparseVector, VectorUDT
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import features as X
 from ..functions.text import HEAD_CHARS, masked
+from .ranks import running
 from .tfidf import char_grams, words_and_pairs
 
 #: Weight, most terms.  The header block's bound is ours; sender domains have none.
@@ -46,6 +48,15 @@ def frame(mail: DataFrame, *keep: str) -> DataFrame:
     return m.select(*keep, words_and_pairs(masked(m["subject"])).alias("subj"), words_and_pairs(masked(m["text"])).alias("body"), char_grams(head).alias("char"), hdr.alias("hdr"), num.alias("num"), F.monotonically_increasing_id().alias("_at"))
 
 
+@dataclass
+class Scaling:
+    """What turns counts into values: idf of each position (0 where the term is not known) and the signals' mean and deviation."""
+
+    idf: np.ndarray
+    mean: np.ndarray
+    std: np.ndarray
+
+
 @dataclass
 class Vocabulary:
     """terms and idf per block in the order of the vector, then the signals' mean and deviation."""
@@ -56,28 +67,20 @@ class Vocabulary:
     std: np.ndarray
 
     def __post_init__(self):
-        self.at, self.start, n = {}, {}, 0
+        self.start, n = {}, 0
         for b, t in self.terms.items():
-            self.at[b], self.start[b] = {x: i for i, x in enumerate(t)}, n
+            self.start[b] = n
             n += len(t)
+        self.n_terms = n
         self.n_words = sum(len(self.terms[b]) for b in WORDS if b in self.terms)
         self.size = n + len(self.mean)
 
-    def encode(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Ascending positions and values."""
-        where, what = [], []
-        for b, at in self.at.items():
-            found = sorted((at[t], c) for t, c in Counter(row[b]).items() if t in at)
-            if not found:
-                continue
-            i, tf = np.array(found).T
-            v = (np.ones(len(i)) if b == "hdr" else 1 + np.log(tf)) * self.idf[b][i]
-            where.append(i + self.start[b])
-            what.append(BLOCKS[b][0] * v / np.sqrt(v @ v))
-        if len(self.mean):
-            where.append(np.arange(self.size - len(self.mean), self.size))
-            what.append((np.asarray(row["num"], dtype=float) - self.mean) / self.std)
-        return (np.concatenate(where), np.concatenate(what)) if where else (np.empty(0, int), np.empty(0))
+    @cached_property
+    def at(self) -> dict[str, dict[str, int]]:
+        return {b: {x: i for i, x in enumerate(t)} for b, t in self.terms.items()}
+
+    def scaling(self) -> Scaling:
+        return Scaling(np.concatenate([np.zeros(0), *self.idf.values()]), self.mean, self.std)
 
     def name(self, i: int) -> str:
         """A readable name of position i."""
@@ -103,78 +106,188 @@ def pretty(block: str, term: str) -> str:
     return f"{term!r} [{PLACES['char']}]" if block == "char" else f"{term} [{PLACES.get(block, block)}]"
 
 
-def learn(rows: DataFrame, kind: str = "full", min_df: int = 2) -> Vocabulary:
-    """The terms in min_df rows (header terms: one), the most frequent first, up to the block's bound."""
+def _places(kind: str) -> tuple[str, ...]:
     if kind not in KINDS:
         raise ValueError(f"unknown feature kind {kind!r}: full or words")
-    parts = []
-    for b in KINDS[kind]:
-        # df and cf in one aggregate that combines before its shuffle
-        for tokens, df, cf in ((F.array_distinct(b), 1, 0), (F.col(b), 0, 1)):
-            parts.append(rows.select(F.lit(b).alias("block"), F.explode(tokens).alias("term"), F.lit(df).alias("df"), F.lit(cf).alias("cf")))
-    counts = parts[0]
-    for p in parts[1:]:
-        counts = counts.unionAll(p)
-    counts = counts.groupBy("block", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where((F.col("df") >= min_df) | (F.col("block") == "hdr")).persist()
-    full = kind == "full"
-    stats = rows.agg(F.count("*").alias("n"), *[f(F.col("num")[i]) for f in (F.avg, F.stddev_pop) for i in range(len(X.STRUCTURAL) if full else 0)]).first()
-    terms, idf = {}, {}
-    for b in KINDS[kind]:
-        top = counts.where(F.col("block") == b).orderBy(F.desc("cf"), "term").limit(BLOCKS[b][1]).select("term", "df").toArrow()
-        terms[b] = top["term"].to_pylist()
-        idf[b] = np.log((1 + stats["n"]) / (1 + top["df"].to_numpy().astype(float))) + 1
-    counts.unpersist()
-    m = np.array([x or 0.0 for x in stats[1:]], dtype=float)
-    mean, std = m[: len(m) // 2], m[len(m) // 2 :]
-    return Vocabulary(terms, idf, mean, np.where(std > 0, std, 1.0))
+    return KINDS[kind]
 
 
-def vectors(rows: DataFrame, v: Vocabulary, *keep: str) -> DataFrame:
-    """keep, features, and words, the first n_words positions, which are never negative."""
-    shared = rows.sparkSession.sparkContext.broadcast(v)  # bounded by CAPS
+def learn(rows: DataFrame, kind: str = "full", min_df: int = 2) -> Vocabulary:
+    """The terms in min_df rows (header terms: one), the most frequent first, up to the block's bound."""
+    vocabulary, scalings = learn_without(rows.withColumn("_part", F.lit(0)), "_part", [-1], kind, min_df)
+    idf = {b: scalings[0].idf[vocabulary.start[b] : vocabulary.start[b] + len(t)] for b, t in vocabulary.terms.items()}
+    return Vocabulary(vocabulary.terms, idf, scalings[0].mean, scalings[0].std)
+
+
+def learn_without(rows: DataFrame, part: str, left_out: list[int], kind: str = "full", min_df: int = 2) -> tuple[Vocabulary, list[Scaling]]:
+    """What learn finds in the rows outside each part of left_out: the union of their terms, and a Scaling for each.
+
+    Counts are taken once, per term and part; those without a part are the sum less the part's own.
+    """
+    places = _places(kind)
+
+    def counts_of(block: str, tokens: Column, df: int, cf: int) -> Column:
+        return F.transform(tokens, lambda t: F.struct(F.lit(block).alias("block"), t.alias("term"), F.lit(df).alias("df"), F.lit(cf).alias("cf")))
+
+    seen = F.concat(*[c for b in places for c in (counts_of(b, F.array_distinct(b), 1, 0), counts_of(b, F.col(b), 0, 1))])
+    every = rows.select(F.col(part).alias("part"), F.inline(seen))
+    less = lambda c, k: F.sum(F.when(F.col("part") != k, F.col(c)).otherwise(0))
+    counts = every.groupBy("block", "term").agg(*[less(c, k).alias(f"{c}{i}") for i, k in enumerate(left_out) for c in ("df", "cf")])
+    enough = [F.col(f"df{i}") >= F.when(F.col("block") == "hdr", 1).otherwise(min_df) for i in range(len(left_out))]
+    known = counts.select("block", "term", *[F.when(ok, F.col(f"df{i}")).alias(f"df{i}") for i, ok in enumerate(enough)], *[f"cf{i}" for i in range(len(left_out))])
+    known = known.where(F.coalesce(*[F.col(f"df{i}") for i in range(len(left_out))]).isNotNull()).persist()
+    sizes = {r["block"]: r[1:] for r in known.groupBy("block").agg(*[F.count(f"df{i}") for i in range(len(left_out))]).collect()}
+    taken = known
+    for i in range(len(left_out)):
+        full = [b for b, n in sizes.items() if n[i] > BLOCKS[b][1]]
+        if full:
+            # a place in the order, most frequent first, without a task that holds the order
+            bound = F.element_at(F.create_map(*[F.lit(x) for b in full for x in (b, BLOCKS[b][1])]), F.col("block"))
+            placed = running(taken.where(F.col("block").isin(full) & F.col(f"df{i}").isNotNull()).select("block", "term", f"cf{i}"), [-F.col(f"cf{i}"), F.col("term")], {"place": F.lit(1)}, ["block"])
+            over = placed.where(F.col("place") > bound).select("block", "term", F.lit(True).alias("over"))
+            taken = taken.join(over, ["block", "term"], "left").withColumn(f"df{i}", F.when(F.col("over").isNull(), F.col(f"df{i}"))).drop("over")
+    order = [F.desc("cf0"), F.asc("term")]
+    terms, dfs = {}, []
+    for b in places:
+        t = taken.where((F.col("block") == b) & F.coalesce(*[F.col(f"df{i}") for i in range(len(left_out))]).isNotNull()).orderBy(*order).select("term", *[F.coalesce(f"df{i}", F.lit(0)).alias(f"df{i}") for i in range(len(left_out))]).toArrow()
+        terms[b] = t["term"].to_pylist()
+        dfs.append(np.column_stack([t[f"df{i}"].to_numpy() for i in range(len(left_out))]).reshape(-1, len(left_out)))
+    known.unpersist()
+    df = np.concatenate(dfs)
+    width = len(X.STRUCTURAL) if kind == "full" else 0
+    moments = rows.groupBy(part).agg(F.count("*").alias("n"), *[f(F.col("num")[i]) for f in (F.avg, F.var_pop) for i in range(width)]).collect()
+    vocabulary = Vocabulary(terms, {b: np.ones(len(t)) for b, t in terms.items()}, np.zeros(width), np.ones(width))
+    return vocabulary, [_scaling(df[:, i], [r for r in moments if r[0] != k], width) for i, k in enumerate(left_out)]
+
+
+def _scaling(df: np.ndarray, moments: list, width: int) -> Scaling:
+    """From document frequencies, and the number, means and variances of the parts that count."""
+    n = np.array([r["n"] for r in moments], float)
+    each = np.array([[x or 0.0 for x in r[2:]] for r in moments], float).reshape(len(moments), 2 * width)
+    total = max(n.sum(), 1.0)
+    mean = n @ each[:, :width] / total
+    std = np.sqrt(n @ (each[:, width:] + (each[:, :width] - mean) ** 2) / total)
+    # terms that are not known have no row
+    return Scaling(np.where(df > 0, np.log((1 + n.sum()) / (1 + df.astype(float))) + 1, 0.0), mean, np.where(std > 0, std, 1.0))
+
+
+def counted(columns: Mapping[str, pa.Array], terms: dict[str, pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of token lists: the n + 1 bounds of its rows, ascending positions of known terms, and what stands for their counts."""
+    size, start, keys, tfs = sum(map(len, terms.values())), 0, [], []
+    n = len(columns["num"])
+    for b, known in terms.items():
+        lists = columns[b]
+        number = pc.fill_null(pc.index_in(lists.flatten().cast(pa.string()), value_set=known), -1).to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        key, tf = np.unique(row[number >= 0] * max(size, 1) + start + number[number >= 0], return_counts=True)
+        keys.append(key)
+        tfs.append(np.ones(len(tf)) if b == "hdr" else 1 + np.log(tf))
+        start += len(known)
+    key, tf = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0), *tfs])
+    order = np.argsort(key, kind="stable")
+    return np.searchsorted(key[order], np.arange(n + 1) * max(size, 1)), key[order] % max(size, 1), tf[order]
+
+
+def shares(terms: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
+    """First positions and weights of the blocks."""
+    return np.concatenate([[0], np.cumsum([len(t) for t in terms.values()])[:-1]]).astype(np.int64), np.array([BLOCKS[b][0] for b in terms])
+
+
+def valued(row: np.ndarray, at: np.ndarray, tf: np.ndarray, idf: np.ndarray, blocks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Counts by idf, each block of a row of its weight's length."""
+    x = tf * idf[at]
+    own = np.searchsorted(blocks[0], at, "right") - 1
+    key = row * len(blocks[0]) + own
+    norm = np.sqrt(np.bincount(key, x * x))[key] if len(key) else x
+    return np.divide(blocks[1][own] * x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def signals(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Of each of the n rows that lie between n + 1 bounds, the sum."""
+    out = np.zeros((len(bounds) - 1, *values.shape[1:]))
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        out[some] = np.add.reduceat(values, bounds[some], axis=0)
+    return out
+
+
+def _shared(rows: DataFrame, v: Vocabulary, *more):
+    """Broadcast: its size is bounded by the blocks' caps."""
+    return rows.sparkSession.sparkContext.broadcast(({b: pa.array(t, pa.string()) for b, t in v.terms.items()}, v.scaling(), *more))
+
+
+def _encoded(f: pa.StructArray, terms: dict[str, pa.Array], scaling: Scaling) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds, ascending positions and values of the terms, and the scaled signals as a matrix."""
+    columns = {c: f.field(c) for c in (*BLOCKS, "num")}
+    bounds, at, tf = counted(columns, terms)
+    x = valued(np.repeat(np.arange(len(f)), np.diff(bounds)), at, tf, scaling.idf, shares(terms))
+    num = (signals(columns["num"]) - scaling.mean) / scaling.std if len(scaling.mean) else np.zeros((len(f), 0))
+    return bounds, at, x, num
 
-    def make(*blocks):
-        known = shared.value
-        i, x = known.encode(dict(zip([*BLOCKS, "num", "_at"], blocks, strict=True)))
-        cut = np.searchsorted(i, known.n_words)
-        return SparseVector(known.size, i, x), SparseVector(max(known.n_words, 1), i[:cut], x[:cut])
 
-    from pyspark.sql.types import StructField, StructType
+def vectors(rows: DataFrame, v: Vocabulary, *keep: str) -> DataFrame:
+    """keep, at and value: the ascending positions of a row that are not empty, the signals' last, and what stands there."""
+    shared = _shared(rows, v)
+
+    @F.arrow_udf("struct<at:array<int>,value:array<double>>")
+    def encode(f: pa.Array) -> pa.Array:
+        terms, scaling = shared.value
+        bounds, at, x, num = _encoded(f, terms, scaling)
+        wide = num.shape[1]
+        end = len(scaling.idf) + np.arange(wide)
+        ats = [np.concatenate([at[a:b], end]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        values = [np.concatenate([x[a:b], s]) for a, b, s in zip(bounds[:-1], bounds[1:], num, strict=True)]
+        to = (bounds + wide * np.arange(len(bounds))).astype(np.int32)
+        flat = lambda parts, kind: np.concatenate([np.zeros(0), *parts]).astype(kind)
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(to, flat(ats, np.int32)), pa.ListArray.from_arrays(to, flat(values, float))], ["at", "value"])
 
-    shape = StructType([StructField("features", VectorUDT()), StructField("words", VectorUDT())])
-    return rows.select(*keep, F.udf(make, shape)(*BLOCKS, "num", "_at").alias("v")).select(*keep, "v.features", "v.words")
+    return rows.select(*keep, encode(_blocks()).alias("v")).select(*keep, "v.at", "v.value")
 
 
 def _blocks() -> Column:
     return F.struct(*BLOCKS, "num", "_at")
 
 
+#: Products of values with coefficients that are held at once.
+CELLS = 1 << 22
+
+
 def margins(rows: DataFrame, v: Vocabulary, coefs: np.ndarray, intercepts: np.ndarray) -> Column:
     """One margin per row of coefs."""
-    shared = rows.sparkSession.sparkContext.broadcast((v, np.asarray(coefs), np.asarray(intercepts)))
-
-    @F.pandas_udf("array<double>")
-    def score(f: pd.DataFrame) -> pd.Series:
-        known, w, b = shared.value
-        made = (known.encode(row) for row in f.to_dict("records"))
-        return pd.Series([(w[:, i] @ x + b).tolist() for i, x in made], dtype=object)
+    shared = _shared(rows, v, np.ascontiguousarray(np.asarray(coefs).T), np.asarray(intercepts))
+
+    @F.arrow_udf("array<double>")
+    def score(f: pa.Array) -> pa.Array:
+        terms, scaling, w, b = shared.value
+        bounds, at, x, num = _encoded(f, terms, scaling)
+        made = num @ w[len(scaling.idf) :] + b
+        step = max(1, CELLS // max(1, w.shape[1] * int(np.diff(bounds).max(initial=1))))
+        for a in range(0, len(f), step):
+            own = bounds[a : a + step + 1]
+            part = slice(own[0], own[-1])
+            made[a : a + step] += sums(w[at[part]] * x[part, None], own - own[0])
+        return pa.ListArray.from_arrays(np.arange(len(f) + 1, dtype=np.int32) * w.shape[1], made.ravel())
 
     return score(_blocks())
 
 
 def contributions(rows: DataFrame, v: Vocabulary, coef: np.ndarray, top_k: int = 8) -> Column:
     """The top_k values times coefficients by size, as (feature, weight)."""
-    shared = rows.sparkSession.sparkContext.broadcast((v, np.asarray(coef)))
-
-    @F.pandas_udf("array<struct<feature:string,weight:double>>")
-    def reasons(f: pd.DataFrame) -> pd.Series:
-        known, w = shared.value
-        out = []
-        for row in f.to_dict("records"):
-            i, x = known.encode(row)
-            c = x * w[i]
-            best = [j for j in np.lexsort((i, -np.abs(c))) if c[j] != 0][:top_k]
-            out.append([{"feature": known.name(int(i[j])), "weight": float(c[j])} for j in best])
-        return pd.Series(out, dtype=object)
+    shared = _shared(rows, v, v, np.asarray(coef))
+
+    @F.arrow_udf("array<struct<feature:string,weight:double>>")
+    def reasons(f: pa.Array) -> pa.Array:
+        terms, scaling, known, w = shared.value
+        bounds, at, x, num = _encoded(f, terms, scaling)
+        c, last, out = x * w[at], num * w[len(scaling.idf) :], []
+        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            own, where = np.concatenate([c[a:b], last[i]]), np.concatenate([at[a:b], len(scaling.idf) + np.arange(num.shape[1])])
+            best = [j for j in np.lexsort((where, -np.abs(own))) if own[j] != 0][:top_k]
+            out.append([{"feature": known.name(int(where[j])), "weight": float(own[j])} for j in best])
+        return pa.array(out, pa.list_(pa.struct([("feature", pa.string()), ("weight", pa.float64())])))
 
     return reasons(_blocks())
