@@ -98,14 +98,36 @@ def item_sets(items: DataFrame) -> tuple[list[int], list[np.ndarray]]:
     return table.column("item_id").to_pylist(), sets
 
 
-def matches(docs: DataFrame, items: DataFrame, least: float = CONTAINED, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """doc_id, item_id, n_shared, n_item, containment: a row for every item that a document contains."""
+def _blocks(items: DataFrame, block_items: int):
+    """The items in blocks, an index of each at a time."""
     items = items.selectExpr("cast(item_id as long) item_id", "text").where("text is not null and item_id is not null")
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     blocks = max(1, math.ceil(size["n"] / (block_items * 0.9)), math.ceil(size["bytes"] / BLOCK_BYTES))
-    out = None
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
+        yield items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
+
+
+def clean(docs: DataFrame, items: DataFrame, least: float = CONTAINED, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows of docs, each with all its columns, whose own text contains no item; nothing is joined, so ids may repeat or be null."""
+    text = docs.columns.index("text")
+    for own in _blocks(items, block_items):
+        shared = docs.sparkSession.sparkContext.broadcast(Index(*item_sets(own), least))
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                good = np.ones(batch.num_rows, bool)
+                for first, words in documents_words(batch.column(text), lower=True):
+                    good[first : first + len(words)] = [not shared.value.search(w) for w in words]
+                yield batch.filter(pa.array(good))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def matches(docs: DataFrame, items: DataFrame, least: float = CONTAINED, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """doc_id, item_id, n_shared, n_item, containment: a row for every item that a document contains."""
+    out = None
+    for own in _blocks(items, block_items):
         shared = docs.sparkSession.sparkContext.broadcast(Index(*item_sets(own), least))
 
         def run(batches, shared=shared):
