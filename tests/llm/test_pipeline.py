@@ -112,3 +112,50 @@ def test_bpe_query(spark, tokenizer):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op8_prefix_bpe(spark, SF).collect()}
     assert got == {d: digests(tokenizer, t) for d, t in texts.items()}
+
+
+def test_stages_of_odd_rows(spark, tokenizer):
+    """Repeated and missing doc_ids, equal rows, nulls and blanks, clashing names: each stage keeps what is no copy, no item and no repeat."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").first().text
+    base, other = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(90))
+    dirty, clean = f"{other[:40]} x1 {item} x2", " ".join(f"c{i}" for i in range(60))
+    rows = [(1, base), (5, base + " more"), (5, other), (5, other), (None, base), (None, dirty), (7, dirty + " end"), (7, clean), (8, None), (9, ""), (9, " \n"), (None, None), (3, other + " z"), (12, "one two"), (11, "one two"), (None, "one two")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 1, "k") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, item_id long, component_id string").repartition(3)
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+    got = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(1, base), (3, other + " z"), (7, dirty + " end"), (7, clean), (8, None), (9, ""), (9, " \n"), (None, None), (11, "one two")]
+    assert pairs(got) == sorted(want, key=str)
+
+    got = corpus_pipeline.decontamination(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert pairs(got) == sorted([r for r in rows if r[1] not in (dirty, dirty + " end")], key=str)
+
+    got = corpus_pipeline.substring_dedup(spark, docs, SF)
+    first = {}
+    for d, t in rows:
+        w = (t or "").split()
+        for i in range(len(w) - 49 if d is not None else 0):
+            k = tuple(w[i : i + 50])
+            first[k] = min(first.get(k, d), d)
+    want = []
+    for d, t in rows:
+        w = (t or "").split()
+        gone = {j for i in range(len(w) - 49) if d is not None and first[tuple(w[i : i + 50])] < d for j in range(i, i + 50)}
+        want.append((d, " ".join(x for i, x in enumerate(w) if i not in gone) if gone else t))
+    assert pairs(got) == sorted(want, key=str)
+    assert all(r.n_chars == len(r.text) for r in got.collect() if r.text is not None)
+
+    got = corpus_pipeline.encoding(spark, docs, SF).collect()
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got), key=str) == sorted([(d, *digests(tokenizer, t)) for d, t in rows], key=str)
+
+    got = corpus_pipeline.quality(spark, docs, SF)
+    # rows of one text have one score
+    model = quality_gam.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = sorted({t for _, t in rows}, key=str)
+    score = {r.doc_id: r.score for r in quality_gam.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    good = {t for i, t in enumerate(texts) if score[i] >= queries.ACCEPT}
+    assert got.columns == docs.columns and pairs(got) == sorted([r for r in rows if r[1] in good], key=str)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, docs.where("false"), SF).count() == 0
