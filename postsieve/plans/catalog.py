@@ -706,7 +706,7 @@ def _(s, d):
     raw = W.table(s, d, "documents").select("doc_id", G.mime().alias("raw"))
     rows = raw.join(W.mail_base(s, d).select("doc_id", "folder", "label"), "doc_id").select(F.col("doc_id").alias("seq"), F.coalesce("label", F.lit("")).alias("source"), "folder", "raw")
     mail_rows = mail.parse(rows).withColumn("label", F.nullif("source", F.lit("")))
-    with store.at(G.folder(s)):
+    with store.at("file://" + G.folder(s)):
         store.write("docs", mail_rows)
         m, kept = store.datasets()[0], store.read(s, "docs")
     told = [("manifest", f, x, n) for f, of in m["folders"].items() for x, n in of.items()] + [("label", "", x, n) for x, n in m["labels"].items()] + [("skipped", x, "", n) for x, n in m["skipped"].items()] + [("count", m["name"], "", m["count"])]

@@ -1,7 +1,9 @@
 """Named datasets and models under one folder, and the settings file.
 
-A dataset is Parquet plus a manifest.  Rows are written beside the old data and swapped in
-when complete, so a failed import changes nothing.
+A dataset is a manifest that names a folder of Parquet.  Rows are written once, by Spark's own commit of
+tasks, into a new folder; then the manifest is replaced in one step, and what it named before is deleted.  So a
+write that fails, or a task that runs twice, changes nothing, and readers see old or new rows.  The root may be a
+path or a URI of any file system that Spark reaches; models are files of this machine or a mounted folder.
 """
 
 from __future__ import annotations
@@ -10,9 +12,11 @@ import json
 import os
 import re
 import shutil
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import datetime, timezone
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -32,12 +36,82 @@ class InvalidDatasetName(ValueError):
     pass
 
 
-def home(*below: str) -> str:
-    """$POSTSIEVE_HOME, else the local application data, else ~/.postsieve; made on first use."""
+def is_uri(path: str) -> bool:
+    return len(urlsplit(path).scheme) > 1
+
+
+class Folder:
+    """Files by name below a path of this machine or, through Spark, below a URI."""
+
+    def __init__(self, root: str):
+        self.root, self.far = root.rstrip("/"), is_uri(root)
+        if self.far:
+            self.spark = SparkSession.getActiveSession()
+            if self.spark is None:
+                raise ValueError(f"{root} is reached through Spark, and there is no session")
+            self.jvm = self.spark._jvm
+            self.files = self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
+
+    def uri(self, name: str) -> str:
+        return f"{self.root}/{name}" if self.far else "file://" + os.path.abspath(os.path.join(self.root, name))
+
+    def names(self) -> list[str]:
+        if not self.far:
+            return sorted(os.listdir(self.root)) if os.path.isdir(self.root) else []
+        return sorted(f.getPath().getName() for f in self.files.listStatus(self._path(""))) if self.files.exists(self._path("")) else []
+
+    def exists(self, name: str = "") -> bool:
+        return self.files.exists(self._path(name)) if self.far else os.path.exists(os.path.join(self.root, name))
+
+    def read(self, name: str) -> str:
+        if not self.far:
+            with open(os.path.join(self.root, name), encoding="utf-8") as f:
+                return f.read()
+        stream = self.files.open(self._path(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def replace(self, name: str, text: str) -> None:
+        """The file has the old text or the new, at any time."""
+        new = f".{name}-{uuid.uuid4().hex}"
+        if not self.far:
+            os.makedirs(self.root, exist_ok=True)
+            with open(os.path.join(self.root, new), "w", encoding="utf-8") as f:
+                f.write(text)
+            return os.replace(os.path.join(self.root, new), os.path.join(self.root, name))
+        stream = self.files.create(self._path(new))
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.spark._jsc.hadoopConfiguration())
+        option = self.spark._sc._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        option[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(self._path(new), self._path(name), option)
+
+    def delete(self, name: str = "") -> None:
+        if self.far:
+            self.files.delete(self._path(name), True)
+        else:
+            shutil.rmtree(os.path.join(self.root, name), ignore_errors=True)
+
+
+def root() -> str:
+    """$POSTSIEVE_HOME, else the local application data, else ~/.postsieve."""
     local = os.environ.get("LOCALAPPDATA")
-    base = os.environ.get(HOME) or (os.path.join(local, "postsieve") if local else os.path.expanduser("~/.postsieve"))
-    path = os.path.join(base, *below)
-    os.makedirs(path, exist_ok=True)
+    return os.environ.get(HOME) or (os.path.join(local, "postsieve") if local else os.path.expanduser("~/.postsieve"))
+
+
+def home(*below: str) -> str:
+    """A folder below the root, made on first use where it is on this machine."""
+    path = "/".join([root().rstrip("/"), *below]) if is_uri(root()) else os.path.join(root(), *below)
+    if not is_uri(path):
+        os.makedirs(path, exist_ok=True)
     return path
 
 
@@ -56,84 +130,70 @@ def at(folder: str) -> Iterator[None]:
 
 
 def settings() -> dict:
-    path = os.path.join(home(), "config.json")
-    if not os.path.exists(path):
-        return {}
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    folder = Folder(home())
+    return json.loads(folder.read("config.json")) if folder.exists("config.json") else {}
 
 
 def save_settings(values: dict) -> None:
-    with open(os.path.join(home(), "config.json"), "w", encoding="utf-8") as f:
-        json.dump(values, f, indent=2)
+    Folder(home()).replace("config.json", json.dumps(values, indent=2))
 
 
 def location(name: str) -> str:
     if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]{0,63}", name or "") or name.endswith(UNFINISHED):
         raise InvalidDatasetName(f"invalid dataset name {name!r}: 1-64 letters, digits, '.', '_' or '-', a letter or digit first, not ending in {' or '.join(UNFINISHED)}")
-    return os.path.join(home("datasets"), name)
+    return f"{home('datasets')}/{name}"
 
 
 def exists(name: str) -> bool:
-    return os.path.exists(os.path.join(location(name), "manifest.json"))
+    return Folder(location(name)).exists("manifest.json")
 
 
 def manifest(name: str) -> dict:
     if not exists(name):
         raise DatasetNotFound(f"no dataset named {name!r}")
-    with open(os.path.join(location(name), "manifest.json"), encoding="utf-8") as f:
-        return json.load(f)
+    return json.loads(Folder(location(name)).read("manifest.json"))
 
 
 def datasets() -> list[dict]:
-    return [manifest(n) for n in sorted(os.listdir(home("datasets"))) if not n.endswith(UNFINISHED) and exists(n)]
+    known = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.-]{0,63}")
+    return [manifest(n) for n in Folder(home("datasets")).names() if known.fullmatch(n) and not n.endswith(UNFINISHED) and exists(n)]
 
 
 def delete(name: str) -> None:
     manifest(name)
-    shutil.rmtree(location(name))
+    Folder(location(name)).delete()
 
 
 def read(spark: SparkSession, name: str) -> DataFrame:
-    manifest(name)
-    return spark.read.parquet("file://" + os.path.join(location(name), "mail"))
+    return spark.read.parquet(Folder(location(name)).uri(manifest(name)["data"])).where("error is null").drop("error")
 
 
 def write(name: str, rows: DataFrame, about: dict | None = None, force: bool = False) -> dict:
-    """Stores the rows without an error, counts the others by it, and returns the manifest."""
-    final = location(name)
-    if os.path.exists(final) and not force:
+    """Stores the rows, of which those with an error are counted by it and never read back, and returns the manifest."""
+    folder, data = Folder(location(name)), f"data-{uuid.uuid4().hex}"
+    before = manifest(name) if exists(name) else None
+    if before is not None and not force:
         raise DatasetExists(f"dataset {name!r} already exists; force replaces it")
-    new, old = (final + x for x in UNFINISHED)
-    shutil.rmtree(new, ignore_errors=True)
     try:
-        # parsed once; both the rows and the counts come from what was written
-        rows.write.parquet("file://" + os.path.join(new, "all"))
-        whole = rows.sparkSession.read.parquet("file://" + os.path.join(new, "all"))
-        label = F.coalesce("label", F.lit("unlabeled"))
-        counts = whole.groupBy("folder", label.alias("label"), "error").count().collect()
-        whole.where("error is null").drop("error").write.parquet("file://" + os.path.join(new, "mail"))
-        shutil.rmtree(os.path.join(new, "all"))
+        # counted from three columns of what was committed, not from the parse
+        rows.write.parquet(folder.uri(data))
+        told = rows.sparkSession.read.parquet(folder.uri(data)).groupBy("folder", F.coalesce("label", F.lit("unlabeled")).alias("label"), "error").count().collect()
         labels: dict = {}
         folders: dict = {}
         skipped: dict = {}
-        for r in counts:
+        for r in sorted(told, key=lambda r: (str(r["folder"]), r["label"], str(r["error"]))):
             if r["error"] is not None:
                 skipped[r["error"]] = skipped.get(r["error"], 0) + r["count"]
                 continue
             labels[r["label"]] = labels.get(r["label"], 0) + r["count"]
             folders.setdefault(r["folder"], {})[r["label"]] = r["count"]
-        full = (about or {}) | {"name": name, "created": datetime.now(timezone.utc).isoformat(), "count": sum(labels.values()), "labels": labels, "folders": folders, "skipped": skipped}
-        with open(os.path.join(new, "manifest.json"), "w", encoding="utf-8") as f:
-            json.dump(full, f, indent=2, ensure_ascii=False)
+        full = (about or {}) | {"name": name, "created": datetime.now(timezone.utc).isoformat(), "count": sum(labels.values()), "labels": labels, "folders": folders, "skipped": skipped, "data": data}
+        folder.replace("manifest.json", json.dumps(full, indent=2, ensure_ascii=False))
     except BaseException:
-        shutil.rmtree(new, ignore_errors=True)
+        folder.delete(data)
         raise
-    shutil.rmtree(old, ignore_errors=True)
-    if os.path.exists(final):
-        os.rename(final, old)
-    os.rename(new, final)
-    shutil.rmtree(old, ignore_errors=True)
+    if before is not None:
+        folder.delete(before["data"])
     return full
 
 

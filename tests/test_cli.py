@@ -1,4 +1,6 @@
 import json
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -47,6 +49,58 @@ def test_failed_write_keeps_old_data(spark):
             S.location(bad)
 
 
+@pytest.mark.parametrize("far", [False, True])
+def test_store_on_any_file_system(spark, tmp_path, monkeypatch, far):
+    """Rows are written once; errors are counted and not read back; a replaced dataset leaves no old rows; tasks may fail and come again."""
+    monkeypatch.setenv(S.HOME, f"file:{tmp_path}/far" if far else str(tmp_path / "near"))
+    rows = spark.range(40).selectExpr("id", "concat('f', id % 2) folder", "if(id % 3 = 0, null, if(id % 3 = 1, 'spam', 'ham')) label", "if(id % 8 = 7, 'empty', null) error")
+    m = S.write("d", rows.repartition(3), {"importer": "test"})
+    assert (m["count"], m["labels"], m["skipped"]) == (35, {"unlabeled": 12, "spam": 11, "ham": 12}, {"empty": 5})
+    assert sum(sum(x.values()) for x in m["folders"].values()) == 35 and m["importer"] == "test"
+    assert sorted(r.id for r in S.read(spark, "d").collect()) == [i for i in range(40) if i % 8 != 7]
+    with pytest.raises(S.DatasetExists):
+        S.write("d", rows)
+    again = S.write("d", rows.where("id < 9"), force=True)
+    assert again["count"] == 8 and S.read(spark, "d").count() == 8
+    kept = (tmp_path / ("far" if far else "near") / "datasets" / "d").iterdir()
+    assert sorted(f.name for f in kept if not f.name.endswith(".crc")) == sorted([again["data"], "manifest.json"])
+    # a task that dies after it has written rows is no part of the result
+    with pytest.raises(Exception):  # noqa: B017
+        S.write("d", rows.selectExpr("id", "folder", "label", "if(id = 39, raise_error('late'), error) error").repartition(2), force=True)
+    assert S.manifest("d") == again and S.read(spark, "d").count() == 8
+    S.save_settings({"active_model": "x"})
+    S.save_settings({"active_model": "y"})
+    assert S.settings() == {"active_model": "y"} and [x["name"] for x in S.datasets()] == ["d"]
+    S.delete("d")
+    assert not S.exists("d") and S.datasets() == []
+    with pytest.raises(S.DatasetNotFound):
+        S.read(spark, "d")
+
+
+def test_repeated_task(tmp_path):
+    """With tasks that may fail, one that dies after its first rows and runs again leaves each row once."""
+    code = f"""
+import os, sys
+sys.path.insert(0, {str(S.__file__).split('/postsieve/')[0]!r})
+os.environ["POSTSIEVE_HOME"] = {str(tmp_path)!r}
+from pyspark.sql import SparkSession
+from pyspark import TaskContext
+from postsieve.sources import store as S
+spark = SparkSession.builder.master("local[2,4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+def some(batches):
+    for n, b in enumerate(batches):
+        if n == 1 and TaskContext.get().attemptNumber() == 0:
+            raise OSError("lost")
+        yield b
+spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+rows = spark.range(0, 100, 1, 2).selectExpr("id", "'f' folder", "'ham' label", "cast(null as string) error")
+m = S.write("d", rows.mapInArrow(some, rows.schema))
+print("RESULT", m["count"], sorted(r.id for r in S.read(spark, "d").collect()) == list(range(100)))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert "RESULT 100 True" in out.stdout, out.stderr[-2000:]
+
+
 def test_predict(spark, tmp_path, capsys):
     v = B.Vocabulary({"subj": ["win"], "body": []}, {"subj": np.array([1.0]), "body": np.array([])}, np.array([]), np.array([]))
     R.Bundle(R.Model("cnb", v, np.array([[1.0]] * 3), np.zeros(3), [{"a": 1.0, "b": 0.0}] * 3), 0.6, 0.95).save(cli.model_path("m"))
