@@ -365,8 +365,7 @@ def _(s, d):
 
 @query("summary_stats", "SELECT count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, min(value) AS lo, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS q2, round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS hi FROM events")
 def _(s, d):
-    q = lambda p: F.round(F.percentile("value", p), 6)
-    return W.table(s, d, "events").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev("value"), 6).alias("sd"), F.min("value").alias("lo"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), F.max("value").alias("hi"))
+    return Y.describe(W.table(s, d, "events"), ["value"]).select("n", "mean", "sd", "lo", "q1", "q2", "q3", "hi")
 
 
 @query("histogram_bins", "WITH b AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT least(29, floor((value - lo) / (hi - lo) * 30))::BIGINT AS bin, count(*) AS n FROM events, b GROUP BY 1")
