@@ -1,14 +1,15 @@
 """Near-duplicate vectors: a hierarchical navigable small-world graph per shard.
 
-Vectors of one label and length are dealt into shards of about SHARD_ROWS by a hash of
-their id.  One task builds a shard's graph (layers of a skip-list kind, each a graph of
+Vectors of one label and length are dealt into shards of about SHARD_ROWS rows, and SHARD_BYTES, by a
+hash.  One task builds a shard's graph (layers of a skip-list kind, each a graph of
 near neighbours, searched greedily from the top) and stores it as one row.  Every block
-of QUERY_SHARDS shards' vectors then queries every shard of its label by beam search, at every
-size of shard.  Audits set the beam: rows are compared with the whole shard until AUDIT of
-them and EVIDENCE with links are seen (or all are), and the beam doubles until the search
-finds every link of those.  A beam that is full of links is doubled for its query until it is
-not; a beam as wide as the shard is a comparison with all of it.  Links are verified by
-cosine in double precision.
+of QUERY_SHARDS shards' vectors then queries every shard of its label by beam search.  Audits set
+the beam: AUDIT rows of a block are compared with the whole shard, and where fewer than EVIDENCE of them
+have links, as many vectors of the shard are turned to a known cosine above the threshold and
+searched for; the beam doubles until the search finds every link of the first and all of the others.
+So an audit compares a fixed number of rows, whatever the data.  A beam that is full of links is
+doubled for its query until it is not; a beam as wide as the shard (24 rows or fewer at the start) is a
+comparison with all of it.  Links are verified by cosine in double precision.
 
 Tasks return per vector the number of links and one edge to the root of a local union,
 never the pairs; the edges are united in Spark.  Equal vectors are one node with a
@@ -17,8 +18,8 @@ multiplicity, so copies are never expanded, and joins of all rows are salted.
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components,
 and those without a label or id, link with nothing and keep their own id; vectors of unequal
 length do not link; rows that repeat a vec_id with the same vector are one vector and give equal
-rows, with different vectors each gives its own row; ties need no order, as every link
-counts; very long vectors are limited by a shard's memory (SHARD_ROWS); an empty table gives no
+rows, with different vectors each gives its own row, with that vector's links; ties need no order, as
+every link counts; very long vectors make shards of fewer rows (SHARD_BYTES); an empty table gives no
 rows; further columns, whatever their names, are ignored.
 """
 
@@ -31,13 +32,13 @@ from pyspark.sql import DataFrame, functions as F
 from .components import components
 from .shared import Scratch
 
-SHARD_ROWS = 20_000
+SHARD_ROWS, SHARD_BYTES = 20_000, 64 << 20
 LINKS, BEAM, AUDIT = 12, 24, 256
 #: Shards whose vectors query another shard in one task.
 QUERY_SHARDS = 4
 #: Parts into which copies of one vector are dealt in joins.
 SALTS = 8
-#: Rows with links that an audit must have seen: where none of 100 is missed, the share missed is below 3 per cent (at 95 per cent).
+#: Links that an audit must have looked for, at least one a row: where none of 100 is missed, the share missed is below 3 per cent (at 95 per cent).
 EVIDENCE = 100
 #: Single precision finds, double precision decides.
 SLACK = 1e-4
@@ -191,6 +192,24 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def turned(x: np.ndarray, least: float, rng: np.random.Generator) -> np.ndarray:
+    """Unit vectors, each turned in a random direction to a cosine between `least` and 1 with itself."""
+    if x.shape[1] < 2:
+        return x
+    aside = rng.normal(size=x.shape)
+    aside -= (aside * x).sum(1, keepdims=True) * x
+    aside /= np.sqrt((aside * aside).sum(1, keepdims=True))
+    cosine = rng.uniform(min(1.0, least + 1e-6), 1, (len(x), 1))
+    return cosine * x + np.sqrt(1 - cosine * cosine) * aside
+
+
+def compared(q: np.ndarray, rows: np.ndarray, graph: Graph, exact: np.ndarray, ids: np.ndarray, q_ids: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """All links of these rows of q by brute force."""
+    r, c = np.nonzero(q[rows].astype(np.float32) @ graph.x.T >= least - SLACK)
+    ok = (np.einsum("nd,nd->n", q[rows[r]], exact[c]) >= least) & (q_ids[rows[r]] != ids[c])
+    return rows[r[ok]], c[ok]
+
+
 def links(graph: Graph, exact: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, least: float):
     """Yields (query row, shard row) arrays of all pairs with cosine >= least found by widening beams; ids are sorted."""
     n, size = len(q), len(exact)
@@ -199,10 +218,7 @@ def links(graph: Graph, exact: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids
     own = np.where(ids[own] == q_ids, own, -1)
 
     def exact_pairs(rows):
-        """All links of these rows by brute force."""
-        r, c = np.nonzero(q32[rows] @ graph.x.T >= least - SLACK)
-        ok = (np.einsum("nd,nd->n", q[rows[r]], exact[c]) >= least) & (q_ids[rows[r]] != ids[c])
-        return rows[r[ok]], c[ok]
+        return compared(q, rows, graph, exact, ids, q_ids, least)
 
     def verify(rows, found):
         r, c = np.nonzero(found >= 0)
@@ -211,22 +227,25 @@ def links(graph: Graph, exact: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids
         ok &= q_ids[a] != ids[b]
         return a[ok], b[ok]
 
-    audit = np.random.default_rng(1).permutation(n)
-    truth, linked, at = [], 0, 0
-    while at < n and (at < AUDIT or linked < EVIDENCE):
-        truth.append(exact_pairs(audit[at : at + 256]))
-        linked += len(np.unique(truth[-1][0]))
-        at += 256
-    truth_a, truth_b = (np.concatenate([t[k] for t in truth]) for k in (0, 1)) if truth else (np.zeros(0, np.int64),) * 2
+    rng = np.random.default_rng(1)
+    truth_a, truth_b = exact_pairs(np.sort(rng.permutation(n)[:AUDIT]))
     test, code = np.unique(truth_a, return_inverse=True)
+    sought = rng.permutation(size)[: EVIDENCE if len(test) < EVIDENCE else 0]
+    turned_ = turned(exact[sought], least, rng).astype(np.float32)
     beam = min(BEAM, size)
-    while len(test) and beam < size:
-        found, sims = graph.search(q32[test], beam, own=own[test])
-        hit = np.zeros((len(test), size), bool)
-        r, c = np.nonzero(sims >= least - SLACK)
-        hit[r, found[r, c]] = True
-        # a query whose beam is full of links gets a wider one below in any case
-        if hit[code, truth_b][~(sims >= least - SLACK).all(1)[code]].all():
+    while beam < size:
+        good = True
+        if len(test):
+            found, sims = graph.search(q32[test], beam, own=own[test])
+            hit = np.zeros((len(test), size), bool)
+            r, c = np.nonzero(sims >= least - SLACK)
+            hit[r, found[r, c]] = True
+            # a query whose beam is full of links gets a wider one below in any case
+            good = hit[code, truth_b][~(sims >= least - SLACK).all(1)[code]].all()
+        if good and len(sought):
+            found, sims = graph.search(turned_, beam)
+            good = ((found == sought[:, None]).any(1) | (sims >= least - SLACK).all(1)).all()
+        if good:
             break
         beam = min(2 * beam, size)
     todo = np.arange(n)
@@ -263,9 +282,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.8, scratch: Scratch | None
     # two hashes name a vector: joins need not carry it
     v = v.select("vec_id", "label", "embedding", "ok", F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2"))
     good = v.where("ok")
-    reps = scratch.cut(good.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("copies"), F.first("embedding").alias("embedding")))
-    reps = reps.withColumn("width", F.size("embedding"))
-    sizes = reps.groupBy("label", "width").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    reps = good.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("least_id"), F.count_distinct("vec_id").alias("copies"), F.first("embedding").alias("embedding"))
+    # vectors may share a vec_id, so each has a number of its own, which the table fixes
+    reps = scratch.cut(reps.withColumn("id", F.monotonically_increasing_id()).withColumn("width", F.size("embedding")))
+    most = F.greatest(F.lit(1), F.least(F.lit(shard_rows), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("width")))))
+    sizes = reps.groupBy("label", "width").agg(F.count("*").alias("n")).select("label", "width", F.ceil(F.col("n") / most).cast("int").alias("shards"))
     dealt = reps.join(sizes, ["label", "width"]).withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards").cast("long")).cast("int"))
     dealt = scratch.cut(dealt.select("label", "width", "shard", "shards", "id", "copies", "embedding"))
 
@@ -303,8 +324,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.8, scratch: Scratch | None
     found = scratch.cut(found)
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     united = components(found.where("root <> id").select(F.col("root").alias("a"), F.col("id").alias("b")), scratch)
-    known = reps.join(counts, "id").join(united.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select("label", "k1", "k2", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    known = reps.select("label", "k1", "k2", "id", "least_id", "copies").join(counts, "id").join(united.withColumnRenamed("node", "id"), "id", "left")
+    known = scratch.cut(known.withColumn("group", F.coalesce("component", "id")))
+    # the smallest vec_id of a group names it
+    names = known.groupBy("group").agg(F.min("least_id").alias("component_id"))
+    known = known.join(names, "group").select("label", "k1", "k2", (F.col("n") + F.col("copies") - 1).alias("n_links"), "component_id")
     known = scratch.cut(known).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     linked = good.select("vec_id", "label", "k1", "k2", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int").alias("salt")).join(known, ["label", "k1", "k2", "salt"])
     alone = v.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

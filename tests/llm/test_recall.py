@@ -40,6 +40,45 @@ def test_graph_recall_without_widening():
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_audit_without_links(monkeypatch):
+    """Where nothing is linked, a fixed number of rows is compared with the shard, however many there are."""
+    rng = np.random.default_rng(6)
+    for size in (2000, 4000):
+        x, seen, real = near_vectors.unit(rng.normal(size=(size, 24))), [], near_vectors.compared
+        g = near_vectors.Graph.build(x.astype(np.float32))
+        monkeypatch.setattr(near_vectors, "compared", lambda q, rows, *a: (seen.append(len(rows)), real(q, rows, *a))[1])
+        assert not sum(len(a) for a, _ in near_vectors.links(g, x, np.arange(size), x, np.arange(size), 0.93))
+        monkeypatch.setattr(near_vectors, "compared", real)
+        assert sum(seen) == near_vectors.AUDIT
+
+
+def test_turned_vectors():
+    x = near_vectors.unit(np.random.default_rng(1).normal(size=(50, 8)))
+    c = (near_vectors.turned(x, 0.93, np.random.default_rng(2)) * x).sum(1)
+    assert c.min() >= 0.93 and c.max() <= 1 + 1e-12 and c.std() > 0.005
+
+
+def test_recall_of_a_large_shard():
+    """20,000 vectors, of which few have links, through audits as they are: at least 0.99 of the links."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000, 24))
+    x[:400] = x[400:800] + 0.15 * rng.normal(size=(400, 24))
+    x = near_vectors.unit(x)
+    g = near_vectors.Graph.build(x.astype(np.float32))
+    ids = np.arange(len(x))
+    got = {(int(i), int(j)) for a, b in near_vectors.links(g, x, ids, x, ids, 0.93) for i, j in zip(a, b, strict=True)}
+    want = {(int(a), int(b)) for at in range(0, 20_000, 2000) for a, b in zip(*np.nonzero(x[at : at + 2000] @ x.T >= 0.93), strict=True) for a in [a + at] if a != b}
+    assert len(want) > 500 and got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_different_vectors_of_one_id(spark):
+    """Each row has its own vector's links, also where another vector has its id."""
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.02]), (1, [0.0, 1.0]), (4, [0.01, 1.0]), (9, [0.7, -0.7]), (0, [0.7, -0.71])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in near_vectors.near_vectors(df, 0.99).collect())
+    assert got == [(0, 1, 0, True), (1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 1, False), (9, 1, 0, False)]
+
+
 def test_unite():
     rng = np.random.default_rng(0)
     for _ in range(20):
