@@ -16,10 +16,13 @@ happens in blocks of BLOCK_SETS, a task for every two blocks, which counts share
 through an inverted list and returns one edge per set to the root of its local union, never
 the pairs.  Blocks are ranges of set sizes, and two whose sizes exclude a link are skipped.
 
-An audit measures the recall: the sets of AUDIT texts (smallest hashes of doc_id) are compared
-with those of all texts, exactly, in the pass that makes the signatures.  The reach widens (more
+An audit measures the recall: the sets of AUDIT texts (smallest hashes of doc_id, of at most AUDIT_BYTES)
+are compared with those of all texts, exactly, in the pass that makes the signatures.  As natural links between
+different sets can be rare, each audited set also gets a planted one that is known to link with it, at
+similarities from the threshold up; planted sets stand in the orders and nowhere else.  The reach widens (more
 neighbours, shorter prefixes, less agreement) until at least RECALL of the audited links lie
-inside one group, at most ROUNDS times; what was missed is linked in any case.
+inside one group and RECALL of the planted ones inside one cluster, at most ROUNDS times, else LowRecall is raised; what was
+missed of the audited links is linked in any case.
 
 Texts with equal sets are one node throughout; their smallest doc_id stands for them.
 
@@ -43,7 +46,7 @@ from .components import components
 from .shared import U64, Scratch, documents_words, mix, shingle_set
 
 BINS, TREES, DEPTH = 128, 12, 8
-AUDIT, RECALL, ROUNDS = 128, 0.9, 4
+AUDIT, AUDIT_BYTES, RECALL, ROUNDS = 128, 1 << 18, 0.9, 6
 #: Sets of a cluster that one task takes twice of at most.
 BLOCK_SETS = 512
 _ORDER = np.random.default_rng(5).permutation(BINS)[: TREES * DEPTH]
@@ -74,8 +77,24 @@ class Reach(NamedTuple):
         return Reach(2 * self.near, 1, max(1, self.agree - 1))
 
 
+class LowRecall(RuntimeError):
+    """The widest reach finds too few of the known links."""
+
+
+def planted(s: np.ndarray, percent: int, rng: np.random.Generator) -> np.ndarray | None:
+    """A set that links with s, but is another; none where s is too small for one."""
+    most = len(s) * (100 - percent) // (100 + percent)
+    if most < 1:
+        more = s if 100 * len(s) >= percent * (len(s) + 1) else None
+        out = 0
+    else:
+        out = int(rng.integers(1, most + 1))
+        more = np.delete(s, rng.permutation(len(s))[:out])
+    return None if more is None else np.unique(np.concatenate([more, rng.integers(1, 2**63, max(1, out), dtype=np.uint64) * U64(2)]))
+
+
 class Audit:
-    """Some texts' sets, and which of them a set links with."""
+    """Some texts' sets, which of them a set links with, and a planted set for each."""
 
     def __init__(self, ids: list[int], sets: list[np.ndarray], percent: int):
         self.ids, self.percent = np.array(ids, np.int64), percent
@@ -85,6 +104,13 @@ class Audit:
         self.hash, self.owner = flat[order], np.repeat(np.arange(len(sets)), self.size)[order]
         self.bit = np.zeros(1 << 22, bool)
         self.bit[(self.hash >> U64(42)).astype(np.int64)] = True
+        rng = np.random.default_rng(3)
+        self.plants = [(i, p) for i, s in zip(ids, sets, strict=True) if (p := planted(s, percent, rng)) is not None]
+
+    def orders(self, base: int) -> list[tuple[int, int, bytes]]:
+        """(id, tree, key) of the planted sets, numbered from base."""
+        keys = [signature(p)[_ORDER].astype(">u4").tobytes() for _, p in self.plants]
+        return [(base + i, t, k[4 * DEPTH * t : 4 * DEPTH * (t + 1)]) for i, k in enumerate(keys) for t in range(TREES)]
 
     def links(self, s: np.ndarray) -> list[int]:
         likely = s[self.bit[(s >> U64(42)).astype(np.int64)]]
@@ -97,7 +123,7 @@ class Audit:
 
 def audit_of(docs: DataFrame, percent: int, rows: int = AUDIT) -> Audit:
     """The audit of the texts with the smallest hashes of doc_id."""
-    some = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null and text is not null")
+    some = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null and text is not null").where(F.octet_length("text") <= AUDIT_BYTES)
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).toArrow()
     sets = [shingle_set(w) for _, words in documents_words(some.column("text"), lower=True) for w in words]
     ids = some.column("doc_id").to_pylist()
@@ -216,8 +242,8 @@ def unite(sets: list[np.ndarray], percent: int) -> list[int]:
     return [_find(parent, i) for i in range(len(sets))]
 
 
-def _linked(docs: DataFrame, reps: DataFrame, orders: DataFrame, percent: int, reach: Reach, scratch: Scratch) -> DataFrame:
-    """Edges (a, b) that unite all linked sets among the candidates within reach."""
+def _linked(docs: DataFrame, reps: DataFrame, orders: DataFrame, plants: tuple[int, int], percent: int, reach: Reach, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges (a, b) that unite all linked sets among the candidates within reach; also the candidates' clusters, and the pairs (plant, id) of planted sets, whose ids lie in the range plants."""
     spark = docs.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = orders.repartitionByRange(width, "tree", "key", "id").sortWithinPartitions("tree", "key", "id").select("tree", "key", "id")
@@ -229,7 +255,10 @@ def _linked(docs: DataFrame, reps: DataFrame, orders: DataFrame, percent: int, r
         a, b = _pairs(*_columns(dict(zip(("tree", "key", "id"), zip(*ends, strict=True), strict=True))), 0, reach)
         if len(a):
             pairs = pairs.unionByName(spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a long, b long"))
-    clusters = components(pairs, scratch)
+    sown = lambda c: F.col(c).between(plants[0], plants[1] - 1)
+    near = pairs.where(sown("a") != sown("b"))
+    near = scratch.cut(near.select(F.when(sown("a"), F.col("a")).otherwise(F.col("b")).alias("plant"), F.when(sown("a"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
+    clusters = components(pairs.where(~sown("a") & ~sown("b")), scratch)
     scratch.drop(found)
     sizes = clusters.join(reps.select(F.col("id").alias("node"), "n_shingles"), "node").distinct()
     members = sizes.groupBy("component").agg(F.count("*").alias("n"), F.min(F.log("n_shingles")).alias("lo"))
@@ -258,13 +287,13 @@ def _linked(docs: DataFrame, reps: DataFrame, orders: DataFrame, percent: int, r
         moved = [(int(nodes[r]), int(nodes[i])) for i, r in enumerate(root) if r != i]
         return pd.DataFrame(moved, columns=["a", "b"], dtype=np.int64)
 
-    return scratch.cut(work.groupBy("component", "i", "j", "span").applyInPandas(verify, "a long, b long"))
+    return scratch.cut(work.groupBy("component", "i", "j", "span").applyInPandas(verify, "a long, b long")), clusters, near
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, scratch: Scratch | None = None, reach: Reach = Reach(), report: list | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: links where 100 * shared >= percent * union of the shingle sets.
 
-    report: takes (reach, audited links, those inside one group) of each round.
+    report: takes (reach, audited links, those inside one group, planted links, those found) of each round.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near-text")
@@ -276,26 +305,42 @@ def near_duplicates(docs: DataFrame, percent: int = 80, scratch: Scratch | None
     own = full.select(F.col("doc_id").alias("id"), "k1", "k2", "n_shingles", "keys").join(reps, ["k1", "k2", "n_shingles", "id"])
     own = own.groupBy("id", "k1", "k2", "n_shingles").agg(F.max("keys").alias("keys"))
     cut = [F.substring("keys", 1 + t * 4 * DEPTH, 4 * DEPTH) for t in range(TREES)]
-    orders = scratch.cut(own.select("id", F.posexplode(F.array(*cut)).alias("tree", "key")))
-    # audited links between different sets, by the sets' ids
-    named = full.join(reps, ["k1", "k2", "n_shingles"])
-    audited = named.where(F.col("doc_id").isin(audit.value.ids.tolist())).select(F.col("doc_id").alias("q"), F.col("id").alias("a")).distinct()
-    truth = named.where(F.size("linked") > 0).select("id", F.explode("linked").alias("q")).distinct()
+    orders = stored = scratch.cut(own.select("id", F.posexplode(F.array(*cut)).alias("tree", "key")))
+    # audited links between different sets, by the sets' ids; of equal rows one is enough
+    digest = ["k1", "k2", "n_shingles"]
+    ids = audit.value.ids.tolist()
+    audited = full.where(F.col("doc_id").isin(ids)).select("doc_id", *digest).distinct().join(reps, digest).select(F.col("doc_id").alias("q"), F.col("id").alias("a")).distinct()
+    truth = full.where(F.size("linked") > 0).select(*digest, F.explode("linked").alias("q")).distinct().join(reps, digest).select("id", "q").distinct()
     truth = scratch.cut(truth.join(audited, "q").where("a <> id").select("a", F.col("id").alias("b")).distinct())
-    for _ in range(ROUNDS):
-        edges = _linked(docs, reps, orders, percent, reach, scratch)
+    # planted sets have ids that no text has
+    low, high = reps.agg(F.min("id"), F.max("id")).first()
+    n = len(audit.value.plants)
+    base = (low or 0) - n if (low or 0) >= -(2**63) + n else high + 1
+    plants = (base, base + n)
+    sown = spark.createDataFrame([(base + i, q) for i, (q, _) in enumerate(audit.value.plants)], "plant long, q long")
+    known = scratch.cut(sown.join(audited, "q").select("plant", "a"))
+    orders = orders.unionByName(spark.createDataFrame(audit.value.orders(base), "id long, tree int, key binary").select(*orders.columns))
+    for left in range(ROUNDS, 0, -1):
+        edges, clusters, near = _linked(docs, reps, orders, plants, percent, reach, scratch)
         united = components(edges, scratch)
         root = lambda c: united.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))  # noqa: E731, B023
         seen = truth.join(root("a"), "a", "left").join(root("b"), "b", "left")
         total, inside = seen.agg(F.count("*"), F.count_if(F.coalesce("ca", "a") == F.coalesce("cb", "b"))).first()
+        # a cluster is verified whole: a planted set is found if it has a neighbour in the cluster of its own
+        cluster = lambda c: clusters.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))  # noqa: E731, B023
+        met = near.join(known, "plant").join(cluster("id"), "id", "left").join(cluster("a"), "a", "left")
+        met = met.where(F.coalesce("cid", "id") == F.coalesce("ca", "a"))
+        sought, found = known.count(), met.select("plant").distinct().count()
         if report is not None:
-            report.append((reach, total, inside))
-        if inside >= RECALL * total:
+            report.append((reach, total, inside, sought, found))
+        if inside >= RECALL * total and found >= RECALL * sought:
             break
+        if left == 1:
+            raise LowRecall(f"{inside} of {total} audited and {found} of {sought} planted links found at {reach}")
         reach = reach.wider()
     if inside < total:
         united = components(edges.unionByName(truth), scratch)
-    scratch.drop(orders)
+    scratch.drop(stored)
     out = all_docs.where(usable).select("doc_id", "n_shingles", "k1", "k2").join(reps, ["k1", "k2", "n_shingles"])
     out = out.join(united.withColumnRenamed("node", "id"), "id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))

@@ -142,8 +142,47 @@ def test_near_text_recall(spark, kind, monkeypatch):
     monkeypatch.setattr(near_text, "audit_of", lambda docs, percent, real=near_text.audit_of: real(docs, percent, 1000))
     got = near_text.near_duplicates(df, 85, reach=near_text.Reach(1, 8, 8) if kind == "narrow" else near_text.Reach(), report=report)
     assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(by_pairs(texts, 85)))
-    total, inside = report[-1][1:]
-    assert total > 0 and inside >= near_text.RECALL * total
+    total, inside, sought, found = report[-1][1:]
+    assert total > 0 and inside >= near_text.RECALL * total and sought > 100 and found >= near_text.RECALL * sought
+
+
+def test_near_text_rare_links(spark):
+    """Audited texts without any natural link: planted ones are the evidence, and change no group."""
+    rng = random.Random(8)
+    texts = [" ".join(f"t{i}w{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 120))) for i in range(400)]
+    report, df = [], spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = set(near_text.audit_of(df, 85).ids.tolist())
+    rest = [i for i in range(400) if i not in first][:60]
+    # near pairs, none of them audited, and texts shorter than one that can be varied
+    for k in range(0, 60, 2):
+        a, w = rest[k], texts[rest[k]].split()
+        texts[rest[k + 1]] = " ".join([*w, "more"] if k % 4 else w[1:])
+    df = spark.createDataFrame([*enumerate(texts), *[(-(2**63) + i, "a b c d e f") for i in range(3)]], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_text.near_duplicates(df, 85, report=report).collect()}
+    want = by_pairs(texts, 85)
+    assert {i: c for i, c in got.items() if i >= 0} == dict(enumerate(want)) and sum(i != c for i, c in enumerate(want)) == 30
+    assert {got[-(2**63) + i] for i in range(3)} == {-(2**63)}
+    _, total, inside, sought, found = report[-1]
+    assert sought >= 100 and found >= near_text.RECALL * sought
+
+
+def test_planted_sets():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 6, 11, 12, 13, 60, 1000):
+        s = np.unique(rng.integers(1, 2**63, n, dtype=np.uint64))
+        for _ in range(20):
+            p = near_text.planted(s, 85, rng)
+            assert (p is None) == (n < 6)
+            if p is not None:
+                assert 100 * len(np.intersect1d(s, p)) >= 85 * len(np.union1d(s, p)) and not np.array_equal(s, p)
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    """An order that pairs nothing finds no planted set: that is said, not passed over."""
+    monkeypatch.setattr(near_text.Reach, "wider", lambda self: self)
+    texts = [" ".join(f"t{i}w{k}" for k in range(40)) for i in range(120)]
+    with pytest.raises(near_text.LowRecall, match="planted"):
+        near_text.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 85, reach=near_text.Reach(1, 8, 9))
 
 
 def test_audit_links():
