@@ -8,8 +8,8 @@ does not decide.
 A multinomial logistic regression over the distinct words and word pairs of a window is
 trained on the driver from the fixed templates below (words dropped, put into ordinary
 prose, two notices in one window) and from prose and notices of invented licences as the
-class `unknown`; a temperature fitted on held-back examples calibrates the probability of
-a family against `unknown`.  A window has every family that
+class `unknown`; a temperature calibrates the probability of a family against `unknown`, fitted on examples
+of names, clauses and sentences that the two models which score them have not seen.  A window has every family that
 
 * reaches CERTAIN in that probability, and
 * is confirmed by comparison with a template: the window holds at least CONFIRM of the
@@ -47,10 +47,10 @@ LASSO = 0.00015
 
 #: Names and identifiers of public licences, by family.
 NAMES = {
-    "AGPL": ["GNU Affero General Public License", "Affero GPL", "AGPL 3.0", "AGPLv3"],
+    "AGPL": ["GNU Affero General Public License", "Affero GPL", "AGPL 3.0", "AGPLv3", "AGPL v3", "the AGPL"],
     "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "Apache Software License"],
     "Artistic": ["Artistic License 2.0", "Perl Artistic License", "Artistic-2.0"],
-    "BSD": ["BSD License", "BSD-style License", "BSD-3-Clause", "BSD-2-Clause", "3-clause BSD", "2-clause BSD"],
+    "BSD": ["BSD License", "BSD-style License", "BSD-3-Clause", "BSD-2-Clause", "3-clause BSD", "2-clause BSD", "under the BSD", "License: BSD", "License-Identifier: BSD"],
     "BSL-1.0": ["Boost Software License", "BSL-1.0"],
     "CC-BY": ["CC BY 4.0", "CC BY 3.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License"],
     "CC-BY-NC": ["CC BY-NC 4.0", "CC BY-NC 3.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
@@ -61,12 +61,12 @@ NAMES = {
     "CC0": ["CC0 1.0", "CC0 1.0 Universal Public Domain Dedication", "Creative Commons Zero"],
     "CDDL": ["Common Development and Distribution License", "CDDL-1.0"],
     "EPL": ["Eclipse Public License", "EPL-2.0", "EPL-1.0"],
-    "EUPL": ["European Union Public Licence", "EUPL-1.2"],
+    "EUPL": ["European Union Public Licence", "EUPL-1.2", "the EUPL"],
     "GFDL": ["GNU Free Documentation License", "GFDL-1.3"],
-    "GPL": ["GNU General Public License", "GNU GPL", "GPL-3.0", "GPL-2.0", "GPLv3", "GPLv2"],
+    "GPL": ["GNU General Public License", "GNU GPL", "GPL-3.0", "GPL-2.0", "GPLv3", "GPLv2", "GPL v3", "GPL v2", "the GPL", "GPL licenses", "and GPL", "or GPL", "License: GPL", "License-Identifier: GPL"],
     "ISC": ["ISC License", "ISC licence", "License: ISC", "License-Identifier: ISC"],
-    "LGPL": ["GNU Lesser General Public License", "GNU Library General Public License", "LGPL-3.0", "LGPL-2.1", "LGPLv3"],
-    "MIT": ["MIT License", "MIT licence", "under MIT", "License: MIT", "License-Identifier: MIT"],
+    "LGPL": ["GNU Lesser General Public License", "GNU Library General Public License", "LGPL-3.0", "LGPL-2.1", "LGPLv3", "LGPLv2", "LGPL v3", "LGPL v2.1", "the LGPL", "License: LGPL", "License-Identifier: LGPL"],
+    "MIT": ["MIT License", "MIT licence", "under MIT", "under the MIT", "MIT/X11", "MIT or", "License: MIT", "License-Identifier: MIT"],
     "MPL-2.0": ["Mozilla Public License, v. 2.0", "Mozilla Public License", "MPL-2.0"],
     "MS-PL": ["Microsoft Public License", "MS-PL"],
     "OFL": ["SIL Open Font License", "OFL-1.1"],
@@ -79,7 +79,7 @@ NAMES = {
 }
 #: Paragraphs of the notices and texts themselves, one sentence or clause each.
 TEXTS = {
-    "AGPL": ["it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
+    "AGPL": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
     "Apache-2.0": [
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
@@ -95,7 +95,7 @@ TEXTS = {
     "GFDL": ["permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License"],
     "GPL": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
-    "LGPL": ["it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "LGPL": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
     "MIT": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
         "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
@@ -212,54 +212,68 @@ def train(seed: int = 7) -> tuple[list[str], dict[str, np.ndarray], np.ndarray,
             out += words(ORDINARY[rng.integers(len(ORDINARY))]) if rng.random() < 0.3 else [common[i] for i in rng.integers(len(common), size=6)]
         return out[:n]
 
-    def notice(k: int) -> list[str]:
+    def notice(k: int) -> tuple[list[str], int]:
         own = NAMES[families[k]]
         texts = TEXTS.get(families[k], [])
         if texts and rng.random() < 0.4:
-            w = words(texts[rng.integers(len(texts))])
+            at = int(rng.integers(len(texts)))
+            w = words(texts[at])
         else:
-            w = words(FRAMES[rng.integers(len(FRAMES))].format(own[rng.integers(len(own))]))
-        return [x for x in w if rng.random() > 0.06] if len(w) > 8 else w
+            at = int(rng.integers(len(own)))
+            w = words(FRAMES[rng.integers(len(FRAMES))].format(own[at]))
+        return [x for x in w if rng.random() > 0.06] if len(w) > 8 else w, at % 2
 
     def put(w: list[str]) -> list[str]:
         a, b = rng.integers(0, 50, 2) if rng.random() < 0.7 else (0, 0)
         return [*prose(a), *w, *prose(b)]
 
-    examples: list[tuple[list[str], int]] = []
+    # an example, its family, and which half of the templates it comes from
+    examples: list[tuple[list[str], int, int]] = []
     for k in range(len(families) - 1):
-        examples += [(words(t), k) for t in NAMES[families[k]] + TEXTS.get(families[k], [])] * 4
-        examples += [(put(notice(k)), k) for _ in range(40)]
+        for own in (NAMES[families[k]], TEXTS.get(families[k], [])):
+            examples += [(words(t), k, i % 2) for i, t in enumerate(own)] * 4
+        for _ in range(40):
+            w, half = notice(k)
+            examples.append((put(w), k, half))
     for _ in range(500):
-        w = words(FRAMES[rng.integers(len(FRAMES))].format(INVENTED[rng.integers(len(INVENTED))])) if rng.random() < 0.4 else []
-        examples.append((put(w) or prose(5), len(families) - 1))
-    examples += [(words(t), len(families) - 1) for t in ORDINARY for _ in range(4)]
-    vocabulary = sorted({g for w, _ in examples for g in grams(w) if not set(g.split()) <= COMMON})
+        at = int(rng.integers(len(INVENTED)))
+        w = words(FRAMES[rng.integers(len(FRAMES))].format(INVENTED[at])) if rng.random() < 0.4 else []
+        examples.append((put(w) or prose(5), len(families) - 1, at % 2))
+    examples += [(words(t), len(families) - 1, i % 2) for i, t in enumerate(ORDINARY) for _ in range(4)]
+    vocabulary = sorted({g for w, _, _ in examples for g in grams(w) if not set(g.split()) <= COMMON})
     number = {g: i for i, g in enumerate(vocabulary)}
     x = np.zeros((len(examples), len(vocabulary)), np.float32)
-    for i, (w, _) in enumerate(examples):
+    for i, (w, _, _) in enumerate(examples):
         x[i, [number[g] for g in grams(w) if g in number]] = 1
-    y = np.array([k for _, k in examples])
-    held = np.arange(len(y)) % 5 == 0
-    weights, bias = np.zeros((len(vocabulary), len(families)), np.float32), np.zeros(len(families), np.float32)
+    y, half = np.array([k for _, k, _ in examples]), np.array([h for _, _, h in examples])
     one = np.eye(len(families), dtype=np.float32)[y]
-    fit, target = x[~held], one[~held]
-    for _ in range(250):
-        z = fit @ weights + bias
-        e = np.exp(z - z.max(1, keepdims=True))
-        off = (target - e / e.sum(1, keepdims=True)) / len(fit)
-        weights += 6.0 * (fit.T @ off)
-        # lasso: weights of little use become zero
-        weights = np.sign(weights) * np.maximum(np.abs(weights) - 6.0 * LASSO, 0)
-        bias += 6.0 * off.sum(0)
-    z = x[held] @ weights + bias
-    gap, yes, true = [], [], y[held]
-    for i, k in enumerate(true):
-        rest = [k] if k < len(families) - 1 else range(len(families) - 1)
-        gap += [float(z[i, f] - z[i, -1]) for f in rest]
-        yes += [k < len(families) - 1] * len(rest)
+
+    def fit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weights, bias = np.zeros((len(vocabulary), len(families)), np.float32), np.zeros(len(families), np.float32)
+        mine, target = x[rows], one[rows]
+        for _ in range(250):
+            z = mine @ weights + bias
+            e = np.exp(z - z.max(1, keepdims=True))
+            off = (target - e / e.sum(1, keepdims=True)) / len(mine)
+            weights += 6.0 * (mine.T @ off)
+            # lasso: weights of little use become zero
+            weights = np.sign(weights) * np.maximum(np.abs(weights) - 6.0 * LASSO, 0)
+            bias += 6.0 * off.sum(0)
+        return weights, bias
+
+    gap, yes = [], []
+    for h in (0, 1):
+        weights, bias = fit(half != h)
+        for z, k in zip(x[half == h] @ weights + bias, y[half == h], strict=True):
+            rest = [k] if k < len(families) - 1 else range(len(families) - 1)
+            gap += [float(z[f] - z[-1]) for f in rest]
+            yes += [k < len(families) - 1] * len(rest)
     gap, yes = np.array(gap), np.array(yes)
-    loss = lambda t: np.log1p(np.exp(np.clip(np.where(yes, -gap, gap) / t, -50, 50))).mean()
-    temperature = min((t / 10 for t in range(5, 41)), key=loss)
+    # a family counts as much as unknown, whose examples stand for every family
+    share = np.where(yes, 1 / yes.sum(), 1 / (~yes).sum())
+    loss = lambda t: (share * np.log1p(np.exp(np.clip(np.where(yes, -gap, gap) / t, -50, 50)))).sum()
+    temperature = min((t / 10 for t in range(1, 101)), key=loss)
+    weights, bias = fit(np.ones(len(y), bool))
     return families, {g: np.round(weights[i].astype(float), 4) for g, i in number.items()}, np.round(bias.astype(float), 4), temperature
 
 

@@ -96,3 +96,21 @@ def test_words_agree(spark):
 def test_every_family_is_confirmed(family):
     for text in L.NAMES[family] + L.TEXTS.get(family, []):
         assert plain("Licensed under the " + text)[0].split(",").count(family) == 1
+
+
+def test_common_notices(spark):
+    """Standard notices and short names each give the licences that they grant, and no other."""
+    gnu = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {0} as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY.  See the\nGNU {0} for more details."
+    want = {
+        gnu.format("General Public License"): "GPL", gnu.format("Lesser General Public License"): "LGPL", gnu.format("Affero General Public License"): "AGPL",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": "LGPL",
+        "Dual licensed under the MIT and GPL licenses.": "GPL,MIT", "GPL v3": "GPL", "MIT/X11": "MIT", "Licensed under the EUPL.": "EUPL", "MIT or GPL-3.0": "GPL,MIT",
+        "Licensed under the LGPL": "LGPL", "Released under the Acme Public License": "", "He lives under the general plan": "", "License: BSD-3-Clause": "BSD",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(want)], "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in L.scan(df).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
+def test_temperature_is_no_bound():
+    assert 0.1 < L.train()[3] < 10
