@@ -613,8 +613,8 @@ def _(s, d):
     # the whole of a training run with `--algos cnb`, default folds and cuts
     m = _trainable(s, d).withColumn("date", F.lit(None).cast("timestamp")).withColumn("source", F.lit("docs"))
     report = R.train(m, R.Options(candidates=[c for c in R.CANDIDATES if c.algo == "cnb"]), lambda *_: None).report
-    told = [("selection", r["candidate"], r["pr_auc"]) for r in report["selection"]] + [("split", k, float(n)) for k, n in report["split"]["base"].items() if k != "time_based"]
-    told += [("cut", k, report["thresholds"][k]) for k in ("flag", "move")] + [("test", k, None if report["test"]["all"][k] is None else float(report["test"]["all"][k])) for k in ("n", "n_spam", "roc_auc", "pr_auc")]
+    told = [("selection", r["candidate"], r["pr_auc"]) for r in report["tried"]] + [("split", k, float(n)) for k, n in report["rows"]["base"].items() if k != "time_based"]
+    told += [("cut", k, report["cuts"][k]) for k in ("flag", "move")] + [("test", k, None if report["test"]["all"][k] is None else float(report["test"]["all"][k])) for k in ("n", "n_spam", "roc_auc", "pr_auc")]
     return s.createDataFrame(told, "part string, name string, value double")
 
 
