@@ -276,7 +276,7 @@ def margins(rows: DataFrame, v: Vocabulary, coefs: np.ndarray, intercepts: np.nd
 
 
 def contributions(rows: DataFrame, v: Vocabulary, coef: np.ndarray, top_k: int = 8) -> Column:
-    """The top_k values times coefficients by size, as (feature, weight)."""
+    """The top_k values times coefficients by size to 12 places, then by position, as (feature, weight)."""
     shared = _shared(rows, v, v, np.asarray(coef))
 
     @F.arrow_udf("array<struct<feature:string,weight:double>>")
@@ -286,7 +286,7 @@ def contributions(rows: DataFrame, v: Vocabulary, coef: np.ndarray, top_k: int =
         c, last, out = x * w[at], num * w[len(scaling.idf) :], []
         for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             own, where = np.concatenate([c[a:b], last[i]]), np.concatenate([at[a:b], len(scaling.idf) + np.arange(num.shape[1])])
-            best = [j for j in np.lexsort((where, -np.abs(own))) if own[j] != 0][:top_k]
+            best = [j for j in np.lexsort((where, -np.abs(own.round(12)))) if own[j] != 0][:top_k]
             out.append([{"feature": known.name(int(where[j])), "weight": float(own[j])} for j in best])
         return pa.array(out, pa.list_(pa.struct([("feature", pa.string()), ("weight", pa.float64())])))
 

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import features as X, text as T
-from ..operators import blocks as B, dedupe as D, evaluate as V, labels as L, models as M, study as Y, tfidf as I, training as R
+from ..functions import records, features as X, text as T
+from ..operators import blocks as B, dedupe as D, evaluate as V, labels as L, models as M, solver as N, study as Y, tfidf as I, training as R
 from ..sources import archives, mail, store
 from . import fixtures as G, views as W
 
@@ -425,6 +425,27 @@ def _(s, d):
     return m.select("seq", "error", *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("date", "from_addr", "reply_to", "subject", "text", "urls", "html_share", "n_attachments", "attachment_types")])
 
 
+@query(
+    "mail_records",
+    f"""WITH f AS (SELECT doc_id AS seq, doc_id % 4 AS r, 'docs' AS source, CASE WHEN doc_id % 2 = 0 THEN 'spam' END AS label, {_DATE}, {_FROM}, sha256(text) AS raw, sha256(substr(text, 1, 200000)) AS text, array_to_string({URLS_SQL}[1:200], ' ') AS urls FROM documents),
+o AS (SELECT * FROM f WHERE r <> 3)
+SELECT seq, source, label, date, from_addr, reply_to, CASE WHEN r = 2 THEN '' ELSE subject END AS subject, text, CASE WHEN r = 2 THEN '' ELSE urls END AS urls, 0.0::DOUBLE AS html_share, 0 AS n_attachments,
+'' AS attachment_types, 'text/plain; charset=utf-8' AS ctype, CASE WHEN r = 1 THEN 'extra,more' ELSE '' END AS unknown FROM o
+UNION ALL SELECT seq, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM f WHERE r = 3""",
+)
+def _(s, d):
+    # by doc_id % 4 a whole record, one with fields of later versions and a field of another type, one without some, and text that is no record
+    rows = W.table(s, d, "documents").select(F.col("doc_id").alias("seq"), F.lit("docs").alias("source"), F.lit("").alias("folder"), G.plain().alias("raw"))
+    m = mail.parse(rows).withColumn("label", F.when(F.col("seq") % 2 == 0, "spam"))
+    more = F.concat(F.lit('{"more":{"x":[1]},"extra":null,"n_attachments":"many",'), F.substring(records.to_record("n_attachments"), 2, 10**9))
+    kind = F.col("seq") % 4
+    text = F.when(kind == 0, records.to_record()).when(kind == 1, more).when(kind == 2, records.to_record("subject", "urls")).otherwise('{"subject": "cut')
+    x = m.select("seq", records.from_record(text).alias("x"))
+    read = lambda c: F.col(f"x.{c}")
+    joined = [F.array_join(read(c), " ").alias(c) for c in ("urls", "attachment_types")]
+    return x.select("seq", *[read(c) for c in ("source", "label", "from_addr", "reply_to", "subject", "html_share", "n_attachments")], F.unix_timestamp(read("date")).alias("date"), F.sha2(read("text"), 256).alias("text"), *joined, read("headers")["content-type"].alias("ctype"), F.array_join(read("unknown"), ",").alias("unknown"))
+
+
 # --- sources: written from the documents, read back
 
 _ESCAPED = "regexp_replace(text, '(?m)^From ', '>From ', 'g')"
@@ -682,6 +703,74 @@ def _(s, d):
     return s.createDataFrame(pd.concat([pd.DataFrame({"block": b, "term": t, "value": v.idf[b]}) for b, t in v.terms.items()]), "block string, term string, value double").withColumn("value", F.round("value", 9))
 
 
+_TF_IDF = f"""{_LEARNED.rsplit("SELECT block, term", 1)[0].rstrip()},
+tf AS (SELECT doc_id, block, term, CASE block WHEN 'hdr' THEN 1.0::DOUBLE ELSE 1 + ln(count(*)) END AS tf FROM t GROUP BY doc_id, block, term),
+r AS (SELECT doc_id, block, term, cf, tf * (ln((1 + (SELECT count(*) FROM m)) / (1 + df)::DOUBLE) + 1) AS x FROM tf JOIN k USING (block, term)),
+v AS (SELECT doc_id, block, term, cf, CASE block WHEN 'subj' THEN 2 ELSE 1 END * x / sqrt(sum(x * x) OVER (PARTITION BY doc_id, block)) AS x FROM r)"""
+_SIGNALS = f"s AS ({_SQL['struct_features']}), g AS (UNPIVOT (SELECT doc_id, ln(1 + COLUMNS(* EXCLUDE (doc_id))) FROM s SEMI JOIN m USING (doc_id)) ON * EXCLUDE (doc_id) INTO NAME term VALUE x)"
+
+
+@query("block_vectors", f"{_TF_IDF}, {_SIGNALS} SELECT doc_id, block, term, round(x, 6) AS value FROM v UNION ALL SELECT doc_id, 'num', term, round((x - avg(x) OVER w) / CASE WHEN stddev_pop(x) OVER w > 0 THEN stddev_pop(x) OVER w ELSE 1 END, 6) + 0.0 FROM g WINDOW w AS (PARTITION BY term)")
+def _(s, d):
+    rows = B.frame(W.mail_enriched(s, d).where("label is not null"), "doc_id")
+    v = B.learn(rows)
+    # the blocks' caps bound the names
+    names = s.createDataFrame([(v.start[b] + i, b, t) for b, terms in v.terms.items() for i, t in enumerate(terms)] + [(v.n_terms + i, "num", n) for i, n in enumerate(X.STRUCTURAL)], "at int, block string, term string")
+    cells = B.vectors(rows, v, "doc_id").select("doc_id", F.inline(F.arrays_zip("at", "value")))
+    return cells.join(F.broadcast(names), "at").select("doc_id", "block", "term", (F.round("value", 6) + 0.0).alias("value"))
+
+
+_ALPHA = 0.3
+_CNB = f"""{_TF_IDF}, y AS (SELECT doc_id, label = 'spam' AS spam FROM m),
+q AS (SELECT block, term, cf, sum(x) FILTER (spam) AS s, sum(x) FILTER (NOT spam) AS h FROM v JOIN y USING (doc_id) WHERE block IN ('subj', 'body') GROUP BY ALL),
+w AS (SELECT block, term, cf, ln((coalesce(s, 0) + {_ALPHA}) / (SELECT sum(coalesce(s, 0) + {_ALPHA}) FROM q)) - ln((coalesce(h, 0) + {_ALPHA}) / (SELECT sum(coalesce(h, 0) + {_ALPHA}) FROM q)) AS w FROM q)"""
+
+
+def _complement(s, d):
+    """Labelled rows, their vocabulary and the coefficients of complement Bayes over all of them."""
+    rows = B.frame(W.mail_enriched(s, d).where("label is not null").withColumn("y", T.is_spam(F.col("label")).cast("double")), "seq", "doc_id", "y")
+    v = B.learn(rows, "words")
+    made = rows.withColumns({"w": F.lit(1.0), "own": F.lit(False), "part": F.lit(0), "id": F.col("doc_id")})
+    coefs, intercepts = N.Solver(N.encode(made, v), v, [v.scaling()]).solve([N.Fit("cnb", -1, 0, alpha=_ALPHA)])
+    return rows, v, coefs, intercepts
+
+
+@query("cnb_coefficients", f"{_CNB} SELECT block, term, round(w, 6) AS weight FROM w")
+def _(s, d):
+    _, v, coefs, _ = _complement(s, d)
+    return s.createDataFrame([(b, t, float(coefs[0, v.start[b] + i])) for b, terms in v.terms.items() for i, t in enumerate(terms)], "block string, term string, weight double").withColumn("weight", F.round("weight", 6))
+
+
+@query("cnb_margins", f"{_CNB} SELECT doc_id, round(coalesce(sum(x * w), 0), 6) AS margin FROM m LEFT JOIN v USING (doc_id) LEFT JOIN w USING (block, term) GROUP BY doc_id")
+def _(s, d):
+    rows, v, coefs, intercepts = _complement(s, d)
+    return rows.select("doc_id", F.round(B.margins(rows, v, coefs, intercepts)[0], 6).alias("margin"))
+
+
+_READABLE = "array_to_string(list_transform(string_split(term, ' '), lambda x: CASE WHEN x = '__url__' THEN '(link)' WHEN x = '__email__' THEN '(address)' WHEN x = '__num__' THEN '(number)' WHEN starts_with(x, 'urldom_') THEN replace(substr(x, 8), '_', '.') ELSE x END), ' ')"
+
+
+@query("cnb_reasons", f"{_CNB}, e AS (SELECT doc_id, block, term, x * w AS c, row_number() OVER (PARTITION BY doc_id ORDER BY round(abs(x * w), 12) DESC, block = 'body', cf DESC, term) AS place FROM v JOIN w USING (block, term) WHERE x * w <> 0) SELECT doc_id, concat({_READABLE}, CASE block WHEN 'subj' THEN ' [subject]' ELSE ' [body]' END) AS feature, round(c, 6) AS weight FROM e WHERE place <= 5".replace("v JOIN w USING (block, term)", "(SELECT doc_id, block, term, x FROM v) v JOIN w USING (block, term)"))
+def _(s, d):
+    rows, v, coefs, _ = _complement(s, d)
+    return rows.select("doc_id", F.inline(B.contributions(rows, v, coefs[0], 5))).select("doc_id", "feature", F.round("weight", 6).alias("weight"))
+
+
+#: Rows of a part are left out by doc_id % 3.
+_FOLDS = f"""{_LEARNED.split("c AS (SELECT block, term", 1)[0].rstrip()}
+p AS (SELECT t.*, f.f FROM t, (VALUES (0), (1), (2)) f(f) WHERE t.doc_id % 3 <> f.f), n AS (SELECT f, count(*) AS n FROM m, (VALUES (0), (1), (2)) f(f) WHERE m.doc_id % 3 <> f GROUP BY f),
+c AS (SELECT f, block, term, count(DISTINCT doc_id) AS df FROM p GROUP BY ALL HAVING df >= 2 OR block = 'hdr')
+SELECT f AS fold, block, term, round(ln((1 + n) / (1 + df)::DOUBLE) + 1, 9) AS value FROM c JOIN n USING (f)"""
+
+
+@query("fold_terms", _FOLDS)
+def _(s, d):
+    rows = B.frame(W.mail_enriched(s, d).where("label is not null").withColumn("part", (F.col("doc_id") % 3).cast("int")), "part")
+    v, scalings = B.learn_without(rows, "part", [0, 1, 2])
+    known = pd.concat([pd.DataFrame({"fold": k, "block": b, "term": t, "value": c.idf[v.start[b] : v.start[b] + len(t)]}) for k, c in enumerate(scalings) for b, t in v.terms.items()])
+    return s.createDataFrame(known[known["value"] > 0], "fold int, block string, term string, value double").withColumn("value", F.round("value", 9))
+
+
 @query("signal_scaling", f"WITH s AS ({_SQL['struct_features']}), l AS (SELECT doc_id FROM labels GROUP BY 1 HAVING max(toxic) IN (0, 1)), x AS (SELECT ln(1 + COLUMNS(* EXCLUDE (doc_id))) FROM s SEMI JOIN l USING (doc_id)), u AS (UNPIVOT x ON * INTO NAME name VALUE x) SELECT name, round(avg(x), 6) AS mean, round(CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1 END, 6) AS std FROM u GROUP BY 1")
 def _(s, d):
     v = _vocabulary(s, d)
