@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .tfidf import words_and_pairs
 
@@ -50,13 +50,15 @@ def scores(model: PipelineModel, rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def explain(model: PipelineModel, rows: DataFrame, key: str, top_k: int = 8) -> DataFrame:
-    """key, term, contribution: a row's features times the coefficients, largest by absolute value."""
-    last, terms = model.stages[-1], model.stages[0].vocabulary
-    if isinstance(last, type(None)) or not hasattr(last, "coefficients"):
+    """key, term, contribution: a row's features times the coefficients, largest by absolute value, then by term; from the row's own terms, whatever the size of the vocabulary."""
+    counter, idf, *_, last = model.stages
+    if not hasattr(last, "coefficients"):
         raise ValueError("only linear models explain themselves")
     # at most VOCABULARY rows
-    weights = rows.sparkSession.createDataFrame([(i, t, float(w)) for i, (t, w) in enumerate(zip(terms, last.coefficients.toArray(), strict=True)) if w], "i int, term string, weight double")
-    made = model.transform(rows).select(key, F.posexplode(vector_to_array("features")).alias("i", "value")).where("value <> 0")
-    made = made.join(F.broadcast(weights), "i").withColumn("contribution", F.col("value") * F.col("weight"))
-    top = made.groupBy(key).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.abs("contribution")).alias("o"), "term", "contribution"))), 1, top_k).alias("top"))
-    return top.select(key, F.inline("top")).drop("o")
+    known = rows.sparkSession.createDataFrame(list(zip(counter.vocabulary, map(float, idf.idf.toArray()), map(float, last.coefficients.toArray()), strict=True)), "term string, idf double, weight double")
+    counts = rows.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    value = counts.join(F.broadcast(known), "term").withColumn("x", F.col("tf") * F.col("idf"))
+    own = W.partitionBy(key)
+    made = value.withColumn("contribution", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(own)) * F.col("weight")).where("weight <> 0")
+    place = F.row_number().over(own.orderBy(F.desc(F.abs("contribution")), "term"))
+    return made.select(key, "term", "contribution", place.alias("place")).where(F.col("place") <= top_k).drop("place")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import once
 
@@ -47,5 +47,6 @@ def tfidf(docs: DataFrame, key: str, terms: Column, min_df: int = 2, sublinear:
     tf = 1 + F.log("tf") if sublinear else F.lit(1.0)
     raw = counts.join(document_frequency(counts, min_df), "term").join(F.broadcast(n))
     raw = raw.select(key, "term", (tf * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1)).alias("raw"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    # rows of a document meet once, here; what follows by document needs no shuffle
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key)))
+    return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
