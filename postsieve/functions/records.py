@@ -29,7 +29,7 @@ def from_record(text: Column) -> Column:
         made = []
         for name, (kind, default) in FIELDS.items():
             path = f"$.{name}"
-            value = F.to_timestamp(F.try_variant_get(v, path, "string")) if kind == "timestamp" else F.try_variant_get(v, path, kind)
+            value = F.try_to_timestamp(F.try_variant_get(v, path, "string")) if kind == "timestamp" else F.try_variant_get(v, path, kind)
             missing = F.lit(default) if not callable(default) else default()
             made.append(F.coalesce(value, missing.cast(kind)).alias(name))
         return F.struct(*made)

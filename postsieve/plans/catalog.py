@@ -575,6 +575,12 @@ def _(s, d):
     return Y.accuracies(*Y.scaled(*_study(s, d)))
 
 
+@query("study_auc")
+def _(s, d):
+    # one label against the others, so that models are ranked by their scores too
+    return Y.accuracies(*Y.scaled(*(x.withColumn("y", (F.col("y") == 0).cast("double")) for x in _study(s, d))))
+
+
 @query("forest_importance")
 def _(s, d):
     train, _ = _study(s, d)
