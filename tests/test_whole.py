@@ -1,6 +1,6 @@
 """Queries whose rows once differed from their SQL, or whose work grew past its bounds, on small inputs that showed it."""
 
-from postsieve.operators import blocks as B
+from postsieve.operators import blocks as B, models as M
 from postsieve.plans import catalog
 from postsieve.sources import mail
 
@@ -22,3 +22,8 @@ def test_cut_references():
 def test_fold_terms_past_the_bounds(spark, con, monkeypatch):
     monkeypatch.setattr(B, "BLOCKS", {b: (w, 3) for b, (w, _) in B.BLOCKS.items()})
     assert same(spark, con, "fold_terms")
+
+
+def test_complement_bayes_past_the_bound(spark, con, monkeypatch):
+    monkeypatch.setattr(M, "VOCABULARY", 20)
+    assert same(spark, con, "model_cnb")
