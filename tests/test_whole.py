@@ -27,3 +27,8 @@ def test_fold_terms_past_the_bounds(spark, con, monkeypatch):
 def test_complement_bayes_past_the_bound(spark, con, monkeypatch):
     monkeypatch.setattr(M, "VOCABULARY", 20)
     assert same(spark, con, "model_cnb")
+
+
+def test_scaling_counts_no_tokens(spark, con, monkeypatch):
+    monkeypatch.setattr(B, "learn_without", None)
+    assert same(spark, con, "signal_scaling")
