@@ -1,6 +1,8 @@
 """Queries whose rows once differed from their SQL, or whose work grew past its bounds, on small inputs that showed it."""
 
-from postsieve.operators import blocks as B, models as M
+from pyspark.sql import functions as F
+
+from postsieve.operators import blocks as B, models as M, tfidf as I
 from postsieve.plans import catalog
 from postsieve.sources import mail
 
@@ -32,3 +34,11 @@ def test_complement_bayes_past_the_bound(spark, con, monkeypatch):
 def test_scaling_counts_no_tokens(spark, con, monkeypatch):
     monkeypatch.setattr(B, "learn_without", None)
     assert same(spark, con, "signal_scaling")
+
+
+def test_term_counts_deal_texts_not_terms(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b")], "doc_id long, text string")
+    counts = I.term_counts(docs, "doc_id", F.split("text", " "))
+    assert sorted(map(tuple, counts.collect())) == [(1, "a", 2), (1, "b", 1), (2, "b", 1)]
+    dealt = [x for x in counts._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert dealt and not any("term" in x for x in dealt)
