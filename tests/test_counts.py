@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from postsieve.operators import blocks as B
+from postsieve.operators import blocks as B, models as M
 from postsieve.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -64,3 +64,17 @@ def test_bayes_reads_what_it_has_encoded(spark, monkeypatch):
     for q in want:
         assert {tuple(r) for r in catalog.queries()[q](spark, SF).collect()} == want[q] and want[q]
     spark.catalog.clearCache()
+
+
+def test_plain_models_count_once_and_break_ties_by_term(spark, monkeypatch):
+    rows = [(float(i % 2), 1.0, list("zyxcba") + ["once"] * (i == 0) + ["s" if i % 2 else "h"] * 2) for i in range(6)]
+    df = spark.createDataFrame(rows, "y double, w double, terms array<string>").repartition(3)
+    assert sorted(M.counter(df).vocabulary) == ["a", "b", "c", "h", "s", "x", "y", "z"]
+    monkeypatch.setattr(M, "VOCABULARY", 3)
+    # the most frequent, equal ones by term
+    assert sorted(M.counter(df).vocabulary) == ["a", "b", "c"]
+    monkeypatch.setattr(M, "VOCABULARY", 9)
+    model = M.fit(df, "logreg")
+    assert {(r.y, r.score > 0) for r in M.scores(model, df).collect()} == {(0.0, False), (1.0, True)}
+    # what was kept of the rows is given back
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
