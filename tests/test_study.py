@@ -88,3 +88,27 @@ def test_queries_do_the_whole_job(spark, monkeypatch):
     assert catalog.queries()["study_accuracy"](None, "") is None
     made = study.models()
     assert [made[n].getMaxDepth() for n in ("tree", "forest")] == [30, 30]
+
+
+def test_neighbours_in_slices(spark, monkeypatch):
+    """A task holds few distances at once, whatever the batch; ties, repeated ids and the query's own row are as in one piece."""
+    rng = np.random.default_rng(5)
+    rows = [(i % 60, [float(x) for x in rng.integers(0, 3, 2)], i % 4) for i in range(70)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, label long").coalesce(1)
+    held, nearer = [], Y._nearer
+    monkeypatch.setattr(Y, "CELLS", 60)
+    whole = df.toPandas()
+    q, at = np.array([r[1] for r in rows[:6]]), np.arange(6)
+    want = nearer(None, whole, q, at, 5)
+    got = None
+    for a in range(0, 70, 10):
+        got = nearer(got, whole.iloc[a : a + 10], q, at, 5)
+        held.append(got[0].shape[1])
+    assert max(held) == 5 and all((a == b).all() for a, b in zip(got[:2], want[:2], strict=True))
+    found = {}
+    for r in Y.neighbours(df, df.where("id < 6").dropDuplicates(["id"])).collect():
+        found.setdefault(r.query, []).append((r.place, r.distance, r.id))
+    vectors = {r.id: r.vector for r in df.where("id < 6").dropDuplicates(["id"]).collect()}
+    for k, own in found.items():
+        all_ = sorted((round(float(np.hypot(v[0] - vectors[k][0], v[1] - vectors[k][1])), 6), i) for i, v, _ in rows if i != k)[:5]
+        assert [x[1:] for x in sorted(own)] == all_
