@@ -21,8 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Distinct pieces that one Python worker remembers; older ones are worked out again.
-CACHE_PIECES = 1_000_000
+#: Distinct pieces that one Python worker remembers, and keeps while other stages run in it; older ones are worked out again.
+CACHE_PIECES = 400_000
 
 
 class Merges:
