@@ -36,3 +36,11 @@ def test_records_of_other_shapes(spark):
     assert odd.date is None
     assert dated.date.replace(tzinfo=None) in (datetime(2024, 1, 1, 8), datetime(2024, 1, 1, 10))
     assert dated.urls == ["a", None, "3"]
+
+
+def test_a_record_is_parsed_once(spark, capsys):
+    df = spark.range(3).select(F.concat(F.lit('{"more":1,"subject":"s'), F.col("id").cast("string"), F.lit('"}')).alias("t"))
+    x = df.select(J.from_record(F.col("t")).alias("x"))
+    x.select("x.subject", "x.text", "x.urls", "x.unknown").explain()
+    assert capsys.readouterr().out.count("parseJson") == 1
+    assert [(r.x.subject, r.x.unknown) for r in x.collect()] == [(f"s{i}", ["more"]) for i in range(3)]
