@@ -61,3 +61,16 @@ def test_share_of_capitals(spark):
         kinds = [unicodedata.category(c) for c in t[:20_000]]
         letters = sum(k[0] == "L" for k in kinds)
         assert got[i] == (sum(k == "Lu" for k in kinds) / letters if letters else 0.0)
+
+
+def test_across_sources_texts_are_scored_once(spark, monkeypatch):
+    from postsieve.operators import evaluate as V, training as R
+
+    mail = W.mail_enriched(spark, SF).where("label is not null").withColumn("y", F.when(F.col("label") == "spam", 1.0).otherwise(0.0))
+    mail = mail.withColumn("source", F.when(F.col("seq") % 2 == 0, "a").otherwise("b"))
+    plans, ranked = [], V.roc_auc
+    monkeypatch.setattr(V, "roc_auc", lambda held: plans.append(held._jdf.queryExecution().toString()) or ranked(held))
+    found = [R.cross(made(mail, "seq", "source", "y"), ("a", "b"), R.Candidate("cnb")) for made in (B.texts, B.frame)]
+    # ranking reads what was scored, not the texts
+    assert len(plans) == 4 and not any("EvalPython" in p for p in plans)
+    assert found[0] == found[1] and set(found[0]) == {"a->b", "b->a"}
